@@ -13,52 +13,80 @@ SMALL_N = 20_000  # below this the bracket is the whole range: ranks are too coa
 
 
 def exact_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """One row with linearly interpolated quantiles of ``value`` (NULLs ignored).
+    """One row with linearly interpolated quantiles of ``value`` (NULLs ignored)."""
+    return exact_quantiles_of(df, [(n, value, q) for n, q in zip(names, probs)])
+
+
+def exact_medians(df: DataFrame, values: dict[str, Column | str]) -> DataFrame:
+    """One row with the median of every named column."""
+    return exact_quantiles_of(df, [(n, v, 0.5) for n, v in values.items()])
+
+
+def exact_quantiles_of(df: DataFrame, wanted: Sequence[tuple[str, Column | str, float]]) -> DataFrame:
+    """One row with a linearly interpolated quantile per (name, column, q).
 
     Pass 1 sketches a bracket around each wanted rank (rank error of the sketch is far below the
     bracket half-width). Pass 2 counts the rows below each bracket exactly and keeps only the distinct
     values inside it with their counts, about 0.2 % of the rows in the worst case; the wanted order
-    statistics are read from a running count over those. The column is never collected or sorted whole,
-    and only bracket rows are shuffled: the rest collapses in the map-side aggregate.
+    statistics are read from a running count over those. No column is collected or sorted whole, and
+    only bracket rows are shuffled: the rest collapses in the map-side aggregate.
     """
-    v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    col = df.select(v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    wanted = [p for q in probs for p in (max(q - BRACKET, 0.0), min(q + BRACKET, 1.0))]
-    sketch = col.agg(
+    columns = list(dict.fromkeys(str(v) if not isinstance(v, str) else v for _, v, _ in wanted))
+    exprs = {(v if isinstance(v, str) else str(v)): (F.col(v) if isinstance(v, str) else v) for _, v, _ in wanted}
+    pos = {c: i for i, c in enumerate(columns)}
+
+    def finite(c: Column) -> Column:
+        c = c.cast("double")
+        return F.when(~F.isnan(c), c)
+
+    data = df.select(*[finite(exprs[c]).alias(f"v{i}") for i, c in enumerate(columns)])
+    probs = {i: [] for i in range(len(columns))}
+    for _, v, q in wanted:
+        probs[pos[v if isinstance(v, str) else str(v)]] += [max(q - BRACKET, 0.0), min(q + BRACKET, 1.0)]
+    sketch = data.agg(
         F.struct(
-            F.percentile_approx("_v", wanted, SKETCH_ACCURACY).alias("b"),
-            F.count(F.lit(1)).alias("n"),
-            F.min("_v").alias("mn"),
-            F.max("_v").alias("mx"),
+            *[
+                F.struct(
+                    F.percentile_approx(f"v{i}", probs[i], SKETCH_ACCURACY).alias("b"),
+                    F.count(f"v{i}").alias("n"),
+                    F.min(f"v{i}").alias("mn"),
+                    F.max(f"v{i}").alias("mx"),
+                ).alias(f"c{i}")
+                for i in range(len(columns))
+            ]
         ).alias("_s")
     )
-    small = F.col("_s.n") < SMALL_N
-    brackets = [
-        F.struct(
-            F.lit(i).alias("i"),
-            (F.lit(float(q)) * (F.col("_s.n") - 1)).alias("rank"),
-            (F.col("_s.mn") if q - BRACKET <= 0 else F.when(small, F.col("_s.mn")).otherwise(F.col("_s.b")[2 * i])).alias("lo"),
-            (F.col("_s.mx") if q + BRACKET >= 1 else F.when(small, F.col("_s.mx")).otherwise(F.col("_s.b")[2 * i + 1])).alias("hi"),
+    used = dict.fromkeys(range(len(columns)), 0)
+    brackets = []
+    for k, (_, v, q) in enumerate(wanted):
+        i = pos[v if isinstance(v, str) else str(v)]
+        j, s = used[i], f"_s.c{i}"
+        used[i] += 1
+        small = F.col(f"{s}.n") < SMALL_N
+        low = F.col(f"{s}.mn") if q - BRACKET <= 0 else F.when(small, F.col(f"{s}.mn")).otherwise(F.col(f"{s}.b")[2 * j])
+        high = F.col(f"{s}.mx") if q + BRACKET >= 1 else F.when(small, F.col(f"{s}.mx")).otherwise(F.col(f"{s}.b")[2 * j + 1])
+        brackets.append(
+            F.struct(
+                F.lit(k).alias("i"),
+                F.col(f"v{i}").alias("v"),
+                (F.lit(float(q)) * (F.col(f"{s}.n") - 1)).alias("rank"),
+                low.alias("lo"),
+                high.alias("hi"),
+            )
         )
-        for i, q in enumerate(probs)
-    ]
-    spread = col.withColumn("_s", sketch.scalar()).select("_v", F.explode(F.array(*brackets)).alias("_q"))
-    below = spread.filter(F.col("_v") <= F.col("_q.hi")).select(
-        F.col("_q.i").alias("i"),
-        F.col("_q.rank").alias("rank"),
-        F.when(F.col("_v") >= F.col("_q.lo"), F.col("_v")).alias("_v"),
-    )
+    spread = data.withColumn("_s", sketch.scalar()).select(F.inline(F.array(*brackets)))
+    below = spread.filter(F.col("v") <= F.col("hi")).select("i", "rank", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
     # Rows under the bracket collapse to one count per quantile before they reach the window.
-    collapsed = below.groupBy("i", "rank", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    run = Window.partitionBy("i").orderBy(F.col("_v").asc_nulls_first())
-    upto = collapsed.withColumn("_e", F.sum("_c").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    collapsed = below.groupBy("i", "rank", "v").agg(F.count(F.lit(1)).alias("c"))
+    run = Window.partitionBy("i").orderBy(F.col("v").asc_nulls_first())
+    upto = collapsed.withColumn("e", F.sum("c").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     at = upto.groupBy("i").agg(
-        F.min(F.when(F.col("_e") > F.floor("rank"), F.col("_v"))).alias("low"),
-        F.min(F.when(F.col("_e") > F.ceil("rank"), F.col("_v"))).alias("high"),
+        F.min(F.when(F.col("e") > F.floor("rank"), F.col("v"))).alias("low"),
+        F.min(F.when(F.col("e") > F.ceil("rank"), F.col("v"))).alias("high"),
         F.first("rank").alias("rank"),
     )
     value_at = F.col("low") + (F.col("high") - F.col("low")) * (F.col("rank") - F.floor("rank"))
-    return at.agg(*[F.max(F.when(F.col("i") == i, value_at)).alias(n) for i, n in enumerate(names)])
+    return at.agg(*[F.max(F.when(F.col("i") == k, value_at)).alias(n) for k, (n, _, _) in enumerate(wanted)])
 
 
 def weighted_quantiles(
