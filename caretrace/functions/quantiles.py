@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,9 +22,15 @@ def exact_medians(df: DataFrame, values: dict[str, Column | str]) -> DataFrame:
     return exact_quantiles_of(df, [(n, v, 0.5) for n, v in values.items()])
 
 
-def exact_quantiles_of(df: DataFrame, wanted: Sequence[tuple[str, Column | str, float]]) -> DataFrame:
+def exact_quantiles_of(
+    df: DataFrame,
+    wanted: Sequence[tuple[str, Column | str, float]],
+    rank_of: Callable[[float, Column], Column] | None = None,
+) -> DataFrame:
     """One row with a linearly interpolated quantile per (name, column, q).
 
+    ``rank_of(q, n)`` gives the zero-based rank when it is not ``q * (n - 1)``; it must stay near it.
+
     Pass 1 sketches a bracket around each wanted rank (rank error of the sketch is far below the
     bracket half-width). Pass 2 counts the rows below each bracket exactly and keeps only the distinct
     values inside it with their counts, about 0.2 % of the rows in the worst case; the wanted order
@@ -69,7 +75,7 @@ def exact_quantiles_of(df: DataFrame, wanted: Sequence[tuple[str, Column | str,
             F.struct(
                 F.lit(k).alias("i"),
                 F.col(f"v{i}").alias("v"),
-                (F.lit(float(q)) * (F.col(f"{s}.n") - 1)).alias("rank"),
+                (rank_of(q, F.col(f"{s}.n")) if rank_of else F.lit(float(q)) * (F.col(f"{s}.n") - 1)).cast("double").alias("rank"),
                 low.alias("lo"),
                 high.alias("hi"),
             )

@@ -230,7 +230,7 @@ class Tables:
         """Orders as rows of an outside feature provider."""
         k = F.col("o_orderkey")
         base = F.create_map(
-            F.lit("ri_initial"), F.col("o_totalprice") / 1e5,
+            F.lit("ri_initial"), F.col("o_totalprice") / 3e5,
             F.lit("nurse_hppd"), (F.col("o_custkey") % 10).cast("double"),
             F.lit("proc_count"), F.when(k % 7 != 0, (k % 5).cast("double")),
             F.lit("nurse_skillmix"), F.lit(0.5),
@@ -266,7 +266,7 @@ class Tables:
             k.alias("row_id"),
             F.lit("episode").alias("grain"),
             F.col("o_custkey").alias("episode_id"),
-            F.when(k % 10 != 0, x / 1e5 - 2.5).alias("benefit"),
+            F.when(k % 10 != 0, x / 3e5 - 0.8).alias("benefit"),
             F.when(k % 15 != 1, (k % 7 - 3) / 2.0).alias("attribution"),
             F.when(k % 3 != 0, (k % 5 - 2) / 4.0).alias("causal"),
             F.when(k % 20 != 3, (k % 11 - 5) / 3.0).alias("quality"),
@@ -450,7 +450,7 @@ SELECT l_orderkey * 10 + l_linenumber AS row_id, l_orderkey AS episode_id, l_sup
   CASE WHEN l_orderkey % 3 <> 0 THEN CAST((l_orderkey + l_linenumber) % 9 = 0 AS DOUBLE) END AS missing_loinc_8867_4,
   CAST(l_orderkey % 8 = 0 AS DOUBLE) AS missing_loinc_85556_9_t0, CAST(l_orderkey % 10 = 0 AS DOUBLE) AS missing_loinc_85556_9_t1 FROM lineitem""",
     "v_comp": """
-SELECT o_orderkey AS row_id, o_custkey AS episode_id, CASE WHEN o_orderkey % 10 <> 0 THEN o_totalprice / 1e5 - 2.5 END AS benefit,
+SELECT o_orderkey AS row_id, o_custkey AS episode_id, CASE WHEN o_orderkey % 10 <> 0 THEN o_totalprice / 3e5 - 0.8 END AS benefit,
   CASE WHEN o_orderkey % 15 <> 1 THEN (o_orderkey % 7 - 3) / 2.0 END AS attribution, CASE WHEN o_orderkey % 3 <> 0 THEN (o_orderkey % 5 - 2) / 4.0 END AS causal,
   CASE WHEN o_orderkey % 20 <> 3 THEN (o_orderkey % 11 - 5) / 3.0 END AS quality, CASE WHEN o_orderkey % 25 <> 4 THEN (o_orderkey % 9 - 4) / 2.0 END AS uncertainty,
   CASE WHEN o_orderkey % 25 <> 4 THEN (o_orderkey % 100) / 100.0 END AS raw_uncertainty FROM orders""",

@@ -79,7 +79,7 @@ SELECT p_partkey, CASE k
  WHEN 0 THEN 'insufficient_temporal_spec|treatment_missing|treatment_outcome_temporal_order_not_proven' WHEN 1 THEN '' WHEN 2 THEN ''
  WHEN 3 THEN 'insufficient_temporal_spec|target_trial_temporal_order_not_demonstrated|treatment_outcome_temporal_order_not_proven'
  WHEN 4 THEN 'insufficient_temporal_spec|invalid_causal_temporal_spec|treatment_outcome_temporal_order_not_proven'
- WHEN 5 THEN 'feature_window_start_after_feature_window_end|insufficient_temporal_spec|invalid_causal_temporal_spec|treatment_outcome_temporal_order_not_proven'
+ WHEN 5 THEN 'feature_window_start_after_feature_window_end|insufficient_temporal_spec|invalid_causal_temporal_spec|treatment_outcome_temporal_order_not_proven|treatment_window_start_after_treatment_window_end'
  WHEN 6 THEN 'feature_window_end_after_treatment_window_start|insufficient_temporal_spec|invalid_causal_temporal_spec|post_treatment_features_in_baseline_window|treatment_outcome_temporal_order_not_proven'
  WHEN 7 THEN 'confounder_post_treatment:age' WHEN 8 THEN 'confounder_not_pre_treatment_in_dag:age|confounder_post_treatment:age'
  WHEN 9 THEN 'confounder_not_pre_treatment_in_dag:sev' WHEN 10 THEN 'insufficient_temporal_spec|invalid_causal_temporal_spec|treatment_outcome_temporal_order_not_proven' ELSE '' END AS causal_warnings,

@@ -54,7 +54,7 @@ def z_sql(col: str, ref: str) -> str:
 @query(
     "robust_z",
     f"""WITH z AS ({z_sql('delta_ri', '(SELECT * FROM v_feat WHERE nurse_skillmix < 0.08)')}), z2 AS ({z_sql('missing_vs_hr_last', 'v_feat')})
-    SELECT row_id, {rnd('least(greatest((delta_ri - z.m) / z.s, -4), 4)', 'z')}, {rnd('least(greatest((missing_vs_hr_last - z2.m) / z2.s, -4), 4)', 'z2')}, 'robust_z' AS z_method, 'std_z_fallback' AS z2_method FROM v_feat, z, z2""",
+    SELECT row_id, {rnd('CASE WHEN delta_ri IS NOT NULL THEN least(greatest((delta_ri - z.m) / z.s, -4), 4) END', 'z')}, {rnd('least(greatest((missing_vs_hr_last - z2.m) / z2.s, -4), 4)', 'z2')}, 'robust_z' AS z_method, 'std_z_fallback' AS z2_method FROM v_feat, z, z2""",
 )
 def _(t: Tables) -> DataFrame:
     reference = t.feat.filter(F.col("nurse_skillmix") < 0.08)
@@ -149,7 +149,7 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "severity_weight",
-    f"""WITH z AS ({z_sql('-delta_ri', 'v_feat')}) SELECT row_id, {rnd('1 + least(greatest(least(greatest((-delta_ri - z.m) / z.s, -4), 4), 0), 2)', 'severity_weight')} FROM v_feat, z""",
+    f"""WITH z AS ({z_sql('-delta_ri', 'v_feat')}) SELECT row_id, {rnd('CASE WHEN delta_ri IS NOT NULL THEN 1 + least(greatest(least(greatest((-delta_ri - z.m) / z.s, -4), 4), 0), 2) END', 'severity_weight')} FROM v_feat, z""",
 )
 def _(t: Tables) -> DataFrame:
     out = K.severity_weight(t.feat, t.feat, column="delta_ri", goal="higher_is_better")
@@ -179,10 +179,10 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "row_score",
-    f"SELECT row_id, status, status = 'provisional' AS provisional, {rnd('raw_score', 'raw_score')}, {rnd('score', 'score')}, array_to_string(warnings, '|') AS warnings FROM v_rowscore",
+    f"SELECT row_id, status, status = 'provisional' AS provisional, {rnd('raw_score', 'raw_score', 9)}, {rnd('score', 'score', 9)}, array_to_string(warnings, '|') AS warnings FROM v_rowscore",
 )
 def _(t: Tables) -> DataFrame:
-    return emit(K.row_score(t.components).select("row_id", "status", "provisional", "raw_score", "score", "warnings"))
+    return emit(K.row_score(t.components).select("row_id", "status", "provisional", "raw_score", "score", "warnings"), raw_score=9, score=9)
 
 
 @query(
@@ -244,14 +244,14 @@ def _(t: Tables) -> DataFrame:
     "normalize_external_rows",
     f"""SELECT k AS idx, row_id, coalesce(CASE WHEN k % 5 = 0 THEN 'pk' END, CASE WHEN k % 4 <> 0 THEN 'e' || CAST(o_custkey AS STRING) END, 'row:' || CAST(k AS STRING)) AS patient_key,
     {ts('CASE WHEN k % 2 = 0 THEN o_orderdate - INTERVAL 1 HOUR ELSE o_orderdate END', 'start_dt')}, {ts('o_orderdate', 'end_dt')},
-    {rnd('o_totalprice / 1e5', 'ri_initial')}, CASE WHEN k % 11 = 0 THEN 1.0 ELSE 0.0 END AS missing_ri_initial, CASE WHEN k % 3 = 0 THEN 1.0 ELSE 0.0 END AS missing_gcs, 0.0 AS staff_reliability,
+    {rnd('o_totalprice / 3e5', 'ri_initial', 9)}, CASE WHEN k % 11 = 0 THEN 1.0 ELSE 0.0 END AS missing_ri_initial, CASE WHEN k % 3 = 0 THEN 1.0 ELSE 0.0 END AS missing_gcs, 0.0 AS staff_reliability,
     CASE WHEN k % 6 = 1 THEN 5 ELSE 6 END AS n_entries FROM v_ext""",
 )
 def _(t: Tables) -> DataFrame:
     out = K.normalize_external_rows(t.external, index="idx")
     at = lambda n: F.try_element_at("features", F.lit(n)).alias(n)
     cols = [at("ri_initial"), at("missing_ri_initial"), at("missing_gcs"), "staff_reliability", F.size("features").alias("n_entries")]
-    return emit(out.select("idx", "row_id", "patient_key", "start_dt", "end_dt", *cols))
+    return emit(out.select("idx", "row_id", "patient_key", "start_dt", "end_dt", *cols), ri_initial=9)
 
 
 PRIMARY = K.FeatureContract(("ri_initial", "nurse_hppd", "proc_count", "nurse_skillmix"), "v1", "feeds", "episode", ("ri_initial", "proc_count"), 0.8)

@@ -56,8 +56,9 @@ def compare(spark, con, key, build, sql, sf_dir):
         return False, f"columns differ: spark {got_cols} duck {want_cols}"
     if got == want:
         return True, note
-    only_got = [r for r in got if r not in set(want)]
-    only_want = [r for r in want if r not in set(got)]
+    have, expected = set(got), set(want)
+    only_got = [r for r in got if r not in expected]
+    only_want = [r for r in want if r not in have]
     return False, f"{note}; spark {len(got)} duck {len(want)} rows\n  cols  {got_cols}\n  spark {only_got[:3]}\n  duck  {only_want[:3]}"
 
 
