@@ -361,23 +361,25 @@ def normalize_external_rows(rows: DataFrame, *, index: str) -> DataFrame:
             F.when(missingness_is_true(e["value"]), F.lit(1.0)).otherwise(F.lit(0.0)).alias("value"),
         ),
     )
-    # A plain and a prefixed key of one flag meet in one entry; the later one wins.
-    unique = F.filter(named, lambda x, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda y: y["key"] == x["key"]))
     features = F.coalesce("features", F.create_map().cast("map<string,double>"))
-    kept = F.map_filter(features, lambda k, v: ~F.exists(unique, lambda x: x["key"] == k))
+    # A plain and a prefixed key of one flag meet in one entry; the later one wins.
+    names = F.transform("_named", lambda x: x["key"])
+    last = F.filter("_named", lambda x, i: ~F.array_contains(F.slice(F.col("_names"), i + 2, F.lit(1 << 20)), x["key"]))
+    kept = F.map_filter(features, lambda k, v: ~F.array_contains(F.col("_names"), k))
     positional = F.concat(F.lit("row:"), F.col(index))
     text = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
-    return rows.withColumns(
+    staged = rows.withColumn("_named", named).withColumn("_names", names)
+    return staged.withColumns(
         {
             "row_id": F.coalesce(text("row_id"), positional),
             "patient_key": F.coalesce(text("patient_key"), text("episode_id"), positional),
             "start_dt": F.coalesce("start_dt", "clinical_timestamp"),
             "end_dt": F.coalesce("end_dt", "clinical_timestamp"),
-            "features": F.map_concat(kept, F.map_from_entries(unique)),
+            "features": F.map_concat(kept, F.map_from_entries(last)),
             "staff_shares": F.coalesce("staff_shares", F.create_map().cast("map<string,double>")),
             "staff_reliability": F.coalesce("staff_reliability", F.lit(0.0)),
         }
-    )
+    ).drop("_named", "_names")
 
 
 @dataclass(frozen=True)

@@ -15,7 +15,7 @@ from caretrace.plans import windows as WP
 from caretrace.plans.adapter import Tables
 from caretrace.plans.base import emit, query, rnd, ts
 from caretrace.plans.governance import W_SQL
-from caretrace.session import checkpoint_dir
+from caretrace.session import checkpoint_dir, cut_lineage
 from caretrace.streaming import streams as S
 
 
@@ -306,6 +306,7 @@ def _(t: Tables) -> DataFrame:
     ]))
     records = s.select(F.col("row_id").alias("record_id"), F.lit("m1").alias("model_id"), F.lit(None).cast("string").alias("baseline_model_id"), F.struct(*[c for c in s.columns if c != "row_id"]).alias("initial"), improved.alias("enriched"))
     models = t.raw("supplier").select(F.concat(F.lit("m"), "s_suppkey").alias("model_id"), F.lit(True).alias("defensible"))
+    records = cut_lineage(records)  # follow-up records are a stored table
     gate = U.writeback_gate(records, model_id="m1", defensible=True, models=models)
     return emit(U.writeback_summary(records, group_by="team", gate=gate).select("group", "score", "n_observations", "n_episodes", "n_staff"))
 
