@@ -72,6 +72,11 @@ def clip(c: Column, low: float | None = None, high: float | None = None) -> Colu
     return F.when(c.isNotNull(), out)
 
 
+def bounded(c: Column, low: float, high: float) -> Column:
+    """``clip`` for values that are never NULL: the argument is evaluated once."""
+    return F.least(F.greatest(c, F.lit(float(low))), F.lit(float(high)))
+
+
 def guarded_ratio(num: Column, den: Column) -> Column:
     """num / den, 0 when the denominator is not positive."""
     return F.when(den > 0, num / den).otherwise(F.lit(0.0))

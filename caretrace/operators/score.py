@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from caretrace import constants as C
 from caretrace.functions.columns import (
     as_col,
+    bounded,
     clip,
     compact,
     is_blank,
@@ -119,7 +120,8 @@ def robust_z(values: DataFrame, reference: DataFrame, *, column: str, out: str =
 
 
 def _flag(c: str) -> Column:
-    return clip(F.coalesce(nan_to_null(c), F.lit(0.0)), 0.0, 1.0)
+    # NaN sorts above every number, so it is taken out before the bounds are applied.
+    return bounded(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)), 0.0, 1.0)
 
 
 def missingness_burden(columns: Sequence[str]) -> Column | None:
@@ -133,21 +135,29 @@ def process_quality(columns: Sequence[str], spec: ScoreSpec = DEFAULT) -> tuple[
     parts: dict[str, Column] = {}
     burden = missingness_burden(columns)
     if burden is not None:
-        parts["structured_completeness"] = clip(F.lit(1.0) - burden, 0.0, 1.0)
+        parts["structured_completeness"] = bounded(F.lit(1.0) - burden, 0.0, 1.0)
     if "nurse_proc_count" in columns:
         # Without a deterministic count nothing is known to be documented.
-        done = clip(nan_to_null("nurse_proc_count_det"), 0.0) if "nurse_proc_count_det" in columns else F.lit(0.0)
-        total = clip(nan_to_null("nurse_proc_count"), 0.0)
-        parts["documentation_consistency"] = F.when(total > 0, clip(done / total, 0.0, 1.0))
+        done = nan_to_null("nurse_proc_count_det") if "nurse_proc_count_det" in columns else F.lit(0.0)
+        total = F.col("nurse_proc_count").cast("double")
+        usable = (total > 0) & ~F.isnan(total) & done.isNotNull()
+        parts["documentation_consistency"] = F.when(usable, bounded(done / total, 0.0, 1.0))
     timed = [c for c in columns if c.startswith("missing_loinc_") and c.endswith(("_t0", "_t1"))]
     if timed:
         mean = sum((_flag(c) for c in timed[1:]), _flag(timed[0])) / F.lit(float(len(timed)))
-        parts["timeliness"] = clip(F.lit(1.0) - mean, 0.0, 1.0)
+        parts["timeliness"] = bounded(F.lit(1.0) - mean, 0.0, 1.0)
     if not parts:
         return None, {}
-    items = list(parts.values())
-    n = sum((p.isNotNull().cast("int") for p in items[1:]), items[0].isNotNull().cast("int"))
-    return F.when(n >= int(or_setting(spec.min_quality_parts, 1)), mean_of_present(items)), parts
+    # Only the documentation ratio can be absent in a row; the other parts always exist.
+    sure = [p for n, p in parts.items() if n != "documentation_consistency"]
+    ratio = parts.get("documentation_consistency")
+    need = int(or_setting(spec.min_quality_parts, 1))
+    base = sum(sure, F.lit(0.0))
+    without = base / F.lit(float(len(sure))) if sure and len(sure) >= need else F.lit(None).cast("double")
+    if ratio is None:
+        return without, parts
+    with_ratio = (base + ratio) / F.lit(float(len(sure) + 1)) if len(sure) + 1 >= need else F.lit(None).cast("double")
+    return F.coalesce(with_ratio, without), parts
 
 
 def ood_burden(features: Sequence[str], stats: str, columns: Sequence[str], spec: ScoreSpec = DEFAULT) -> Column | None:
