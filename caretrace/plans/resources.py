@@ -79,10 +79,10 @@ def _(t: Tables) -> DataFrame:
 @query(
     "link_encounter",
     """SELECT e.episode_id, e.unit_id, 'p' || CAST(o.pid AS STRING) AS patient_id, CASE WHEN o.k IS NOT NULL THEN 'enc-' || CAST(o.k AS STRING) END AS encounter_id
-    FROM v_episode e LEFT JOIN (SELECT user_id, max(event_id) FILTER (WHERE event_id % 3 = 0) AS pid, max(event_id) AS k FROM events WHERE event_type = 'signup' AND user_id % 4 <> 1 GROUP BY 1) o ON o.user_id = e.episode_id""",
+    FROM v_episode e LEFT JOIN (SELECT user_id, max(event_id) FILTER (WHERE event_id % 3 = 0) AS pid, max(event_id) AS k FROM events WHERE event_type = 'signup' GROUP BY 1) o ON o.user_id = e.episode_id""",
 )
 def _(t: Tables) -> DataFrame:
-    e = t.raw("events").filter((F.col("event_type") == "signup") & (F.col("user_id") % 4 != 1))
+    e = t.raw("events").filter(F.col("event_type") == "signup")
     subject = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Patient/p"), F.col("event_id"))).otherwise(F.lit("Group/g"))
     encounters = e.select(
         F.col("user_id").alias("episode_id"),
