@@ -55,16 +55,24 @@ def score_cohort(
             based = df.withColumn("baseline", baseline_model.predict())
         based = with_stats(with_stats(based, drift, "_drift"), sd, "_sd")
         quality, _ = K.process_quality(columns, spec)
-        parts = {
+        distances = K.ood_distances(model.features, "_drift", columns)
+        burdens = {
             "conformal_width": K.conformal_burden(F.lit(q_hat), F.col("_sd.sd")) if q_hat is not None else None,
             "missingness": K.missingness_burden(columns),
-            "ood": K.ood_burden(model.features, "_drift", columns, spec),
+            "ood": K.ood_from_distances([F.col(f"_z_{f}") for f in distances], spec) if distances else None,
             "low_support": K.low_support_burden(F.lit(train_rows), F.lit(causal_rows) if causal_rows is not None else None, spec),
         }
+        # Staged, so that the combining expressions read columns instead of repeating what is below them.
+        live = {n: c for n, c in burdens.items() if c is not None}
+        phi = model.attribution()
+        staged = based.withColumns({**{f"_z_{f}": z for f, z in distances.items()}, **{f"_phi_{f}": c for f, c in phi.items()}})
+        staged = staged.withColumns({f"_b_{n}": c for n, c in live.items()})
+        parts = {n: F.col(f"_b_{n}") if n in live else None for n in burdens}
         nothing = F.lit(None).cast("double")
-        attribution = K.relative_attribution(model.attribution(), governed, spec.attribution_epsilon)
+        attribution = K.relative_attribution({f: F.col(f"_phi_{f}") for f in phi}, governed, spec.attribution_epsilon)
         uncertainty = K.combine_uncertainty(parts, spec)
-        return based.withColumns(
+        helpers = [c for c in staged.columns if c not in columns and c.startswith(("_z_", "_phi_", "_b_", "_drift", "_sd"))]
+        return staged.withColumns(
             {
                 "prediction": model.predict(),
                 "raw_benefit": K.benefit(nan_to_null(target), F.col("baseline"), goal),
@@ -76,7 +84,7 @@ def score_cohort(
                 "low_support_burden": parts["low_support"],
                 "ood_burden": parts["ood"] if parts["ood"] is not None else nothing,
             }
-        ).drop("_drift", "_sd")
+        ).drop(*helpers)
 
     cols = [f"raw_{c}" for c in RAW] + ["raw_severity"]
     # The raw components are read by several quantile passes: they are written once and read back.

@@ -162,15 +162,23 @@ def process_quality(columns: Sequence[str], spec: ScoreSpec = DEFAULT) -> tuple[
 
 def ood_burden(features: Sequence[str], stats: str, columns: Sequence[str], spec: ScoreSpec = DEFAULT) -> Column | None:
     """Mean over features of clip((|z| - t) / t, 0, 1); ``stats`` is an attached struct of <f>_mean, <f>_std."""
-    t = or_setting(spec.ood_z_threshold, 3.0)
-    parts = []
+    distances = ood_distances(features, stats, columns)
+    return ood_from_distances(list(distances.values()), spec) if distances else None
+
+
+def ood_distances(features: Sequence[str], stats: str, columns: Sequence[str]) -> dict[str, Column]:
+    """|z| per feature; NULL where the feature does not vary or the value is missing."""
+    out = {}
     for f in features:
-        if f not in columns:
-            continue
-        sd = F.col(f"{stats}.{f}_std")
-        z = F.abs(nan_to_null(f) - F.coalesce(F.col(f"{stats}.{f}_mean"), F.lit(0.0))) / sd
-        parts.append(F.when(sd > 1e-9, clip((z - t) / max(t, 1e-6), 0.0, 1.0)))
-    return mean_of_present(parts) if parts else None
+        if f in columns:
+            sd = F.col(f"{stats}.{f}_std")
+            out[f] = F.abs(nan_to_null(f) - F.coalesce(F.col(f"{stats}.{f}_mean"), F.lit(0.0))) / F.when(sd > 1e-9, sd)
+    return out
+
+
+def ood_from_distances(distances: Sequence[Column], spec: ScoreSpec = DEFAULT) -> Column:
+    t = or_setting(spec.ood_z_threshold, 3.0)
+    return mean_of_present([F.when(z.isNotNull(), bounded((z - t) / max(t, 1e-6), 0.0, 1.0)) for z in distances])
 
 
 def conformal_burden(q_hat: Column, outcome_sd: Column) -> Column:
