@@ -370,7 +370,7 @@ E_SQL = "CASE WHEN exp(0.91 * {d}) >= 1 THEN exp(0.91 * {d}) ELSE 1 / exp(0.91 *
 
 @query(
     "e_value",
-    f"""WITH {dml_sql()}, s AS (SELECT avg(eff) AS ate, (SELECT stddev_pop(delta_ri) FROM v_cohort) AS sd FROM e_eff), r AS (SELECT *, {E_SQL.format(d='ate / sd')} AS rr, {E_SQL.format(d='(ate - 0.5) / sd')} AS rb FROM s)
+    f"""WITH {dml_sql()}, s AS (SELECT avg(eff) AS ate, (SELECT stddev_pop(delta_ri) FROM v_cohort) AS sd FROM e_eff), r AS (SELECT *, {E_SQL.format(d='ate / sd')} AS rr, {E_SQL.format(d='(CASE WHEN abs(ate - 0.5) < abs(ate + 0.5) THEN ate - 0.5 ELSE ate + 0.5 END) / sd')} AS rb FROM s)
     SELECT {rnd('ate', 'ate')}, {rnd('sd', 'sd_y', 5)}, {rnd('rr', 'rr_equivalent')}, {rnd('rr + sqrt(rr * (rr - 1))', 'e_value')}, {rnd('rb', 'rr_equivalent_ci_bound')}, {rnd('rb + sqrt(rb * (rb - 1))', 'e_value_ci_bound')} FROM r""",
 )
 def _(t: Tables) -> DataFrame:
