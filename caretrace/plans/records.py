@@ -295,7 +295,7 @@ def _(t: Tables) -> DataFrame:
 WB_ON = "status2 = 'complete' AND score2 IS NOT NULL"
 SUMMARY_SQL = f"""
 WITH x AS (SELECT *, CASE WHEN row_id % 5 = 0 AND status <> 'insufficient_evidence' THEN 'complete' ELSE status END AS status2, CASE WHEN row_id % 5 = 0 THEN score / 2 ELSE score END AS score2 FROM v_scored)
-SELECT CAST(unit_id AS STRING) AS "group", {rnd(f'sum(score2 * {W_SQL}) FILTER (WHERE {WB_ON}) / (sum({W_SQL}) FILTER (WHERE {WB_ON}) + 1e-6)', 'score')}, count(*) AS n_observations, count(DISTINCT episode_id) AS n_episodes, count(DISTINCT staff) AS n_staff FROM x GROUP BY 1"""
+SELECT CAST(unit_id AS STRING) AS "group", {rnd(f'CASE WHEN count(*) >= 10 AND count(DISTINCT episode_id) >= 10 AND count(DISTINCT staff) >= 5 THEN sum(score2 * {W_SQL}) FILTER (WHERE {WB_ON}) / (sum({W_SQL}) FILTER (WHERE {WB_ON}) + 1e-6) END', 'score')}, count(*) AS n_observations, count(DISTINCT episode_id) AS n_episodes, count(DISTINCT staff) AS n_staff FROM x GROUP BY 1"""
 
 
 @query("writeback_summary", SUMMARY_SQL)
