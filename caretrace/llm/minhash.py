@@ -187,8 +187,8 @@ def _block_links(percent: int):
     return run
 
 
-def _block_members(sets: DataFrame, clusters: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """(task, sig, comp, ids): the blocks that still have to be compared.
+def _block_members(sets: DataFrame, clusters: DataFrame, comps: DataFrame, percent: int, content: tuple[str, ...] = ("ids",)) -> DataFrame:
+    """(task, sig, comp, content): the blocks that still have to be compared.
 
     Members of a candidate cluster fall into classes by set size, in which linked sets are at most one class apart, and
     into hash blocks of about BLOCK. The cluster's largest verified group is set apart: two of its blocks never meet.
@@ -228,7 +228,7 @@ def _block_members(sets: DataFrame, clusters: DataFrame, comps: DataFrame, perce
     sides = F.explode(F.array(F.struct(F.col("l_cls").alias("cls"), F.col("l_main").alias("main_side"), F.col("i").alias("sub")), F.struct(F.col("r_cls").alias("cls"), F.col("r_main").alias("main_side"), F.col("j").alias("sub"))))
     needed = tasks.select("cluster", "task", sides.alias("s")).select("cluster", "task", "s.*").distinct()
     dealt = placed.join(sizes, block).withColumn("sub", F.pmod(F.xxhash64("sig"), F.col("blocks"))).drop("blocks")
-    return dealt.join(needed, [*block, "sub"]).select("task", "sig", "comp").join(sets.select("sig", "ids"), "sig")
+    return dealt.join(needed, [*block, "sub"]).select("task", "sig", "comp").join(sets.select("sig", *content), "sig")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

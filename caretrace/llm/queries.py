@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from caretrace.llm.common import table
 from caretrace.llm.exact import exact_duplicates
+from caretrace.llm.licenses import scan_licences
+from caretrace.llm.lines import fuzzy_lines
 from caretrace.llm.minhash import near_duplicates
 from caretrace.llm.mixing import mix_sources
 from caretrace.llm.pieces import encode_documents
 from caretrace.llm.quality import held_out, score_quality, train
 from caretrace.llm.secrets import scan_secrets
+from caretrace.llm.spans import repeated_spans
 from caretrace.llm.topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,10 +84,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op3_topk",
     """
     WITH v AS (
-        SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-        WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     ), pairs AS (
-        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), z -> z[1] * z[2])) AS BIGINT) AS score
+        SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
         FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
     ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
     SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
@@ -97,3 +100,28 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_minhash")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query("op2_licenses")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = [F.coalesce(F.col(c).cast("string"), F.lit("_")) for c in ("source", "lang", "doc_id")]
+    files = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", *part))
+    found = scan_licences(files)
+    return found.select("doc_id", "path", "licence", "found", F.round("cosine", 6).alias("cosine"), "start", "from_dir")
+
+
+@query("op7_sentence_spans")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document of which something is removed."""
+    return repeated_spans(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.aggregate("sentence_runs", F.lit(0), lambda n, r: n + r["b"] - r["a"]).cast("long").alias("n_removed"),
+        F.array_join(F.transform("sentence_runs", lambda r: F.concat_ws(":", r["a"].cast("string"), r["b"].cast("string"))), ",").alias("removed_sentences"),
+        "first_ids",
+    )
+
+
+@query("op9_fuzzy_lines")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = fuzzy_lines(table(spark, sf_dir, "documents"))
+    return marks.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"))
