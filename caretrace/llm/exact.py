@@ -81,14 +81,14 @@ def drop_exact_duplicates(docs: DataFrame, keep: str = "largest", id_col: str =
     first, stays.
     """
     marks = exact_duplicates(docs, keep, id_col, text_col)
-    stay = marks.where("kept").select(F.col(id_col).alias("_stay_id"), F.col("text_sha256").alias("_sha"))
+    stay = marks.where("kept").select(F.col(id_col).alias("__ct_stay"), F.col("text_sha256").alias("__ct_sha"))
     several = marks.groupBy(id_col, "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    stay = stay.join(several.select(F.col(id_col).alias("_several_id"), F.col("text_sha256").alias("_several_sha"), F.lit(True).alias("_several")),
-                     F.col("_stay_id").eqNullSafe(F.col("_several_id")) & (F.col("_sha") == F.col("_several_sha")), "left")
-    stay = staged(stay.select("_stay_id", "_sha", F.coalesce("_several", F.lit(False)).alias("_several")))
-    left = docs.withColumn("_text_sha", F.sha2(lower_ascii(text_col), 256)).join(
-        stay, (F.col("_text_sha") == F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_stay_id"))
+    stay = stay.join(several.select(F.col(id_col).alias("__ct_several_id"), F.col("text_sha256").alias("__ct_several_sha"), F.lit(True).alias("__ct_several")),
+                     F.col("__ct_stay").eqNullSafe(F.col("__ct_several_id")) & (F.col("__ct_sha") == F.col("__ct_several_sha")), "left")
+    stay = staged(stay.select("__ct_stay", "__ct_sha", F.coalesce("__ct_several", F.lit(False)).alias("__ct_several")))
+    left = docs.withColumn("__ct_text_sha", F.sha2(lower_ascii(text_col), 256)).join(
+        stay, (F.col("__ct_text_sha") == F.col("__ct_sha")) & F.col(id_col).eqNullSafe(F.col("__ct_stay"))
     )
-    once = left.where("not _several")
-    repeated = left.where("_several").dropDuplicates(["_text_sha", "_stay_id"])
+    once = left.where("not __ct_several")
+    repeated = left.where("__ct_several").dropDuplicates(["__ct_text_sha", "__ct_stay"])
     return once.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -15,8 +15,9 @@ from caretrace.llm.common import staged
 
 #: Short notices by which each licence is recognised.
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0"],
     "BSD-3-Clause": [
+        "BSD 3-Clause License",
         "Released under the BSD 3-Clause License",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "SPDX-License-Identifier: BSD-3-Clause",
@@ -24,15 +25,16 @@ TEMPLATES = {
     "CC-BY-4.0": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0"],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0"],
+    "GPL-2.0": ["GNU General Public License, version 2", "This work is licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0"],
+    "GPL-3.0": ["GNU General Public License, version 3", "This work is licensed under the GNU General Public License, version 3", "SPDX-License-Identifier: GPL-3.0"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "This work is licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0"],
     "MIT": [
+        "MIT License",
         "Released under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "SPDX-License-Identifier: MIT",
     ],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "MPL-2.0": ["Mozilla Public License, version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"],
 }
 #: Every template has one of these words, so a line without them is no candidate.
 CUE = re.compile(r"licen[sc]e|spdx|permi(?:ssion|tted)", re.IGNORECASE)

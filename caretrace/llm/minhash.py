@@ -282,5 +282,5 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 def drop_near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the ids of which no row is kept, all columns kept."""
     marks = near_duplicates(docs, percent, id_col, text_col)
-    gone = marks.groupBy(id_col).agg(F.max("kept").alias("stays")).where("not stays").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = marks.groupBy(id_col).agg(F.max("kept").alias("stays")).where("not stays").select(F.col(id_col).alias("__ct_gone"))
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__ct_gone"), "left_anti")

@@ -169,9 +169,9 @@ def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_co
 
     Rows that repeat id and text count together: one of them carries the copies of all.
     """
-    key = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    joined = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(
-        key, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key"))
+    key = mixed.groupBy(F.col("doc_id").alias("__ct_id"), F.col("text_key").alias("__ct_key")).agg(F.sum("copies").alias("__ct_copies"), F.count(F.lit(1)).alias("__ct_rows"))
+    joined = docs.withColumn("__ct_text_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(
+        key, F.col(id_col).cast("long").eqNullSafe(F.col("__ct_id")) & (F.col("__ct_text_key") == F.col("__ct_key"))
     )
-    once = joined.where("_rows = 1").unionByName(joined.where("_rows > 1").dropDuplicates(["_id", "_key"]))
-    return once.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = joined.where("__ct_rows = 1").unionByName(joined.where("__ct_rows > 1").dropDuplicates(["__ct_id", "__ct_key"]))
+    return once.where("__ct_copies > 0").withColumn("__ct_copy", F.explode(F.sequence(F.lit(1).cast("long"), "__ct_copies"))).select(*[F.col(f"`{c}`") for c in docs.columns])

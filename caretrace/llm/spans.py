@@ -113,9 +113,9 @@ def remove_spans(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id", te
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    marks = repeats.select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), F.col("sentence_runs").alias("_runs"))
+    marks = repeats.select(F.col(id_col).alias("__ct_id"), F.col("text_key").alias("__ct_key"), F.col("sentence_runs").alias("__ct_runs"))
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.join(marks, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left").drop("_id", "_key")
+    joined = docs.join(marks, F.col(id_col).cast("long").eqNullSafe(F.col("__ct_id")) & (key == F.col("__ct_key")), "left").drop("__ct_id", "__ct_key")
     return joined.mapInArrow(run, docs.schema)
 
 
