@@ -15,12 +15,12 @@ from caretrace.plans import windows as WP
 from caretrace.plans.adapter import Tables
 from caretrace.plans.base import emit, query, rnd, ts
 from caretrace.plans.governance import W_SQL
-from caretrace.session import checkpoint_dir, cut_lineage
+from caretrace.session import shared_root, cut_lineage
 from caretrace.streaming import streams as S
 
 
 def shared_folder(t: Tables, name: str) -> str:
-    return f"{checkpoint_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # --- fairness --------------------------------------------------------------------------------

@@ -13,7 +13,7 @@ from caretrace.operators import validate as V
 from caretrace.plans import windows as WP
 from caretrace.plans.adapter import AS_OF, Tables
 from caretrace.plans.base import emit, query, rnd, ts
-from caretrace.session import checkpoint_dir
+from caretrace.session import shared_root
 from caretrace.sources import resources as R
 from caretrace.sources import tables as S
 
@@ -193,7 +193,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     # Written twice to the shared folder: a full build, then an idempotent rebuild of some units.
-    path = f"{checkpoint_dir(t.spark)}/features-{uuid.uuid4().hex}"
+    path = f"{shared_root(t.spark)}/features-{uuid.uuid4().hex}"
     rows = WP.target(t).select("episode_id", "unit_id", "window_index", "delta_ri", "outcome_status")
     S.write_features(rows, path, truncate=True)
     S.write_features(rows.filter(F.col("unit_id") % 2 == 0), path)

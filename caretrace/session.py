@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(app: str = "caretrace", cores: str | int = "*", memory: str = "12g", shuffle: int = 8) -> SparkSession:
-    """A local session for tests and benchmarks; a cluster passes its own session in."""
+def local_session(app: str = "caretrace", cores: str | int = "*", memory: str = "12g", shuffle: int = 8, shared: str | None = None) -> SparkSession:
+    """A local session for tests and benchmarks; a cluster passes its own session in.
+
+    ``shared`` is the folder for checkpoints and written tables (``spark.checkpoint.dir``).
+    """
+    builder = SparkSession.builder.config("spark.checkpoint.dir", shared) if shared else SparkSession.builder
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.driver.memory", memory)
@@ -33,19 +35,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the session's own setting, or a fresh local one where it is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if configured:
-        return configured
-    folder = tempfile.mkdtemp(prefix="caretrace-ckpt-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+def shared_root(spark: SparkSession) -> str:
+    """Folder that driver and executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss) for plans that are reused many times."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+        spark.sparkContext.setCheckpointDir(f"{shared_root(spark)}/caretrace-checkpoints")
     return df.checkpoint(eager=True)

@@ -9,8 +9,8 @@ from caretrace.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("tests", memory="4g")
+def spark(tmp_path_factory):
+    session = local_session("tests", memory="4g", shared=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
