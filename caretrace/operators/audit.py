@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caretrace import constants as C
 from caretrace.functions.columns import hmac_sha256, string_array
 
-SEGMENT_SIZE = 1000
-
-
 def link_material(prev: Column, created: Column, kind: Column, actor: Column, context: Column, payload_hash: Column) -> Column:
     return F.concat_ws("|", prev, created, kind, actor, context, payload_hash)
 
@@ -20,75 +20,76 @@ def link_material(prev: Column, created: Column, kind: Column, actor: Column, co
 EVENT = ("created_at", "event_type", "actor", "context", "payload_sha256")
 
 
-def seal_audit_batch(events: DataFrame, *, chain: str, seq: str, secret: str, segment_size: int = SEGMENT_SIZE) -> DataFrame:
-    """Events with prev_hash, chain_hash and hmac_sig.
+def seal_audit_batch(events: DataFrame, *, chain: str, seq: str, secret: str, batch: str | int = 0, tails: DataFrame | None = None) -> DataFrame:
+    """Events of one batch with batch, prev_hash, chain_hash and hmac_sig.
 
-    A hash chain is sequential, so a chain is cut into segments of at most ``segment_size`` consecutive
-    sequence numbers; every segment starts from an empty hash and is folded on its own. However long a
-    chain is, no task holds more than one segment. ``seal_segments`` links the segments of a chain.
+    Every event is linked to the one before it. ``tails`` (chain, tail_hash) are the last hashes of what was sealed
+    earlier (see :func:`chain_tails`), so a chain goes on over any number of batches and does not depend on where they
+    are cut. A chain's events of one batch are folded in one task; batches are cut by whoever seals them.
     """
-    tagged = events.withColumn("segment", F.floor(F.col(seq) / segment_size).cast("long"))
     item = F.struct(F.col(seq).alias("seq"), *[F.col(c) for c in EVENT])
-    groups = tagged.groupBy(chain, "segment").agg(F.array_sort(F.collect_list(item)).alias("_e"))
-    start = F.array().cast("array<string>")
+    groups = events.groupBy(chain).agg(F.array_sort(F.collect_list(item)).alias("_e"))
+    if tails is not None:
+        groups = groups.join(tails.select(chain, F.col("tail_hash").alias("_t")), chain, "left")
+    before = F.coalesce(F.col("_t"), F.lit("")) if tails is not None else F.lit("")
     hashes = F.aggregate(
         "_e",
-        start,
+        F.array(before),
         lambda acc, e: F.concat(
             acc,
-            F.array(
-                F.sha2(
-                    link_material(
-                        F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), e["created_at"], e["event_type"], e["actor"], e["context"], e["payload_sha256"]
-                    ),
-                    256,
-                )
-            ),
+            F.array(F.sha2(link_material(F.try_element_at(acc, F.lit(-1)), e["created_at"], e["event_type"], e["actor"], e["context"], e["payload_sha256"]), 256)),
         ),
     )
-    rows = groups.withColumn("_h", hashes).select(chain, "segment", F.posexplode(F.arrays_zip("_e", "_h")).alias("_i", "_z"), "_h")
-    prev = F.when(F.col("_i") > 0, F.try_element_at("_h", F.col("_i"))).otherwise(F.lit(""))
+    rows = groups.withColumn("_h", hashes).select(chain, F.posexplode("_e").alias("_i", "_z"), "_h")
     flat = rows.select(
-        chain, "segment", F.col("_z._e.seq").alias(seq), *[F.col(f"_z._e.{c}").alias(c) for c in EVENT], prev.alias("prev_hash"), F.col("_z._h").alias("chain_hash")
+        chain,
+        F.lit(batch).alias("batch"),
+        F.col("_z.seq").alias(seq),
+        *[F.col(f"_z.{c}").alias(c) for c in EVENT],
+        F.try_element_at("_h", F.col("_i") + 1).alias("prev_hash"),
+        F.try_element_at("_h", F.col("_i") + 2).alias("chain_hash"),
     )
     return flat.withColumn("hmac_sig", hmac_sha256(secret, F.col("chain_hash")))
 
 
-def seal_segments(sealed: DataFrame, *, chain: str, seq: str) -> DataFrame:
-    """(chain, segment, n_events, segment_hash, manifest_hash): the chain of segment ends, one row per segment."""
-    ends = sealed.groupBy(chain, "segment").agg(F.max_by("chain_hash", seq).alias("segment_hash"), F.count(F.lit(1)).alias("n_events"))
-    packed = ends.groupBy(chain).agg(F.array_sort(F.collect_list(F.struct("segment", "n_events", "segment_hash"))).alias("_s"))
-    fold = F.aggregate(
-        "_s",
-        F.array().cast("array<string>"),
-        lambda acc, s: F.concat(
-            acc,
-            F.array(F.sha2(F.concat_ws("|", F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), s["segment"].cast("string"), s["n_events"].cast("string"), s["segment_hash"]), 256)),
-        ),
+def chain_tails(sealed: DataFrame, *, chain: str, seq: str) -> DataFrame:
+    """(chain, tail_hash): where the next batch goes on."""
+    return sealed.groupBy(chain).agg(F.max_by("chain_hash", seq).alias("tail_hash"))
+
+
+def batch_manifest(sealed: DataFrame, *, chain: str, seq: str) -> DataFrame:
+    """(chain, batch, n_events, last_seq, tail_hash): what has to be there of each sealed batch."""
+    return sealed.groupBy(chain, "batch").agg(
+        F.count(F.lit(1)).alias("n_events"), F.max(seq).alias("last_seq"), F.max_by("chain_hash", seq).alias("tail_hash")
     )
-    zipped = packed.withColumn("_h", fold).select(chain, F.explode(F.arrays_zip("_s", "_h")).alias("_z"))
-    return zipped.select(chain, "_z._s.segment", "_z._s.n_events", "_z._s.segment_hash", F.col("_z._h").alias("manifest_hash"))
 
 
-def verify_audit_chain(stored: DataFrame, *, chain: str, seq: str, secret: str) -> DataFrame:
-    """Rows that break the chain, with the reason.
+def verify_audit_chain(stored: DataFrame, *, chain: str, seq: str, secret: str, manifest: DataFrame | None = None) -> DataFrame:
+    """(chain, seq, reason) of what breaks the chain.
 
-    The hash of a row is recomputed in place; its predecessor is looked up by hash inside the segment.
-    Nothing is ordered globally.
+    The hash of a row is recomputed in place; its predecessor is looked up by hash. With the ``manifest`` a batch of which
+    rows are missing, its end or all of it included, is reported at its last number. Nothing is ordered globally.
     """
     wanted = F.sha2(link_material(F.col("prev_hash"), *[F.col(c) for c in EVENT]), 256)
-    ids = [chain, "segment", seq]
     local = stored.select(
-        *ids,
+        chain,
+        seq,
         "prev_hash",
         F.when(wanted != F.col("chain_hash"), F.lit("content_changed"))
         .when(hmac_sha256(secret, F.col("chain_hash")) != F.col("hmac_sig"), F.lit("signature_invalid"))
         .alias("reason"),
     )
-    altered = local.filter(F.col("reason").isNotNull()).select(*ids, "reason")
-    tails = stored.select(chain, "segment", F.col("chain_hash").alias("prev_hash")).distinct()
-    orphans = local.filter(F.col("prev_hash") != "").join(tails, [chain, "segment", "prev_hash"], "left_anti")
-    return altered.unionByName(orphans.select(*ids, F.lit("predecessor_missing").alias("reason")))
+    altered = local.filter(F.col("reason").isNotNull()).select(chain, seq, "reason")
+    tails = stored.select(chain, F.col("chain_hash").alias("prev_hash")).distinct()
+    orphans = local.filter(F.col("prev_hash") != "").join(tails, [chain, "prev_hash"], "left_anti")
+    found = altered.unionByName(orphans.select(chain, seq, F.lit("predecessor_missing").alias("reason")))
+    if manifest is None:
+        return found
+    there = batch_manifest(stored, chain=chain, seq=seq).select(chain, "batch", F.col("n_events").alias("_n"), F.col("tail_hash").alias("_tail"))
+    short = manifest.join(there, [chain, "batch"], "left").filter(
+        ~F.coalesce((F.col("n_events") == F.col("_n")) & (F.col("tail_hash") == F.col("_tail")), F.lit(False))
+    )
+    return found.unionByName(short.select(chain, F.col("last_seq").alias(seq), F.lit("batch_incomplete").alias("reason")))
 
 
 def pseudonymize_actor(actor: Column, *, secret: str) -> Column:
@@ -107,12 +108,10 @@ def audit_allowlist(payload: Column, allowed: Sequence[str] = C.AUDIT_FIELDS) ->
     return F.map_filter(payload, lambda k, v: F.array_contains(string_array(allowed), k) & v.isNotNull() & (v != ""))
 
 
-def _limit(n: int) -> int:
-    return max(1, min(int(n), 500))
-
-
-def audit_recent(events: DataFrame, *, limit: int = 100, order: Sequence[str] = ("created_at",)) -> DataFrame:
-    return events.orderBy(*[F.col(c).desc() for c in order]).limit(_limit(limit))
+def audit_recent(events: DataFrame, *, limit: int | None = 100, order: Sequence[str] = ("created_at",)) -> DataFrame:
+    """Newest first; ``limit`` None gives all."""
+    rows = events.orderBy(*[F.col(c).desc() for c in order])
+    return rows if limit is None else rows.limit(limit)
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, *, key: str) -> DataFrame:
@@ -130,10 +129,11 @@ def snapshot_diff(old: DataFrame, new: DataFrame, *, key: str) -> DataFrame:
     return out.filter((F.col("action") != "update") | (F.size("changes") > 0))
 
 
-def change_log_query(log: DataFrame, *, label: str | None = None, object_id: str | None = None, limit: int = 100) -> DataFrame:
+def change_log_query(log: DataFrame, *, label: str | None = None, object_id: str | None = None, limit: int | None = 100) -> DataFrame:
     rows = log if not label else log.filter(F.col("label") == label)
     rows = rows if not object_id else rows.filter(F.col("object_id") == object_id)
-    return rows.orderBy(F.col("created_at").desc(), "object_id").limit(_limit(limit))
+    rows = rows.orderBy(F.col("created_at").desc(), "object_id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def human_in_loop(decisions: DataFrame, runs: DataFrame) -> DataFrame:
@@ -161,26 +161,60 @@ def human_in_loop(decisions: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def denial_dedupe(denials: DataFrame, *, keys: Sequence[str], ts: str, seconds: int = 60) -> DataFrame:
+def denial_dedupe(denials: DataFrame, *, keys: Sequence[str], ts: str, seconds: int = 60, slice_seconds: int = 86_400, seed: DataFrame | None = None) -> DataFrame:
     """First denial per key, then none until ``seconds`` have passed since the one that was logged.
 
-    Which rows are logged depends on the last logged one, so a burst (events closer than ``seconds``)
-    is walked in order. Bursts are cut at every longer pause and walked apart; only distinct times of
-    one burst of one caller meet in a task. For endless bursts use the streaming form, which keeps one
-    time per key.
+    Which times are logged depends on the last logged one. Each key is cut into time slices that are walked apart: a slice
+    is reduced to steps "first time taken -> last time logged" for the times that may be first (those in its first
+    ``seconds``, and the next one). The steps are chained per key, one row per slice, and each slice is walked from
+    its entry. However many denials a caller has, a task holds the distinct times of one slice. ``seed`` (keys,
+    last_logged) holds what was logged before.
     """
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy(ts)
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    times = denials.select(*keys, ts).distinct()
-    pause = F.coalesce(micros(F.col(ts)) - F.lag(micros(F.col(ts))).over(w) >= seconds * 1_000_000, F.lit(True))
-    bursts = times.withColumn("_new", pause.cast("int")).withColumn("_run", F.sum("_new").over(w))
-    packed = bursts.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(ts)).alias("_ts"))
-    logged = F.aggregate(
-        "_ts",
-        F.array().cast("array<timestamp_ntz>"),
-        lambda acc, t: F.when(
-            (F.size(acc) == 0) | (micros(t) - micros(F.try_element_at(acc, F.lit(-1))) >= seconds * 1_000_000), F.concat(acc, F.array(t))
-        ).otherwise(acc),
-    )
-    return packed.select(*keys, F.explode(logged).alias(ts))
+    gap, width = seconds * 1_000_000, max(slice_seconds, seconds) * 1_000_000
+    kinds = dict(denials.dtypes)
+    named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    times = denials.filter(F.col(ts).isNotNull()).select(*keys, micros.alias("_t")).distinct().withColumn("_slice", F.floor(F.col("_t") / F.lit(width)).cast("long"))
+
+    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf["_t"].to_numpy(np.int64))
+        following = np.searchsorted(t, t + gap)
+        last = t.copy()
+        for i in range(len(t) - 1, -1, -1):
+            if following[i] < len(t):
+                last[i] = last[following[i]]
+        n = min(len(t), int(np.searchsorted(t, pdf["_slice"].iloc[0] * width + gap)) + 1)
+        return pdf[[*keys, "_slice"]].head(1).assign(_first=[t[:n].tolist()], _last=[last[:n].tolist()])
+
+    def chained(pdf: pd.DataFrame) -> pd.DataFrame:
+        carry = pdf["_seed"].iloc[0]
+        carry = -(1 << 62) if pd.isna(carry) else int(carry)
+        pdf = pdf.sort_values("_slice", ignore_index=True)
+        entries = []
+        for first, last in zip(pdf["_first"], pdf["_last"], strict=True):
+            i = int(np.searchsorted(first, carry + gap))
+            entries.append(None if i == len(first) else int(first[i]))
+            carry = carry if i == len(first) else int(last[i])
+        return pdf[[*keys, "_slice"]].assign(_entry=pd.array(entries, dtype="Int64")).dropna(subset=["_entry"])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf["_t"].to_numpy(np.int64))
+        i, logged = int(np.searchsorted(t, int(pdf["_entry"].iloc[0]))), []
+        while i < len(t):
+            logged.append(t[i])
+            i = int(np.searchsorted(t, t[i] + gap))
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(logged) for k in keys}, "_t": logged})[[*keys, "_t"]]
+
+    reduced = times.groupBy(*keys, "_slice").applyInPandas(steps, f"{named}, _slice long, _first array<long>, _last array<long>")
+    if seed is None:
+        reduced = reduced.withColumn("_seed", F.lit(None).cast("long"))
+    else:
+        before = seed.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.unix_micros(F.col("last_logged").cast("timestamp")).alias("_seed"))
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys])
+        reduced = reduced.join(before, same, "left").drop(*[f"_s_{k}" for k in keys])
+    entries = reduced.groupBy(*keys).applyInPandas(chained, f"{named}, _slice long, _entry long").withColumnsRenamed({k: f"_e_{k}" for k in [*keys, "_slice"]})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in [*keys, "_slice"]])
+    entered = times.join(entries, same).select(*keys, "_slice", "_t", "_entry")
+    logged = entered.groupBy(*keys, "_slice").applyInPandas(walk, f"{named}, _t long")
+    return logged.select(*keys, F.timestamp_micros("_t").cast(kinds[ts]).alias(ts))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from caretrace.plans import windows as WP
 from caretrace.plans.adapter import Tables
 from caretrace.plans.base import emit, query, rnd, ts
 from caretrace.plans.governance import W_SQL
-from caretrace.session import shared_root, cut_lineage
+from caretrace.session import cut_lineage, shared_root
 from caretrace.streaming import streams as S
 
 
@@ -378,22 +379,42 @@ def _(t: Tables) -> DataFrame:
     return out.select("conv_id", "turn", "prev_hash", "chain_hash", "hmac_sig")
 
 
+def sealed_in_batches(t: Tables) -> DataFrame:
+    """Turns 0 to 2 of every conversation as batch 1, the rest as batch 2."""
+    events = audit_events(t)
+    first = L.seal_audit_batch(events.filter("turn < 3"), chain="conv_id", seq="turn", secret=SECRET, batch=1)
+    tails = L.chain_tails(first, chain="conv_id", seq="turn")
+    return first.unionByName(L.seal_audit_batch(events.filter("turn >= 3"), chain="conv_id", seq="turn", secret=SECRET, batch=2, tails=tails))
+
+
+@query("seal_audit_batches", CHAIN_SQL)
+def _(t: Tables) -> DataFrame:
+    return sealed_in_batches(t).select("conv_id", "turn", "prev_hash", "chain_hash", "hmac_sig")
+
+
 @query(
     "verify_audit_chain",
-    """WITH m AS (SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY 1)
-    SELECT conv_id, turn, 'content_changed' AS reason FROM conversations JOIN m USING (conv_id) WHERE conv_id % 5 = 0 AND turn = 0
+    """WITH m AS (SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY 1),
+    b AS (SELECT conv_id, CASE WHEN turn < 3 THEN 1 ELSE 2 END AS batch, max(turn) AS last_seq FROM conversations GROUP BY ALL)
+    SELECT conv_id, turn, 'content_changed' AS reason FROM conversations WHERE conv_id % 5 = 0 AND turn = 0
     UNION ALL SELECT conv_id, turn, 'signature_invalid' FROM conversations WHERE conv_id % 5 = 1 AND turn = 1
-    UNION ALL SELECT conv_id, 1, 'predecessor_missing' FROM m WHERE conv_id % 5 = 2 AND last_turn >= 1""",
+    UNION ALL SELECT conv_id, 1, 'predecessor_missing' FROM m WHERE conv_id % 5 = 2 AND last_turn >= 1
+    UNION ALL SELECT conv_id, last_seq, 'batch_incomplete' FROM b JOIN m USING (conv_id)
+      WHERE (conv_id % 5 = 2 AND batch = 1) OR (conv_id % 5 = 3 AND last_seq = last_turn) OR conv_id % 5 = 4""",
 )
 def _(t: Tables) -> DataFrame:
-    sealed = L.seal_audit_batch(audit_events(t), chain="conv_id", seq="turn", secret=SECRET)
+    sealed = sealed_in_batches(t)
+    manifest = L.batch_manifest(sealed, chain="conv_id", seq="turn")
+    last = manifest.groupBy("conv_id").agg(F.max("last_seq").alias("end"))
     k = F.col("conv_id") % 5
     tampered = (
-        sealed.filter(~((k == 2) & (F.col("turn") == 0)))
+        sealed.join(last, "conv_id")
+        .filter(~((k == 2) & (F.col("turn") == 0)) & ~((k == 3) & (F.col("turn") == F.col("end"))) & (k != 4))
+        .drop("end")
         .withColumn("actor", F.when((k == 0) & (F.col("turn") == 0), F.lit("intruder")).otherwise(F.col("actor")))
         .withColumn("hmac_sig", F.when((k == 1) & (F.col("turn") == 1), F.lit("00")).otherwise(F.col("hmac_sig")))
     )
-    return L.verify_audit_chain(tampered, chain="conv_id", seq="turn", secret=SECRET).drop("segment")
+    return L.verify_audit_chain(tampered, chain="conv_id", seq="turn", secret=SECRET, manifest=manifest)
 
 
 @query(
@@ -420,7 +441,7 @@ def _(t: Tables) -> DataFrame:
 @query("audit_recent", f"SELECT event_id, {ts('ts', 'created_at')} FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
 def _(t: Tables) -> DataFrame:
     rows = t.raw("events").select("event_id", F.col("ts").alias("created_at"))
-    return emit(L.audit_recent(rows, limit=9999, order=("created_at", "event_id")))
+    return emit(L.audit_recent(rows, limit=500, order=("created_at", "event_id")))
 
 
 @query(
@@ -469,14 +490,15 @@ def _(t: Tables) -> DataFrame:
     return emit(L.human_in_loop(decisions, runs))
 
 
-DEDUPE_SQL = f"""
+def dedupe_sql(minutes: int) -> str:
+    return f"""
 WITH RECURSIVE x AS (SELECT DISTINCT user_id % 3 AS caller, event_type AS error, ts FROM events),
 log AS (SELECT caller, error, min(ts) AS ts FROM x GROUP BY ALL
- UNION ALL SELECT caller, error, nxt FROM (SELECT l.caller, l.error, (SELECT min(x.ts) FROM x WHERE x.caller = l.caller AND x.error = l.error AND x.ts >= l.ts + INTERVAL 60 MINUTE) AS nxt FROM log l) WHERE nxt IS NOT NULL)
+ UNION ALL SELECT caller, error, nxt FROM (SELECT l.caller, l.error, (SELECT min(x.ts) FROM x WHERE x.caller = l.caller AND x.error = l.error AND x.ts >= l.ts + INTERVAL {minutes} MINUTE) AS nxt FROM log l) WHERE nxt IS NOT NULL)
 SELECT caller, error, {ts('ts', 'logged_at')} FROM log"""
 
 
-@query("denial_dedupe", DEDUPE_SQL)
+@query("denial_dedupe", dedupe_sql(60))
 def _(t: Tables) -> DataFrame:
     d = t.raw("events").select((F.col("user_id") % 3).alias("caller"), F.col("event_type").alias("error"), F.col("ts").alias("logged_at"))
     return emit(L.denial_dedupe(d, keys=["caller", "error"], ts="logged_at", seconds=3600))
@@ -485,8 +507,22 @@ def _(t: Tables) -> DataFrame:
 # --- streams ---------------------------------------------------------------------------------
 
 
-def event_stream(t: Tables) -> DataFrame:
-    return S.file_stream(t.spark, f"{t.sf_dir}/events*.parquet", schema=t.raw("events").schema)
+def in_parts(t: Tables, source: str, run: Callable[[DataFrame], None], parts: int = 4, late: bool = True) -> None:
+    """Let a stream read ``events`` in time-ordered parts, one run of the query and so one micro-batch or more per part.
+
+    With ``late`` every eleventh event comes one part later than its time says.
+    """
+    events = t.raw("events")
+    ends = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("a"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("b"))
+    place = F.unix_micros(F.col("ts").cast("timestamp"))
+    spot = events.withColumn("_e", ends.select(F.struct("a", "b")).scalar())
+    part = F.least(F.floor((place - F.col("_e.a")) / (F.col("_e.b") - F.col("_e.a") + 1) * parts), F.lit(parts - 1))
+    if late:
+        part = F.least(part + (F.col("event_id") % 11 == 0).cast("int"), F.lit(parts - 1))
+    dealt = spot.withColumn("_p", part.cast("int"))
+    for k in range(parts):
+        dealt.filter(F.col("_p") == k).drop("_e", "_p").write.mode("append").parquet(source)
+        run(S.file_stream(t.spark, source, schema=events.schema))
 
 
 @query(
@@ -496,9 +532,10 @@ def event_stream(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     out, order = shared_folder(t, "upserts"), ["ingested_at", "event_id"]
     rid = F.when(F.col("event_id") % 19 == 0, F.lit(" ")).otherwise(F.concat(F.lit("k"), F.col("event_id") % 40))
-    rows = event_stream(t).select(F.col("user_id").alias("episode_id"), F.col("event_type").alias("resource_type"), rid.alias("resource_id"), F.col("ts").alias("ingested_at"), "event_id")
-    S.stream_raw_latest(rows, out, f"{out}-ckpt", order=order)
-    return emit(S.read_latest(t.spark, out, order=order))
+    shaped = lambda rows: rows.select(F.col("user_id").alias("episode_id"), F.col("event_type").alias("resource_type"), rid.alias("resource_id"), F.col("ts").alias("ingested_at"), "event_id")
+    in_parts(t, f"{out}-source", lambda rows: S.stream_raw_latest(shaped(rows), out, f"{out}-ckpt", order=order))
+    S.compact_latest(t.spark, out, f"{out}-compact", order=order)
+    return emit(S.read_latest(t.spark, f"{out}-compact", order=order))
 
 
 @query(
@@ -508,26 +545,28 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     out = shared_folder(t, "counts")
-    rows = event_stream(t).select(F.col("user_id").alias("episode_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value", (F.col("event_type") == "error").alias("is_nursing"))
-    counts = S.stream_window_counts(rows, key="episode_id", ts="ts", lateness="30 days")
+    shaped = lambda rows: rows.select(F.col("user_id").alias("episode_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value", (F.col("event_type") == "error").alias("is_nursing"))
 
     # The last state of every window is kept: update mode writes a window again when it changes.
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    S.run_available(counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}-ckpt"))
+    def run(rows: DataFrame) -> None:
+        counts = S.stream_window_counts(shaped(rows), key="episode_id", ts="ts", lateness="30 days")
+        S.run_available(counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}-ckpt"))
+
+    in_parts(t, f"{out}-source", run)
     from caretrace.functions.tables import latest_by
 
     final = latest_by(t.spark.read.parquet(out).drop("batch_id"), ["episode_id", "start_dt"], ["batch"])
     return emit(final.select("episode_id", "start_dt", "n", "n_nursing", "last_value"))
 
 
-@query("stream_denial_dedupe")
+@query("stream_denial_dedupe", dedupe_sql(1))
 def _(t: Tables) -> DataFrame:
     out = shared_folder(t, "denials")
-    rows = event_stream(t).select((F.col("user_id") % 3).alias("caller"), F.col("event_type").alias("error"), F.col("ts").cast("timestamp").alias("ts"))
-    deduped = S.stream_denial_dedupe(rows, keys=["caller", "error"], ts="ts")
-    S.append_batches(deduped, lambda batch: batch, out, f"{out}-ckpt")
+    shaped = lambda rows: rows.select((F.col("user_id") % 3).alias("caller"), F.col("event_type").alias("error"), F.col("ts").alias("logged_at"))
+    in_parts(t, f"{out}-source", lambda rows: S.stream_denial_dedupe(shaped(rows), out, f"{out}-ckpt", keys=["caller", "error"], ts="logged_at"), late=False)
     return emit(t.spark.read.parquet(out).drop("batch_id"))
 
 
@@ -539,6 +578,5 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     out = shared_folder(t, "followup")
-    rows = event_stream(t).select(F.col("user_id").alias("episode_id"), "ts")
-    S.stream_followup(rows, followup_records(t), out, f"{out}-ckpt", ts="ts")
+    in_parts(t, f"{out}-source", lambda rows: S.stream_followup(rows.select(F.col("user_id").alias("episode_id"), "ts"), followup_records(t), out, f"{out}-ckpt", ts="ts"))
     return emit(S.read_followup(t.spark, out))

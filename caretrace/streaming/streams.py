@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from caretrace.functions.tables import latest_by
+from caretrace.operators.audit import denial_dedupe
 from caretrace.sources.resources import RAW_KEYS, raw_latest
 
 
@@ -47,6 +48,14 @@ def read_latest(spark: SparkSession, path: str, *, order: Sequence[str]) -> Data
     return latest_by(spark.read.parquet(path).drop("batch_id"), RAW_KEYS, list(order))
 
 
+def compact_latest(spark: SparkSession, path: str, target: str, *, order: Sequence[str]) -> None:
+    """Write the current rows of an upsert log to a new log at ``target``, as its first batch.
+
+    The old log stays as it is; readers and the stream move to ``target``, and the old folder can go.
+    """
+    read_latest(spark, path, order=order).write.mode("overwrite").parquet(f"{target}/batch_id=-1")
+
+
 def stream_window_counts(events: DataFrame, *, key: str, ts: str, hours: int = 12, lateness: str = "1 hour") -> DataFrame:
     """Counts and last value per key and clock window; rows later than the watermark are dropped."""
     return (
@@ -61,9 +70,25 @@ def stream_window_counts(events: DataFrame, *, key: str, ts: str, hours: int = 1
     )
 
 
-def stream_denial_dedupe(denials: DataFrame, *, keys: Sequence[str], ts: str, seconds: int = 60) -> DataFrame:
-    """One row per key until ``seconds`` have passed; state is one time per key and expires with the watermark."""
-    return denials.withWatermark(ts, f"{seconds} seconds").dropDuplicatesWithinWatermark(list(keys))
+def stream_denial_dedupe(denials: DataFrame, path: str, checkpoint: str, *, keys: Sequence[str], ts: str, seconds: int = 60) -> None:
+    """Log one denial per key, then none until ``seconds`` have passed since the logged one.
+
+    Every micro-batch goes through the batch rule, seeded with the last logged time of each key. That state is one row per
+    key, written anew next to the log by each batch, so a replayed batch starts from the state before it. Rows that come
+    after a later one of their key was logged are not logged any more.
+    """
+    spark, keys = denials.sparkSession, list(keys)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        state = f"{path}-state/after="
+        before = spark.read.parquet(f"{state}{batch_id - 1}") if batch_id else None
+        logged = denial_dedupe(batch, keys=keys, ts=ts, seconds=seconds, seed=before)
+        logged.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        new = spark.read.schema(logged.schema).parquet(f"{path}/batch_id={batch_id}").withColumnRenamed(ts, "last_logged")
+        both = new if before is None else before.unionByName(new)
+        both.groupBy(*keys).agg(F.max("last_logged").alias("last_logged")).write.mode("overwrite").parquet(f"{state}{batch_id}")
+
+    run_available(denials.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
 
 
 def stream_followup(evidence: DataFrame, records: DataFrame, path: str, checkpoint: str, *, ts: str) -> None:

@@ -240,11 +240,37 @@ def test_audit_segments_and_verification(spark):
     ev = spark.range(25).select(
         F.lit("x").alias("chain"), F.col("id").alias("seq"), F.col("id").cast("string").alias("created_at"), F.lit("e").alias("event_type"), F.lit("a").alias("actor"), F.lit("c").alias("context"), F.sha2(F.col("id").cast("string"), 256).alias("payload_sha256")
     )
-    sealed = L.seal_audit_batch(ev, chain="chain", seq="seq", secret="k", segment_size=10)
-    assert sealed.count() == 25 and L.verify_audit_chain(sealed, chain="chain", seq="seq", secret="k").count() == 0
-    assert [r.n_events for r in L.seal_segments(sealed, chain="chain", seq="seq").orderBy("segment").collect()] == [10, 10, 5]
-    broken = sealed.filter("seq <> 3")
-    assert [r.reason for r in L.verify_audit_chain(broken, chain="chain", seq="seq", secret="k").collect()] == ["predecessor_missing"]
+    args = {"chain": "chain", "seq": "seq"}
+    whole = L.seal_audit_batch(ev, secret="k", **args)
+    parts = None
+    for k, where in enumerate(("seq < 10", "seq between 10 and 19", "seq > 19")):
+        part = L.seal_audit_batch(ev.filter(where), secret="k", batch=k, tails=None if parts is None else L.chain_tails(parts, **args), **args)
+        parts = part if parts is None else parts.unionByName(part)
+    hashes = lambda df: [(r.seq, r.prev_hash, r.chain_hash) for r in df.orderBy("seq").collect()]
+    assert hashes(parts) == hashes(whole)
+    manifest = L.batch_manifest(parts, **args)
+    assert [r.n_events for r in manifest.orderBy("batch").collect()] == [10, 10, 5]
+    broken = lambda where: sorted((r.seq, r.reason) for r in L.verify_audit_chain(parts.filter(where), secret="k", manifest=manifest, **args).collect())
+    assert broken("true") == []
+    assert broken("seq <> 3") == [(4, "predecessor_missing"), (9, "batch_incomplete")]
+    assert broken("seq < 24") == [(24, "batch_incomplete")]
+    assert broken("batch < 2") == [(24, "batch_incomplete")]
+
+
+def test_denials_against_a_walk(spark):
+    rng = random.Random(3)
+    rows = [("hot", rng.randrange(4 * 86_400)) for _ in range(6000)] + [(c, rng.randrange(4 * 86_400)) for c in "abc" for _ in range(30)] + [(None, 5), (None, 64), (None, 65)]
+    df = spark.createDataFrame(rows, "caller string, s int").withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    want = set()
+    for c in {c for c, _ in rows}:
+        last = None
+        for s in sorted({s for k, s in rows if k == c}):
+            if last is None or s - last >= 60:
+                want.add((c, s))
+                last = s
+    for width in (100, 3600, 86_400 * 30):
+        got = L.denial_dedupe(df, keys=["caller"], ts="ts", slice_seconds=width).select("caller", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s")).collect()
+        assert {(r.caller, r.s) for r in got} == want and len(got) == len(want)
 
 
 def test_hmac_matches_the_standard_library(spark):
