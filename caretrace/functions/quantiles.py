@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 10_000
 BRACKET = 0.001
-SMALL_N = 20_000  # below this the bracket is the whole range: ranks are too coarse for the half-width
+# A bracket's half-width is the first of BRACKET, 2 BRACKET, 4 BRACKET ... that spans this many ranks, else the whole range.
+RANKS = 20
+LADDER = 10
+CELLS = 1024  # cells of equal width inside a bracket; only those that hold a wanted rank are ordered by value
 
 
 def exact_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
@@ -33,9 +36,10 @@ def exact_quantiles_of(
 
     Pass 1 sketches a bracket around each wanted rank (rank error of the sketch is far below the
     bracket half-width). Pass 2 counts the rows below each bracket exactly and keeps only the distinct
-    values inside it with their counts, about 0.2 % of the rows in the worst case; the wanted order
-    statistics are read from a running count over those. No column is collected or sorted whole, and
-    only bracket rows are shuffled: the rest collapses in the map-side aggregate.
+    values inside it with their counts, about 0.2 % of the rows in the worst case. These are counted per
+    cell of the bracket; the running count is over cells, and values are ordered only within the cells
+    that hold a wanted rank. No column is collected or sorted whole, and only bracket rows are shuffled:
+    the rest collapses in the map-side aggregate. The same path serves every number of rows.
     """
     columns = list(dict.fromkeys(str(v) if not isinstance(v, str) else v for _, v, _ in wanted))
     exprs = {(v if isinstance(v, str) else str(v)): (F.col(v) if isinstance(v, str) else v) for _, v, _ in wanted}
@@ -46,9 +50,10 @@ def exact_quantiles_of(
         return F.when(~F.isnan(c), c)
 
     data = df.select(*[finite(exprs[c]).alias(f"v{i}") for i, c in enumerate(columns)])
+    steps = [BRACKET * 2**k for k in range(LADDER)]
     probs = {i: [] for i in range(len(columns))}
     for _, v, q in wanted:
-        probs[pos[v if isinstance(v, str) else str(v)]] += [max(q - BRACKET, 0.0), min(q + BRACKET, 1.0)]
+        probs[pos[v if isinstance(v, str) else str(v)]] += [p for step in steps for p in (max(q - step, 0.0), min(q + step, 1.0))]
     sketch = data.agg(
         F.struct(
             *[
@@ -68,9 +73,11 @@ def exact_quantiles_of(
         i = pos[v if isinstance(v, str) else str(v)]
         j, s = used[i], f"_s.c{i}"
         used[i] += 1
-        small = F.col(f"{s}.n") < SMALL_N
-        low = F.col(f"{s}.mn") if q - BRACKET <= 0 else F.when(small, F.col(f"{s}.mn")).otherwise(F.col(f"{s}.b")[2 * j])
-        high = F.col(f"{s}.mx") if q + BRACKET >= 1 else F.when(small, F.col(f"{s}.mx")).otherwise(F.col(f"{s}.b")[2 * j + 1])
+        low, high = F.col(f"{s}.mn"), F.col(f"{s}.mx")
+        for at in reversed(range(LADDER)):
+            wide = F.col(f"{s}.n") * steps[at] >= RANKS
+            low = F.when(wide, F.col(f"{s}.mn") if q - steps[at] <= 0 else F.col(f"{s}.b")[2 * (LADDER * j + at)]).otherwise(low)
+            high = F.when(wide, F.col(f"{s}.mx") if q + steps[at] >= 1 else F.col(f"{s}.b")[2 * (LADDER * j + at) + 1]).otherwise(high)
         brackets.append(
             F.struct(
                 F.lit(k).alias("i"),
@@ -81,11 +88,18 @@ def exact_quantiles_of(
             )
         )
     spread = data.withColumn("_s", sketch.scalar()).select(F.inline(F.array(*brackets)))
-    below = spread.filter(F.col("v") <= F.col("hi")).select("i", "rank", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("v"))
-    # Rows under the bracket collapse to one count per quantile before they reach the window.
-    collapsed = below.groupBy("i", "rank", "v").agg(F.count(F.lit(1)).alias("c"))
-    run = Window.partitionBy("i").orderBy(F.col("v").asc_nulls_first())
-    upto = collapsed.withColumn("e", F.sum("c").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    inside = F.col("v") >= F.col("lo")
+    cell = F.when(inside, F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS), F.lit(CELLS - 1))).otherwise(F.lit(0)))
+    below = spread.filter(F.col("v") <= F.col("hi")).select("i", "rank", F.coalesce(cell, F.lit(-1)).cast("long").alias("cell"), F.when(inside, F.col("v")).alias("v"))
+    # Rows under the bracket collapse to one count per quantile (cell -1) before they reach a window.
+    collapsed = below.groupBy("i", "rank", "cell", "v").agg(F.count(F.lit(1)).alias("c"))
+    cells = collapsed.groupBy("i", "rank", "cell").agg(F.sum("c").alias("k"))
+    upto_cell = cells.withColumn("end", F.sum("k").over(Window.partitionBy("i").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    before = F.col("end") - F.col("k")
+    holds = lambda r: (F.col("end") > r) & (before <= r)
+    hit = upto_cell.filter(holds(F.floor("rank")) | holds(F.ceil("rank"))).select("i", "cell", before.alias("before"))
+    run = Window.partitionBy("i", "cell").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = collapsed.join(hit, ["i", "cell"]).withColumn("e", F.col("before") + F.sum("c").over(run))
     at = upto.groupBy("i").agg(
         F.min(F.when(F.col("e") > F.floor("rank"), F.col("v"))).alias("low"),
         F.min(F.when(F.col("e") > F.ceil("rank"), F.col("v"))).alias("high"),

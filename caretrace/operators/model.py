@@ -152,27 +152,47 @@ def _leaves(node, bounds: dict[int, tuple[float, float]], scale: float, out: lis
     _leaves(node.rightChild(), {**bounds, f: (max(low, cut), high)}, scale, out)
 
 
-def leaf_tables(model, background: np.ndarray) -> tuple[list, float]:
+def _pattern(x: np.ndarray, bounds: dict[int, tuple[float, float]]) -> np.ndarray:
+    """Number whose bits say which of a leaf's feature intervals each row satisfies."""
+    feats = sorted(bounds)
+    inside = np.column_stack([(x[:, f] > bounds[f][0]) & (x[:, f] <= bounds[f][1]) for f in feats])
+    return inside @ (1 << np.arange(len(feats)))
+
+
+def leaf_shares(rows: DataFrame, leaves: list, features: Sequence[str]) -> list[np.ndarray]:
+    """Per leaf the share of each of its 2^k patterns among all ``rows``: counted on the executors, one sum per pattern."""
+    bounds = [b for b, _ in leaves]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = [np.zeros(1 << len(b), np.int64) for b in bounds]
+        for batch in batches:
+            x = batch[features].to_numpy(dtype=float)
+            for total, b in zip(seen, bounds, strict=True):
+                total += np.bincount(_pattern(x, b), minlength=len(total)) if b else len(x)
+        yield pd.DataFrame([(i, p, int(k)) for i, total in enumerate(seen) for p, k in enumerate(total) if k], columns=["leaf", "pattern", "k"])
+
+    shares = [np.zeros(1 << len(b)) for b in bounds]
+    for row in rows.select(*features).mapInPandas(count, "leaf int, pattern int, k long").groupBy("leaf", "pattern").agg(F.sum("k").alias("k")).collect():
+        shares[row["leaf"]][row["pattern"]] = row["k"]
+    return [s / max(s.sum(), 1) for s in shares]
+
+
+def leaf_tables(leaves: list, shares: list[np.ndarray]) -> tuple[list, float]:
     """Per leaf: its feature intervals and, per pattern of satisfied intervals, the attribution vector.
 
     With k features on a leaf path a row falls into one of 2^k patterns, and so does every background
-    row; Shapley weights depend only on the two patterns. The table is built once on the driver from
-    the bounded background and shipped to the tasks.
+    row; Shapley weights depend only on the two patterns, so the shares of the patterns are all that is
+    needed of the background.
     """
     from math import factorial
 
-    leaves: list = []
-    for tree, w in zip(model.trees, model.treeWeights):
-        _leaves(tree._call_java("rootNode"), {}, float(w), leaves)
     tables, expected = [], 0.0
-    for bounds, value in leaves:
+    for (bounds, value), share in zip(leaves, shares, strict=True):
         feats = sorted(bounds)
         k = len(feats)
         if k == 0:
             expected += value
             continue
-        inside = np.column_stack([(background[:, f] > bounds[f][0]) & (background[:, f] <= bounds[f][1]) for f in feats])
-        share = np.bincount(inside @ (1 << np.arange(k)), minlength=1 << k) / len(background)
         expected += value * share[-1]
         table = np.zeros((1 << k, k))
         for px in range(1 << k):
@@ -186,31 +206,37 @@ def leaf_tables(model, background: np.ndarray) -> tuple[list, float]:
                     table[px, i] += share[pz] * value * factorial(u - 1) * factorial(v) / factorial(u + v)
                 for i in only_z:
                     table[px, i] -= share[pz] * value * factorial(u) * factorial(v - 1) / factorial(u + v)
-        tables.append((feats, [bounds[f] for f in feats], table))
+        tables.append((feats, bounds, table))
     return tables, expected
 
 
-def tree_attribution(df: DataFrame, model, *, features: Sequence[str], row_id: str, background_rows: int = 200) -> DataFrame:
-    """(row_id, phi_<feature>..., expected): exact interventional attribution of a tree ensemble.
+def tree_attribution(df: DataFrame, model, *, features: Sequence[str], row_id: str, background: DataFrame | None = None) -> DataFrame:
+    """(row_id, phi_<feature>..., expected, prediction): exact interventional attribution of a tree ensemble.
 
-    The background is a fixed, repeatable set of rows; rows stay where they are (no shuffle).
+    All rows of ``background`` (``df`` itself by default) are the background. Rows stay where they are (no shuffle).
     """
     features = list(features)
+    leaves: list = []
+    for tree, w in zip(model.trees, model.treeWeights):
+        _leaves(tree._call_java("rootNode"), {}, float(w), leaves)
     rows = df.select(row_id, *[filled(f).alias(f) for f in features])
-    sample = rows.orderBy(row_id, *features).limit(background_rows).toPandas()
-    tables, expected = leaf_tables(model, sample[features].to_numpy(dtype=float))
-    schema = f"{row_id} {dict(df.dtypes)[row_id]}, " + ", ".join(f"phi_{f} double" for f in features) + ", expected double"
+    base = rows if background is None else background.select(*[filled(f).alias(f) for f in features])
+    tables, expected = leaf_tables(leaves, leaf_shares(base, leaves, features))
+    constant = float(sum(value for bounds, value in leaves if not bounds))
+    whole = [(bounds, value) for bounds, value in leaves if bounds]
+    schema = f"{row_id} {dict(df.dtypes)[row_id]}, " + ", ".join(f"phi_{f} double" for f in features) + ", expected double, prediction double"
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = batch[features].to_numpy(dtype=float)
-            phi = np.zeros_like(x)
-            for feats, spans, table in tables:
-                inside = np.column_stack([(x[:, f] > lo) & (x[:, f] <= hi) for f, (lo, hi) in zip(feats, spans)])
-                phi[:, feats] += table[inside @ (1 << np.arange(len(feats)))]
+            phi, said = np.zeros_like(x), np.full(len(x), constant)
+            for (feats, bounds, table), (_, value) in zip(tables, whole, strict=True):
+                pattern = _pattern(x, bounds)
+                phi[:, feats] += table[pattern]
+                said += np.where(pattern == len(table) - 1, value, 0.0)
             out = pd.DataFrame(phi, columns=[f"phi_{f}" for f in features])
             out.insert(0, row_id, batch[row_id].to_numpy())
-            yield out.assign(expected=expected)
+            yield out.assign(expected=expected, prediction=said)
 
     return rows.mapInPandas(attribute, schema)
 

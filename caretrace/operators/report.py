@@ -212,22 +212,25 @@ def missingness_exclusions(df: DataFrame, *, required: Sequence[str]) -> tuple[D
     return df.filter(~excluded), reasons
 
 
-def component_reasons(df: DataFrame, *, required: Sequence[str], top: int = 60) -> DataFrame:
-    """Component flags of excluded rows without an outcome, the ``top`` largest."""
+def _top(ranked: DataFrame, n: int | None) -> DataFrame:
+    return ranked if n is None else ranked.limit(n)
+
+
+def component_reasons(df: DataFrame, *, required: Sequence[str], top: int | None = None) -> DataFrame:
+    """Component flags of excluded rows without an outcome, largest first; ``top`` None gives all."""
     flags = gating_flags(df.columns, required)
     parts = [f for f in flags if f.endswith(("_t0", "_t1")) and "85556_9" not in f]
     counts = _flag_counts(df, parts, is_excluded(flags) & _set("missing_delta_ri"))
-    return _decoded(counts).orderBy(F.col("excluded").desc(), "flag").limit(top)
+    return _top(_decoded(counts).orderBy(F.col("excluded").desc(), "flag"), top)
 
 
-def component_reasons_long(excluded_windows: DataFrame, components: DataFrame, *, top: int = 60) -> DataFrame:
+def component_reasons_long(excluded_windows: DataFrame, components: DataFrame, *, top: int | None = None) -> DataFrame:
     """The same from the long component table: no wide flags are needed."""
     hit = components.filter("missing = 1").join(excluded_windows, ["episode_id", "window_index"], "left_semi")
     counts = hit.groupBy("code", F.col("anchor").alias("where")).agg(F.count(F.lit(1)).alias("excluded"))
     names = F.create_map(*[F.lit(x) for pair in C.LOINC_DISPLAY.items() for x in pair])
-    return counts.withColumn("display", F.coalesce(F.try_element_at(names, F.col("code")), F.lit(""))).orderBy(
-        F.col("excluded").desc(), "code", "where"
-    ).limit(top)
+    named = counts.withColumn("display", F.coalesce(F.try_element_at(names, F.col("code")), F.lit("")))
+    return _top(named.orderBy(F.col("excluded").desc(), "code", "where"), top)
 
 
 # --- playbook --------------------------------------------------------------------------------
@@ -256,14 +259,14 @@ def playbook_severity(excluded: Column, n_before: Column) -> Column:
     )
 
 
-def quality_playbook(reasons: DataFrame, stages: DataFrame, *, n_before: Column | int, top: int = 25) -> DataFrame:
+def quality_playbook(reasons: DataFrame, stages: DataFrame, *, n_before: Column | int, top: int | None = None) -> DataFrame:
     """Ranked issues with severity, owner and action, from missingness reasons and failed criteria."""
     n = n_before if isinstance(n_before, Column) else F.lit(n_before)
     owner, action = F.lit("Quality Ops"), F.lit("Review capture at the source, mapping and training for the missing value.")
     for codes, who, what in reversed(OWNERS):
         hit = F.col("code").isin(list(codes))
         owner, action = F.when(hit, F.lit(who)).otherwise(owner), F.when(hit, F.lit(what)).otherwise(action)
-    missing = reasons.filter((F.col("code") != "") & (F.col("excluded") > 0)).orderBy(F.col("excluded").desc(), "code", "where").limit(top)
+    missing = _top(reasons.filter((F.col("code") != "") & (F.col("excluded") > 0)).orderBy(F.col("excluded").desc(), "code", "where"), top)
     first = missing.select(
         F.lit("missingness").alias("stage"), "code", "display", "where", "excluded", playbook_severity(F.col("excluded"), n).alias("severity"), owner.alias("owner_role"), action.alias("action")
     )

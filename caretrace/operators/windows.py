@@ -523,7 +523,7 @@ def schema_hash(feature_names: Column, target_names: Column) -> Column:
     return F.sha2(F.concat_ws("#", *joined), 256)
 
 
-def missing_rate_snapshot(df: DataFrame, *, columns: list[str] | None = None, top: int = 50) -> DataFrame:
+def missing_rate_snapshot(df: DataFrame, *, columns: list[str] | None = None, top: int | None = None) -> DataFrame:
     """Null share of every column from one pass, the ``top`` largest, with row and column counts."""
     columns = columns or df.columns
     rates = df.agg(
@@ -534,7 +534,7 @@ def missing_rate_snapshot(df: DataFrame, *, columns: list[str] | None = None, to
     return (
         rates.select("n_rows", F.lit(len(columns)).cast("long").alias("n_cols"), F.inline(pairs))
         .orderBy(F.col("missing_rate").desc(), "column")
-        .limit(top)
+        .limit(len(columns) if top is None else top)
     )
 
 

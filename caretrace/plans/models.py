@@ -79,10 +79,14 @@ def _(t: Tables) -> DataFrame:
     return emit(out.select("row_id", "prediction", "governed_sum", "group_nursing", "group_other"), digits=5)
 
 
-@query("tree_attribution")
+@query("tree_attribution", "SELECT row_id, 0.0 AS gap, 0.0 AS expected_gap FROM v_feat")
 def _(t: Tables) -> DataFrame:
     model, _ = M.train_outcome_model(t.feat, features=FEATURES, target="delta_ri", row_id="row_id", n_trees=3, learning_rate=0.3, depth=3)
-    return emit(M.tree_attribution(t.feat, model, features=FEATURES, row_id="row_id"))
+    out = M.tree_attribution(t.feat, model, features=FEATURES, row_id="row_id")
+    parts = sum((F.col(f"phi_{f}") for f in FEATURES), F.col("expected"))
+    # The parts add up to the prediction, and the background's mean prediction is the expected value.
+    mean = out.agg(F.avg("prediction").alias("m")).scalar()
+    return emit(out.select("row_id", (parts - F.col("prediction")).alias("gap"), (mean - F.col("expected")).alias("expected_gap")))
 
 
 @query(
@@ -294,9 +298,14 @@ COHORT_CAUSAL = X.CausalSpec("nurse_hppd", "delta_ri", ("ri_initial", "nurse_ski
 
 def scored_cohort(t: Tables) -> DataFrame:
     rows = t.feat
-    model = M.fit_linear(rows, FEATURES, "delta_ri")
+    known = rows.filter(F.col("delta_ri").isNotNull())
+    held = F.pmod(F.xxhash64("row_id"), F.lit(5)) == 0
+    training = known.filter(~held)
+    model = M.fit_linear(training, FEATURES, "delta_ri")
+    errors = known.filter(held).select((F.col("delta_ri") - model.predict()).alias("residual"))
+    calibration = M.conformal_q_hat(errors, residual="residual").first()
     return score_cohort(
-        rows, rows, model=model, governed=PAIR, target="delta_ri", drift=drift_stats(rows), q_hat=30.0, train_rows=5000, causal=COHORT_CAUSAL
+        rows, rows, model=model, governed=PAIR, target="delta_ri", drift=drift_stats(rows), q_hat=calibration["q_hat"], train_rows=training.count(), causal=COHORT_CAUSAL
     )
 
 
@@ -418,7 +427,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("refute_effect")
 def _(t: Tables) -> DataFrame:
-    parts = [X.refute_effect(t.cohort, SPEC, method=m) for m in ("random_common_cause", "placebo_treatment", "data_subset")]
+    base = X.mean_effect(t.cohort, SPEC)
+    parts = [X.refute_effect(t.cohort, SPEC, method=m, base=base) for m in ("random_common_cause", "placebo_treatment", "data_subset")]
     return emit(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 

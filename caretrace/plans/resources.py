@@ -141,9 +141,11 @@ def _(t: Tables) -> DataFrame:
 KEYS_NOW = ["0123456789abcdef", "fedcba9876543210"]
 
 
-@query("encrypt_payload")
+@query("encrypt_payload", "SELECT event_id, md5(payload) AS opened_md5, true AS marked, true AS differs FROM v_raw")
 def _(t: Tables) -> DataFrame:
-    return t.raw_resources.select("event_id", R.encrypt_payload(F.col("payload"), KEYS_NOW).alias("stored"))
+    stored = t.raw_resources.select("event_id", "payload", R.encrypt_payload(F.col("payload"), KEYS_NOW).alias("s"))
+    opened = F.md5(R.decrypt_payload(F.col("s"), KEYS_NOW)).alias("opened_md5")
+    return stored.select("event_id", opened, F.col("s").startswith(R.ENC_MARK).alias("marked"), (~F.contains("s", "payload")).alias("differs"))
 
 
 @query(

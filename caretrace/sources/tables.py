@@ -61,7 +61,7 @@ def write_features(df: DataFrame, path: str, *, partition_by: str = "unit_id", t
     """
     mode = "static" if truncate else "dynamic"
     (
-        df.repartition(partition_by, F.pmod(F.xxhash64("episode_id"), F.lit(64)))
+        df.repartition(partition_by, "episode_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", mode)
         .partitionBy(partition_by)

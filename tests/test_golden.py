@@ -296,3 +296,98 @@ def test_e_value_and_fisher(spark):
     rr = math.exp(0.455)
     assert row.e_value == pytest.approx(rr + math.sqrt(rr * (rr - 1)))
     assert X.fisher_p(0.0, 50) == 1.0 and X.fisher_p(0.9, 50) < 1e-9
+
+
+def test_outcome_model_learns(spark):
+    df = spark.range(600).select(F.col("id").alias("row_id"), (F.col("id") % 10).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b")).withColumn("y", 3 * F.col("a") + (F.col("b") > 3).cast("double") * 10)
+    model, held = M.train_outcome_model(df, features=["a", "b"], target="y", row_id="row_id", n_trees=20, depth=4, learning_rate=0.3)
+    said = M.tree_attribution(df, model, features=["a", "b"], row_id="row_id").join(df, "row_id").agg(F.sqrt(F.avg((F.col("prediction") - F.col("y")) ** 2)).alias("rmse"), F.stddev_pop("y").alias("sd")).first()
+    assert said.rmse < 0.1 * said.sd
+
+
+def test_attribution_background_is_every_row(spark):
+    df = spark.range(1000).select(F.col("id").alias("row_id"), F.col("id").cast("double").alias("a")).withColumn("y", F.col("a"))
+    model, _ = M.train_outcome_model(df, features=["a"], target="y", row_id="row_id", n_trees=2, depth=3, learning_rate=0.5)
+    out = M.tree_attribution(df, model, features=["a"], row_id="row_id")
+    row = out.agg(F.avg("prediction").alias("p"), F.max("expected").alias("e")).first()
+    assert row.e == pytest.approx(row.p, abs=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 2, 19, 300, 19_999, 20_001, 60_000])
+def test_quantiles_on_both_sides_of_every_size(spark, n):
+    df = spark.range(n).select(F.pmod(F.xxhash64("id"), F.lit(7 * n)).cast("double").alias("v"), F.when(F.col("id") % 2 == 0, 5.0).otherwise(F.col("id").cast("double")).alias("w"))
+    got = exact_quantiles_of(df, [("a", "v", 0.5), ("b", "v", 0.9), ("c", "w", 0.25), ("d", "w", 0.999)]).first()
+    pdf = df.toPandas()
+    want = [np.quantile(pdf.v, 0.5), np.quantile(pdf.v, 0.9), np.quantile(pdf.w, 0.25), np.quantile(pdf.w, 0.999)]
+    assert [got.a, got.b, got.c, got.d] == pytest.approx(want, rel=1e-9)
+
+
+def test_requests_out_of_range_are_refused(spark):
+    df = spark.range(20).select(F.col("id").alias("row_id"), F.col("id").cast("double").alias("t"), F.col("id").cast("double").alias("y"), F.lit(1.0).alias("w"))
+    with pytest.raises(ValueError):
+        X.bootstrap_ci(df, X.CausalSpec("t", "y", ("w",), ("w",)), n=3)
+    with pytest.raises(ValueError):
+        X.discover_dag(df, ["t", "y"])
+    many = df.select(*[(F.pmod(F.xxhash64("row_id", F.lit(k)), F.lit(1000)) / 1000.0).alias(f"v{k:02d}") for k in range(32)])
+    assert X.discover_dag(many, many.columns, alpha=0.001).columns == ["src", "dst", "directed"]
+
+
+def test_policy_follows_the_labels(spark):
+    df = spark.range(1000).select((F.col("id") % 10).cast("double").alias("a"), F.lit(1.0).alias("b")).withColumn("policy_label", (F.col("a") > 5).cast("int")).withColumn("benefit", F.col("a") - 5)
+    decided, rule = X.learn_policy(df, features=["a", "b"])
+    assert decided.filter("policy_recommend_high <> policy_label").count() == 0 and "a " in rule
+    assert X.policy_value(decided).first().recommended_rate == pytest.approx(0.4)
+
+
+def test_cohort_scores(spark):
+    from caretrace.operators.causal import CausalSpec
+    from caretrace.operators.cohort_score import score_cohort
+
+    u = lambda s: F.pmod(F.xxhash64("id", F.lit(s)), F.lit(1000)) / 1000.0
+    df = spark.range(400).select("id", F.col("id").alias("row_id"), (3 + u(1)).alias("nurse_hppd"), (0.5 + u(2) / 4).alias("nurse_skillmix"), (50 + 10 * u(3)).alias("ri_initial"), F.lit(0.0).alias("missing_vs_hr_last"))
+    df = df.withColumn("delta_ri", 2 * F.col("nurse_hppd") + F.col("nurse_skillmix") + 0.1 * F.col("ri_initial") + u(4))
+    features = ["nurse_hppd", "nurse_skillmix", "ri_initial"]
+    model = M.fit_linear(df, features, "delta_ri")
+    drift = df.agg(*[f(c).alias(f"{c}_{n}") for c in features for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))])
+    args = {"model": model, "governed": ["nurse_hppd"], "target": "delta_ri", "drift": drift, "q_hat": 0.5, "train_rows": 400, "causal": CausalSpec("nurse_hppd", "delta_ri", ("ri_initial",), ("ri_initial",), 2)}
+    rows = score_cohort(df, df, **args).toPandas().set_index("row_id").sort_index()
+    pdf = df.toPandas().set_index("row_id").sort_index()
+    base = model.intercept + model.coefs[0] * pdf.nurse_hppd.median() + model.coefs[1] * pdf.nurse_skillmix + model.coefs[2] * pdf.ri_initial
+    raw = pdf.delta_ri - base
+    assert np.allclose(rows.raw_benefit, raw, atol=1e-6)
+    mad = 1.4826 * np.median(np.abs(raw - np.median(raw)))
+    assert np.corrcoef(rows.benefit, (raw - np.median(raw)) / mad)[0, 1] > 0.99
+    blocked = df.withColumn("temporal_status", F.when(F.col("row_id") == 3, F.lit("temporal_leakage_blocked")))
+    out = score_cohort(blocked, blocked, **args)
+    assert out.filter("score is not null").count() == 0 and out.filter("status is null").count() == 0
+
+
+def test_fingerprint(spark):
+    df = spark.range(100).select("id", (F.col("id") % 7).cast("double").alias("x"))
+    finger = lambda d: M.dataset_fingerprint(d, target="x", features=["id"], grain="window").first()
+    base = finger(df)
+    assert base.n_rows == 100 and finger(df.repartition(7).orderBy(F.rand(1))) == base
+    assert finger(df.withColumn("x", F.when(F.col("id") == 5, 9.0).otherwise(F.col("x")))).fingerprint != base.fingerprint
+    assert finger(df.unionByName(df.limit(1))).fingerprint != base.fingerprint
+
+
+def test_rescoring_keeps_the_earlier_result(spark):
+    from caretrace.operators import followup as U
+
+    judged = spark.createDataFrame([(1, True), (2, True), (3, False)], "record_id long, sufficient_for_rescore boolean")
+    again = spark.createDataFrame([(1, 70.0, "complete", "2024-03-01"), (2, 80.0, None, "2024-03-01"), (3, 90.0, "complete", "2024-03-01")], "record_id long, score double, status string, scored_at string")
+    history = spark.createDataFrame([(2, 50.0, "enriched_followup", "2024-02-01"), (3, 55.0, "enriched_followup", "2024-02-01")], "record_id long, score double, followup_status string, scored_at string")
+    got = {r.record_id: (r.followup_status, r.enriched_score) for r in U.rescore_candidates(judged, again, history).collect()}
+    assert got == {1: ("enriched_followup", 70.0), 2: ("governance_blocked", 50.0), 3: ("enriched_followup", 55.0)}
+
+
+def test_trial_report(spark):
+    import hashlib
+    import json
+
+    df = spark.createDataFrame([(i, float(i % 5), float(i % 2), 1.0 if i % 4 == 0 else 0.0, 0.0, 1) for i in range(40)], "row_id long, nurse_hppd double, delta_ri double, missing_vs_hr_last double, missing_delta_ri double, unit_id int")
+    closing = df.agg(F.avg("delta_ri").alias("ate"))
+    row = R.trial_report(df, [{"description": "any", "expression": {"field": "nurse_hppd", "op": ">=", "value": 0}}], treatment="nurse_hppd", outcome="delta_ri", required=["vs_hr_last", "delta_ri"], closing=closing).first()
+    body = json.loads(row.report)
+    assert (row.assessed, row.eligible, row.included) == (40, 40, 30) and body["ate"] == 0.5
+    assert body["reasons"][0]["excluded"] == 10 and row.report_hash == hashlib.sha256(row.report.encode()).hexdigest()
