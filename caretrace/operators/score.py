@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -407,15 +408,32 @@ class FeatureContract:
     source_repo: str
     grain: str
     required: tuple[str, ...] | None = None
-    min_coverage: float = 1.0
+    min_coverage: float | str | None = None
     role: str = "primary"
 
+    def coverage_limit(self) -> tuple[float, bool]:
+        """(least coverage, the setting is usable); without a usable setting the default holds."""
+        if self.min_coverage is None:
+            return DEFAULT_MIN_COVERAGE, True
+        try:
+            limit = float(self.min_coverage)
+        except (TypeError, ValueError):
+            return DEFAULT_MIN_COVERAGE, False
+        return (limit, True) if math.isfinite(limit) else (DEFAULT_MIN_COVERAGE, False)
 
+
+# Fixed value: coverage that a contract asks for when it names none.
+DEFAULT_MIN_COVERAGE = 0.95
 CONTRACT_RANK = {"low_feature_coverage": 1, "insufficient_evidence": 2, "contract_mismatch": 3, "blocked_by_reference_contract": 4}
 
 
 def feature_contract(rows: DataFrame, contract: FeatureContract, *, index: str) -> DataFrame:
-    """Issue rows (row_id, contract_status, contract_warnings, coverage, ...) of rows that break the contract."""
+    """Issue rows (row_id, contract_status, contract_warnings, coverage, ...) of rows that break the contract.
+
+    Where ``rows`` has a column row_is_object, rows for which it is false were no object when they were read: they are an
+    issue of their own, with every feature missing.
+    """
+    limit, usable = contract.coverage_limit()
     expected = string_array(contract.features)
     required = contract.required if contract.required is not None else contract.features
     have = F.map_keys(F.col("features"))
@@ -433,24 +451,36 @@ def feature_contract(rows: DataFrame, contract: FeatureContract, *, index: str)
     )
     same = lambda c, want: F.coalesce(F.col(c) == want, F.lit(False))
     context = compact(
+        tag_if(F.lit(not usable), "invalid_min_feature_coverage"),
         tag_if(~same("contract_version", contract.contract_version), "contract_version_mismatch"),
         tag_if(~same("source_repo", contract.source_repo), "source_repo_mismatch"),
         tag_if(~same("source_grain", contract.grain), "grain_mismatch"),
         tag_if(is_blank("clinical_timestamp") | is_blank("recorded_timestamp"), "temporal_context_missing"),
         tag_if(~(F.coalesce("shadow_mode", F.lit(False)) & F.coalesce("non_individual_use", F.lit(False))), "governance_flags_missing"),
     )
-    narrow = F.col("coverage") < contract.min_coverage
+    narrow = F.col("coverage") < limit
     gaps, hard = F.size("missing_features") > 0, F.size("missing_critical") > 0
+    broken = ~F.coalesce(F.col("row_is_object"), F.lit(False)) if "row_is_object" in rows.columns else F.lit(False)
     finding = (
-        F.when(F.size("_ctx") > 0, F.struct(F.lit("contract_mismatch").alias("s"), F.col("_ctx").alias("w")))
+        F.when(F.col("_broken"), F.struct(F.lit("contract_mismatch").alias("s"), string_array(["row_not_object"]).alias("w")))
+        .when(F.size("_ctx") > 0, F.struct(F.lit("contract_mismatch").alias("s"), F.col("_ctx").alias("w")))
         .when(gaps & ~hard & narrow, F.struct(F.lit("low_feature_coverage").alias("s"), string_array(["low_feature_coverage"]).alias("w")))
         .when(gaps, F.struct(F.lit("contract_mismatch").alias("s"), string_array(["model_feature_space_mismatch"]).alias("w")))
         .when(narrow, F.struct(F.lit("low_feature_coverage").alias("s"), string_array(["low_feature_coverage"]).alias("w")))
         .when(hard, F.struct(F.lit("insufficient_evidence").alias("s"), string_array(["missing_critical_features"]).alias("w")))
     )
-    row_id = F.coalesce(F.nullif(F.col("row_id").cast("string"), F.lit("")), F.concat(F.lit("row:"), F.col(index)))
+    number = F.concat(F.lit("row:"), F.col(index))
+    row_id = F.when(broken, number).otherwise(F.coalesce(F.nullif(F.col("row_id").cast("string"), F.lit("")), number))
     checked = (
-        rows.select(index, row_id.alias("row_id"), missing.alias("missing_features"), coverage.alias("coverage"), critical.alias("missing_critical"), context.alias("_ctx"))
+        rows.select(
+            index,
+            row_id.alias("row_id"),
+            F.when(broken, expected).otherwise(missing).alias("missing_features"),
+            F.when(broken, F.lit(0.0)).otherwise(coverage).alias("coverage"),
+            F.when(broken, string_array(required)).otherwise(critical).alias("missing_critical"),
+            context.alias("_ctx"),
+            broken.alias("_broken"),
+        )
         .withColumn("_f", finding)
         .filter(F.col("_f").isNotNull())
     )
@@ -463,8 +493,8 @@ def feature_contract(rows: DataFrame, contract: FeatureContract, *, index: str)
         "coverage",
         "missing_features",
         "missing_critical",
-        ((status == "insufficient_evidence") | (F.size("missing_critical") > 0)).alias("flag_insufficient_evidence"),
-        (F.size("missing_critical") > 0).alias("flag_missing_key_inputs"),
+        (((status == "insufficient_evidence") | (F.size("missing_critical") > 0)) & ~F.col("_broken")).alias("flag_insufficient_evidence"),
+        ((F.size("missing_critical") > 0) & ~F.col("_broken")).alias("flag_missing_key_inputs"),
         F.lit(contract.role).alias("model_role"),
     )
 

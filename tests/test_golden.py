@@ -391,3 +391,14 @@ def test_trial_report(spark):
     body = json.loads(row.report)
     assert (row.assessed, row.eligible, row.included) == (40, 40, 30) and body["ate"] == 0.5
     assert body["reasons"][0]["excluded"] == 10 and row.report_hash == hashlib.sha256(row.report.encode()).hexdigest()
+
+
+def test_contract_setting_and_rows_that_are_no_objects(spark):
+    rows = spark.createDataFrame(
+        [(0, "a", {"x": 1.0, "y": 2.0}, True), (1, None, None, False)], "idx long, row_id string, features map<string,double>, row_is_object boolean"
+    ).withColumns({"missingness_flags": F.lit(None).cast("map<string,string>"), "contract_version": F.lit("v"), "source_repo": F.lit("r"), "source_grain": F.lit("g"), "clinical_timestamp": F.lit("t"), "recorded_timestamp": F.lit("t"), "shadow_mode": F.lit(True), "non_individual_use": F.lit(True)})
+    issues = lambda limit: {r.row_id: (r.contract_status, r.contract_warnings, r.coverage) for r in K.feature_contract(rows, K.FeatureContract(("x", "y"), "v", "r", "g", None, limit), index="idx").collect()}
+    gone = ("contract_mismatch", ["row_not_object"], 0.0)
+    assert issues(None) == issues(0.5) == {"row:1": gone}
+    for limit in ("much", float("nan")):
+        assert issues(limit) == {"a": ("contract_mismatch", ["invalid_min_feature_coverage"], 1.0), "row:1": gone}
