@@ -140,7 +140,7 @@ def scan_licences(files: DataFrame, templates: dict[str, list[str]] | None = Non
     held = own.where("is_file").groupBy(F.col("dir").alias("from_dir")).agg(F.min_by("own", F.struct(-F.col("cosine"), "path", "own")).alias("dir_licence"))
     levels = F.split("dir", "/")
     ancestors = F.concat(F.transform(F.sequence(F.lit(1), F.size(levels)), lambda k: F.array_join(F.slice(levels, 1, k), "/")), F.array(F.lit("")))
-    nearest = (
+    nearest = staged(  # written: the join below can then be split where a directory holds much
         own.where("own is null").select("dir").distinct().select("dir", F.explode(F.array_distinct(ancestors)).alias("from_dir"))
         .join(held, "from_dir")
         .groupBy("dir").agg(F.max_by(F.struct("from_dir", "dir_licence"), F.length("from_dir")).alias("up"))
