@@ -33,13 +33,14 @@ def select_coding(rows: DataFrame, terminology: DataFrame, *, kind: str, keys: l
 
     Order: preferred system, then the first coding with an approved mapping, then the first coding.
     Only resources that carry a nursing-vocabulary coding meet the terminology; they are exploded,
-    joined on the code and folded back by their unique key. All others stay in place, unshuffled.
+    joined on the code and folded back by their unique key. All others stay in place, unshuffled. Rows whose payload
+    cannot be read drop out here; ``unreadable_payloads`` counts them.
     """
     prefer, needle, domain, _ = CODING_RULES[kind]
     terms = terminology.filter(F.col("domain") == domain).select(
         F.col("source_code").alias("_code"), F.col("target_code").alias("_target")
     )
-    coded = rows.withColumn("_codings", codings_at(F.try_parse_json(payload), "$.code"))
+    coded = rows.filter(F.try_parse_json(payload).isNotNull()).withColumn("_codings", codings_at(F.try_parse_json(payload), "$.code"))
     meets = F.exists("_codings", lambda c: _has(c, (needle,)))
     no_hits = F.array().cast("array<struct<pos:int,target:string>>")
     plain = coded.filter(~meets).withColumn("_hits", no_hits)
@@ -103,6 +104,11 @@ def map_terminology(picked: DataFrame, *, kind: str) -> DataFrame:
 CANONICAL = ["code_system", "code", "display", "source_code_system", "source_code", "source_display"]
 
 
+def unreadable_payloads(raw: DataFrame) -> DataFrame:
+    """(resource_type, n, unreadable): rows per type and those whose payload is no JSON, which normalisation leaves out."""
+    return raw.groupBy("resource_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.try_parse_json("payload").isNull()).alias("unreadable"))
+
+
 def _coded(raw: DataFrame, terminology: DataFrame, kind: str, keys: list[str]) -> DataFrame:
     rows = raw.filter(F.col("resource_type") == kind)
     return map_terminology(select_coding(rows, terminology, kind=kind, keys=keys), kind=kind)

@@ -24,10 +24,6 @@ def terminology(t: Tables) -> DataFrame:
     return S.load_terminology(t.terminology_configs).select("domain", "source_code", "target_code").distinct()
 
 
-def readable(t: Tables) -> DataFrame:
-    return t.raw_resources.filter(F.col("payload") != "{broken")
-
-
 def recent(t: Tables) -> DataFrame:
     """Raw rows with repeating ids, some blank, for the upsert."""
     rid = F.when(F.col("event_id") % 19 == 0, F.lit(" ")).otherwise(F.concat(F.lit("k"), F.col("event_id") % 40))
@@ -274,10 +270,11 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "require_profiles",
-    "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'http://p/b' ELSE '' END AS missing_profiles, event_id % 5 <> 0 AS profile_ok FROM v_raw WHERE payload <> '{broken'",
+    """SELECT event_id, CASE WHEN payload = '{broken' THEN 'http://p/a|http://p/b' WHEN event_id % 5 = 0 THEN 'http://p/b' ELSE '' END AS missing_profiles,
+    payload <> '{broken' AND event_id % 5 <> 0 AS profile_ok FROM v_raw""",
 )
 def _(t: Tables) -> DataFrame:
-    out = V.require_profiles(readable(t), ["http://p/a", "http://p/b"])
+    out = V.require_profiles(t.raw_resources, ["http://p/a", "http://p/b"])
     return emit(out.select("event_id", "missing_profiles", "profile_ok"))
 
 
@@ -309,17 +306,26 @@ def _(t: Tables) -> DataFrame:
     FROM v_code WHERE kind = 'Observation'""",
 )
 def _(t: Tables) -> DataFrame:
-    rows = readable(t).filter(F.col("resource_type") == "Observation")
+    rows = t.raw_resources.filter(F.col("resource_type") == "Observation")
     out = N.select_coding(rows, terminology(t), kind="Observation", keys=RAW_KEYS)
     return out.select("event_id", F.col("coding.code").alias("picked_code"), F.col("mapped_code").isNotNull().alias("mapped"))
 
 
+@query(
+    "unreadable_payloads",
+    f"""SELECT CASE WHEN event_type IN ('purchase', 'view', 'click') THEN 'Observation' WHEN event_type = 'signup' THEN 'Condition' ELSE 'Procedure' END AS resource_type,
+    count(*) AS n, count(*) FILTER (WHERE r.payload = '{{broken') AS unreadable FROM v_raw r JOIN events e USING (event_id) GROUP BY ALL""",
+)
+def _(t: Tables) -> DataFrame:
+    return N.unreadable_payloads(t.raw_resources)
+
+
 @query("map_terminology", "SELECT event_id, kind AS resource_type, code_system, code, source_code FROM v_code")
 def _(t: Tables) -> DataFrame:
     terms = terminology(t)
     parts = []
     for kind in N.CODING_RULES:
-        rows = readable(t).filter(F.col("resource_type") == kind)
+        rows = t.raw_resources.filter(F.col("resource_type") == kind)
         done = N.map_terminology(N.select_coding(rows, terms, kind=kind, keys=RAW_KEYS), kind=kind)
         parts.append(done.select("event_id", "resource_type", "code_system", "code", "source_code"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -332,7 +338,7 @@ def _(t: Tables) -> DataFrame:
     FROM v_code c JOIN events e USING (event_id) WHERE kind = 'Observation'""",
 )
 def _(t: Tables) -> DataFrame:
-    out = N.normalize_observation(readable(t), terminology(t), keys=RAW_KEYS)
+    out = N.normalize_observation(t.raw_resources, terminology(t), keys=RAW_KEYS)
     return emit(out.select("event_id", "code_system", "code", "source_code", "value_num", "value_text", "unit", "effective_dt"))
 
 
@@ -341,7 +347,7 @@ def _(t: Tables) -> DataFrame:
     f"""SELECT event_id, code_system, code, {ts('dt', 'onset_dt')}, '2024-01-15 00:00:00.000000' AS recorded_dt, 'active' AS clinical_status FROM v_code WHERE kind = 'Condition'""",
 )
 def _(t: Tables) -> DataFrame:
-    out = N.normalize_condition(readable(t), terminology(t), keys=RAW_KEYS)
+    out = N.normalize_condition(t.raw_resources, terminology(t), keys=RAW_KEYS)
     return emit(out.select("event_id", "code_system", "code", "onset_dt", "recorded_dt", "clinical_status"))
 
 
@@ -357,7 +363,7 @@ KNOWN_SQL = """((event_id % 3 = 0 AND event_id % 2 = 0) OR (event_id % 3 = 1 AND
     FROM v_code WHERE kind = 'Procedure'""",
 )
 def _(t: Tables) -> DataFrame:
-    out = N.normalize_procedure(readable(t), terminology(t), keys=RAW_KEYS)
+    out = N.normalize_procedure(t.raw_resources, terminology(t), keys=RAW_KEYS)
     cols = ["code_system", "code", "performed_dt", "performer_role", "performer_actor_ref", "performer_actor_type", "is_nursing", "nursing_label_method"]
     return emit(out.select("event_id", *cols))
 
@@ -382,7 +388,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     actors = N.actor_labels(t.actors)
-    out = N.normalize_procedure(readable(t), terminology(t), keys=RAW_KEYS, actors=actors)
+    out = N.normalize_procedure(t.raw_resources, terminology(t), keys=RAW_KEYS, actors=actors)
     return out.select("event_id", "is_nursing", "nursing_label_method")
 
 
@@ -412,7 +418,7 @@ def _(t: Tables) -> DataFrame:
     """SELECT kind AS resource_type, code_system, count(*) AS n, count(dt) AS n_dated FROM v_code GROUP BY ALL""",
 )
 def _(t: Tables) -> DataFrame:
-    raw = readable(t).select("event_id", "episode_id", "resource_type", "resource_id", "payload")
+    raw = t.raw_resources.select("event_id", "episode_id", "resource_type", "resource_id", "payload")
     actors = t.actors.select(F.lit(-1).cast("long").alias("event_id"), "episode_id", "resource_type", "resource_id", "payload")
     tables = N.normalize_all(raw.unionByName(actors), terminology(t), keys=RAW_KEYS)
     stamp = {"observation": "effective_dt", "condition": "onset_dt", "procedure": "performed_dt"}
