@@ -159,36 +159,50 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def joining_links(sigs: list, comps: list, pairs: Iterator[tuple[int, int]], test=None) -> list[tuple]:
+    """Of the given pairs those that join two groups still apart, one per join; ``test`` confirms a pair when it is its turn."""
+    parent = {c: c for c in comps}
+
+    def find(c):
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    found = []
+    for x, y in pairs:
+        p, q = find(comps[x]), find(comps[y])
+        if p != q and (test is None or test(x, y)):
+            parent[p] = q
+            found.append((sigs[x], sigs[y]))
+    return found
+
+
+def block_parts(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The blocks of one task with more than one group, in a fixed order, repeated rows left out."""
+    pdf = pdf.drop_duplicates(["part", "sig"]).sort_values(["part", "sig"], ignore_index=True)
+    edges = np.flatnonzero(np.diff(pdf["part"].to_numpy(np.int64), prepend=pdf["part"].iloc[0] - 1, append=pdf["part"].iloc[-1] + 1))
+    comps = pdf["comp"].tolist()
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if hi - lo > 1 and any(c != comps[lo] for c in comps[lo:hi]):
+            yield pdf.iloc[lo:hi]
+
+
 def _block_links(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Links of one block that join two groups still apart; one per join."""
-        if pdf["comp"].nunique() < 2:
-            return pd.DataFrame({"a": [], "b": []})
-        pdf = pdf.drop_duplicates("sig").sort_values("sig", ignore_index=True)
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["ids"]]
-        n = np.array([len(s) for s in sets])
-        i, j = np.nonzero(np.triu(_linked(common_counts(sets), n[:, None], n[None, :], percent), 1))
-        parent = {c: c for c in pdf["comp"]}
-
-        def find(c):
-            while parent[c] != c:
-                parent[c] = parent[parent[c]]
-                c = parent[c]
-            return c
-
-        comps, sigs, found = pdf["comp"].tolist(), pdf["sig"].tolist(), []
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            p, q = find(comps[x]), find(comps[y])
-            if p != q:
-                parent[p] = q
-                found.append((sigs[x], sigs[y]))
+        found = []
+        for part in block_parts(pdf):
+            sets = [np.frombuffer(x, np.uint64) for x in part["ids"]]
+            n = np.array([len(s) for s in sets])
+            i, j = np.nonzero(np.triu(_linked(common_counts(sets), n[:, None], n[None, :], percent), 1))
+            found += joining_links(part["sig"].tolist(), part["comp"].tolist(), zip(i.tolist(), j.tolist(), strict=True))
         return pd.DataFrame(found, columns=["a", "b"])
 
     return run
 
 
-def _block_members(sets: DataFrame, clusters: DataFrame, comps: DataFrame, percent: int, content: tuple[str, ...] = ("ids",)) -> DataFrame:
-    """(task, sig, comp, content): the blocks that still have to be compared.
+def unresolved_blocks(sets: DataFrame, clusters: DataFrame, comps: DataFrame, percent: int, content: tuple[str, ...] = ("ids",)) -> DataFrame:
+    """(task, part, sig, comp, content): the blocks (parts) that still have to be compared, several small ones to a task.
 
     Members of a candidate cluster fall into classes by set size, in which linked sets are at most one class apart, and
     into hash blocks of about BLOCK. The cluster's largest verified group is set apart: two of its blocks never meet.
@@ -201,7 +215,7 @@ def _block_members(sets: DataFrame, clusters: DataFrame, comps: DataFrame, perce
     )
     members = staged(members)
     per_comp = members.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("k"))
-    mixed = (
+    mixed = staged(
         per_comp.groupBy("cluster")
         .agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.count(F.lit(1)).alias("groups"), F.sum("k").alias("members"))
         .where("groups > 1")
@@ -214,7 +228,7 @@ def _block_members(sets: DataFrame, clusters: DataFrame, comps: DataFrame, perce
     )
     placed = staged(placed)
     block = ["cluster", "cls", "main_side"]
-    sizes = placed.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
+    sizes = staged(placed.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks")))
     left = sizes.select("cluster", F.col("cls").alias("l_cls"), F.col("main_side").alias("l_main"), F.col("blocks").alias("l_blocks"), F.explode(F.array(F.col("cls"), F.col("cls") + 1)).alias("r_cls"))
     right = sizes.select("cluster", F.col("cls").alias("r_cls"), F.col("main_side").alias("r_main"), F.col("blocks").alias("r_blocks"))
     tasks = (
@@ -223,12 +237,16 @@ def _block_members(sets: DataFrame, clusters: DataFrame, comps: DataFrame, perce
         .withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("l_blocks") - 1)))
         .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("r_blocks") - 1)))
         .where("not (l_cls = r_cls and l_main = r_main) or i <= j")
-        .withColumn("task", F.xxhash64("cluster", "l_cls", "l_main", "i", "r_cls", "r_main", "j"))
+        .withColumn("part", F.xxhash64("cluster", "l_cls", "l_main", "i", "r_cls", "r_main", "j"))
     )
     sides = F.explode(F.array(F.struct(F.col("l_cls").alias("cls"), F.col("l_main").alias("main_side"), F.col("i").alias("sub")), F.struct(F.col("r_cls").alias("cls"), F.col("r_main").alias("main_side"), F.col("j").alias("sub"))))
-    needed = tasks.select("cluster", "task", sides.alias("s")).select("cluster", "task", "s.*").distinct()
-    dealt = placed.join(sizes, block).withColumn("sub", F.pmod(F.xxhash64("sig"), F.col("blocks"))).drop("blocks")
-    return dealt.join(needed, [*block, "sub"]).select("task", "sig", "comp").join(sets.select("sig", *content), "sig")
+    needed = staged(tasks.select("cluster", "part", sides.alias("s")).select("cluster", "part", "s.*").distinct())
+    small = mixed.where(F.col("members") <= BLOCK)
+    tasks_for_small = max(1, -(-(small.agg(F.sum("members")).first()[0] or 0) // (8 * BLOCK)))
+    gathered = placed.join(small.select("cluster", F.lit(True).alias("is_small")), "cluster", "left")
+    task = F.when(F.col("is_small"), F.pmod(F.xxhash64("cluster"), F.lit(tasks_for_small))).otherwise(F.col("part"))
+    dealt = gathered.join(sizes, block).withColumn("sub", F.pmod(F.xxhash64("sig"), F.col("blocks"))).drop("blocks")
+    return dealt.join(needed, [*block, "sub"]).select(task.alias("task"), "part", "sig", "comp").join(sets.select("sig", *content), "sig")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,7 +271,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         sketches.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     )
     banded = classes.select("sig", F.explode("bands").alias("bucket"))
-    leaders = banded.groupBy("bucket").agg(F.min("sig").alias("leader"), F.max("sig").alias("last")).where("leader <> last").drop("last")
+    # Lookups are written, not only grouped: a join of two tables that are both dealt anew can be split where a key is hot.
+    leaders = staged(banded.groupBy("bucket").agg(F.min("sig").alias("leader"), F.max("sig").alias("last")).where("leader <> last").drop("last"))
     stars = staged(banded.join(leaders, "bucket").where("sig <> leader").select(F.col("sig").alias("a"), F.col("leader").alias("b")).distinct())
     clusters = staged(components(stars))
     wanted = clusters.select(F.col("node").alias("sig")).join(classes.select("sig", "rep"), "sig")
@@ -264,12 +283,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     pairs = pivots.join(sets.select(F.col("sig").alias("a"), F.col("ids").alias("x")), "a").join(sets.select(F.col("sig").alias("b"), F.col("ids").alias("y")), "b")
     first = staged(pairs.select("a", "b", "x", "y").mapInArrow(_pair_batches(percent), "a binary, b binary"))
     comps = staged(components(first))
-    blocks = _block_members(sets, clusters, comps, percent)
+    blocks = unresolved_blocks(sets, clusters, comps, percent)
     second = staged(blocks.groupBy("task").applyInPandas(_block_links(percent), "a binary, b binary"))
     groups = staged(components(first.unionByName(second)))
     smallest = groups.join(classes.select(F.col("sig").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("component"))
     named = classes.select("sig", "rep").join(groups.join(smallest, "root").select(F.col("node").alias("sig"), "component"), "sig", "left")
-    named = named.select("sig", F.coalesce("component", "rep").alias("component"))
+    named = staged(named.select("sig", F.coalesce("component", "rep").alias("component")))
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "id"))
     return sketches.select("id", "n", "sig").join(named, "sig", "left").select(
         F.col("id").alias(id_col),
