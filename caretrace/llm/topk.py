@@ -15,6 +15,8 @@ QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 2048
 RESOLUTIONS = (1, 4, 16)
 #: Survivor pairs whose exact scores are computed at a time.
 PAIRS = 1 << 15
+#: Tasks of the grid at most; beyond it a task takes several cells, one after the other.
+MOST_TASKS = 20_000
 
 
 def segment_statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,6 +119,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     candidates = spread.select(
         "dim", "vec_id", "v", "key", F.lit(False).alias("asks"), F.pmod(F.xxhash64("vec_id", "key", "copy"), "n_c").alias("cb"), F.explode(F.sequence(zero, F.col("n_q") - 1)).alias("qb")
     )
-    found = queries.unionByName(candidates).groupBy("dim", "qb", "cb").applyInPandas(_cell(k), "query_id long, query_key long, vec_id long, score long")
+    # A cell is much work on few bytes: cells are dealt to a stated number of tasks, so that they are not put together.
+    cells = grid.agg(F.sum(F.col("n_q") * F.col("n_c"))).first()[0] or 1
+    dealt = queries.unionByName(candidates).repartition(int(min(cells, MOST_TASKS)), "dim", "qb", "cb")
+    found = dealt.groupBy("dim", "qb", "cb").applyInPandas(_cell(k), "query_id long, query_key long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
