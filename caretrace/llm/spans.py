@@ -75,7 +75,8 @@ def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
     runs = rows.mapInArrow(run, "id long, text_key long, a array<int>, b array<int>, h1 array<long>, h2 array<long>")
     runs = staged(runs.select("id", "text_key", F.explode(F.arrays_zip("a", "b", "h1", "h2")).alias("r")).select("id", "text_key", "r.*"))
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key", "a")
-    first = (
+    # Written, not only grouped: a join of two tables that are both dealt anew can be split where one run is everywhere.
+    first = staged(
         runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
         .select("h1", "h2", F.col("first.id").alias("first_id"), F.col("first.text_key").alias("first_key"), F.col("first.a").alias("first_a"))
     )
