@@ -1,4 +1,4 @@
-"""Substring dedup: sliding runs of several sentences, joined over the whole corpus."""
+"""Substring dedup: sliding runs of several sentences and long single ones, joined over the whole corpus."""
 
 from __future__ import annotations
 
@@ -13,22 +13,26 @@ from pyspark.sql import functions as F
 
 from caretrace.llm.common import LOWER_BYTES, staged
 
-#: A run starts at every sentence and takes at least so many sentences and words: the shortest run with both.
-MIN_SENTENCES, MIN_WORDS = 2, 16
-SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
+#: A run takes at least so many sentences and words; a sentence of LONG_WORDS is a run of its own.
+MIN_SENTENCES, MIN_WORDS, LONG_WORDS = 2, 16, 30
+SENTENCE = re.compile(r"[^.!?。！？｡\n]+[.!?。！？｡]*")
+#: Scripts written without spaces (Thai, Lao, Myanmar, Khmer, kana, Han): two of their characters count as a word.
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def sentences(text: str) -> list[tuple[int, int, bytes, int]]:
     """(start, end, words in lower-case A-Z, number of words) of each sentence that has a word.
 
-    A sentence ends with a run of ``.!?`` or at a line end; offsets are code points and leave outer white space out.
+    A sentence ends with a run of ``.!?``, of their full-width forms, or at a line end; offsets are code points and leave
+    outer white space out.
     """
     out = []
     for m in SENTENCE.finditer(text):
         words = m[0].encode().translate(LOWER_BYTES).split()
         if words:
             lead = len(m[0]) - len(m[0].lstrip())
-            out.append((m.start() + lead, m.start() + len(m[0].rstrip()), b" ".join(words), len(words)))
+            more = 0 if m[0].isascii() else len(UNSPACED.findall(m[0])) // 2
+            out.append((m.start() + lead, m.start() + len(m[0].rstrip()), b" ".join(words), len(words) + more))
     return out
 
 
@@ -47,10 +51,33 @@ def sentence_runs(text: str, min_sentences: int = MIN_SENTENCES, min_words: int
     return out
 
 
+def passage_runs(text: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> list[tuple[int, int, bytes]]:
+    """(first sentence, sentence after the last, 128-bit digest): the shortest run that starts and the shortest that ends at
+    each sentence, and each long sentence alone.
+
+    A passage of whole sentences with enough sentences and words is covered by runs inside it: where the run that starts
+    at a sentence reaches beyond the passage, the run that ends with the passage holds that sentence.
+    """
+    parts = sentences(text)
+    out = {(a, b): digest for a, b, digest in sentence_runs(text, min_sentences, min_words)}
+    start, words = 0, 0
+    for end in range(1, len(parts) + 1):
+        words += parts[end - 1][3]
+        while end - start > min_sentences and words - parts[start][3] >= min_words:
+            words -= parts[start][3]
+            start += 1
+        if end - start >= min_sentences and words >= min_words and (start, end) not in out:
+            out[start, end] = xxhash.xxh3_128_digest(b"\n".join(p[2] for p in parts[start:end]))
+    for k, p in enumerate(parts):
+        if p[3] >= long_words:
+            out.setdefault((k, k + 1), xxhash.xxh3_128_digest(p[2]))
+    return [(a, b, digest) for (a, b), digest in sorted(out.items())]
+
+
 def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_key, spans, n_removed, first_ids) of every document with a sentence in a repeated run that is not its first.
+    """(id, text_key, sentence_runs, first_ids) of every document with a sentence in a repeated run that is not its first.
 
-    ``spans`` are the sentences to remove as [start, end) in code points, touching ones joined; ``first_ids`` the documents
+    ``sentence_runs`` are the sentences to remove as [a, b), touching ones joined; ``first_ids`` the documents
     in which the repeated runs stand first. The first occurrence of a run is the one with the smallest (id, text, position).
     A run shared by a third of all documents is counted by a partial aggregate and joined back by a join that adaptive
     execution can split; only what one document holds is ever gathered.
@@ -62,7 +89,7 @@ def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_word
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [sentence_runs(t.as_py() or "", min_sentences, min_words) for t in batch.column(2)]
+            rows = [passage_runs(t.as_py() or "", min_sentences, min_words) for t in batch.column(2)]
             offsets = pa.array(np.cumsum([0, *(len(r) for r in rows)], dtype=np.int32))
             flat = [x for r in rows for x in r]
             halves = np.frombuffer(b"".join(x[2] for x in flat), np.int64).reshape(-1, 2)

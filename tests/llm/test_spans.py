@@ -1,7 +1,7 @@
 import random
 from collections import defaultdict
 
-from caretrace.llm.spans import cut, remove_spans, repeated_spans, sentence_runs, sentences
+from caretrace.llm.spans import LONG_WORDS, MIN_SENTENCES, MIN_WORDS, cut, passage_runs, remove_spans, repeated_spans, sentence_runs, sentences
 
 
 def brute(rows):
@@ -57,3 +57,37 @@ def test_odd_rows(make_docs, odd_rows):
 
 def test_cut():
     assert cut("A b. C d. E f.", [{"a": 1, "b": 2}]) == "A b.  E f." and cut(None, None) is None and cut("", []) == ""
+
+
+def covered(rows):
+    """Sentences of repeated passages by (id): every run of whole sentences that is long enough, at any place but its first."""
+    first, out = {}, defaultdict(set)
+    for i, t in rows:
+        parts = sentences(t)
+        for a in range(len(parts)):
+            words = 0
+            for b in range(a + 1, len(parts) + 1):
+                words += parts[b - 1][3]
+                if words >= (LONG_WORDS if b - a == 1 else MIN_WORDS) and (b - a == 1 or b - a >= MIN_SENTENCES):
+                    if first.setdefault(tuple(p[2] for p in parts[a:b]), (i, a)) != (i, a):
+                        out[i].update(range(a, b))
+    return {i: sorted(s) for i, s in out.items()}
+
+
+def test_every_passage_against_brute_force(make_docs):
+    """Passages that end in short sentences, single long sentences, and text without spaces or ASCII stops."""
+    rng = random.Random(8)
+    word = lambda n, v=10**6: " ".join(f"w{rng.randrange(v)}" for _ in range(n))
+    han = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    tail = word(12) + ". " + word(5) + ". Yes. No."
+    lone = word(60) + "."
+    chinese = "".join(han(14) + "。" for _ in range(4))
+    thai = "".join(chr(0x0E01 + rng.randrange(46)) for _ in range(90))
+    rows = [(i, f"{word(9)}. {word(9)}. {(tail, lone)[i % 2]} {word(11)}. {word(9)}.\n{han(20)}。{chinese}{han(20)}。\n{thai}\n{word(7)}.") for i in range(12)]
+    rows += [(20, f"{word(40, 3)}. {word(3, 3)}."), (21, " ".join(word(rng.randrange(1, 9), 2) + "." for _ in range(60)))]
+    got = {r.doc_id: [k for x in r.sentence_runs for k in range(x.a, x.b)] for r in repeated_spans(make_docs(rows)).collect()}
+    assert got == covered(rows)
+    gone = {r.doc_id: r.text for r in remove_spans(make_docs(rows), repeated_spans(make_docs(rows))).collect()}
+    for i in range(2, 12):
+        assert not any(x in gone[i] for x in (tail, lone, chinese, thai, "Yes. No."))
+    assert len(passage_runs("")) == 0
