@@ -18,9 +18,23 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Candidates for the structural checks.
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END ([A-Z0-9]+ )*PRIVATE KEY-----")
-BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_RUN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){24,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){24,}(?![0-9A-Za-z])")
+#: Everything between the lines of a block, up to the next line of either kind.
+PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----((?:(?!-----(?:BEGIN|END) ).)*)-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----", re.DOTALL)
+#: Line ends of a body: real ones, or their escapes in strings, any number of backslashes deep.
+LINE_END = re.compile(r"\r\n?|\n|(?:\\+[rn])+")
+#: What stands before the text of quoted, commented or concatenated lines, and after it.
+LINE_LEAD = re.compile(r"""^[\s>#*;|"'`.,(-]*(?:(?:/+|\+)\s+)?["'`]*""")
+LINE_TAIL = re.compile(r"""(?:\s\+)?[\s"'`.,;>#|)(\\*-]*$""")
+PEM_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:\s")
+DEK_INFO = re.compile(r"DEK-Info:\s*[A-Za-z0-9-]+,\s*(?:[0-9A-Fa-f]{2}){8,}\b")
+#: The letter of an escaped line end before a run is not part of it.
+BASE64_RUN = re.compile(r"(?:(?<=\\)[rn])?([A-Za-z0-9+/_-]{40,}={0,2})")
+#: Lines of one width and a last one not wider, joined by real or escaped line ends and by what quotes or indents lines.
+WRAP = r"""(?:[\x20\t"'`+.,)]|\\(?![rn]))*(?:\r\n?|\n|(?:\\+[rn])+)[\x20\t"'`+.,>#*;|(]*(?:/[/*]+\x20+)?(?:\r\n?|\n)?[\x20\t"'`>#*;|(]*"""
+WIDE_LINE = re.compile(r"(?:(?<=\\)[rn])?([A-Za-z0-9+/_-]{40,})")
+JOIN = re.compile(WRAP)
+LAST_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}|={1,2}")
+HEX_RUN = re.compile(r"(?<![0-9A-Za-z])(?:0[xX])?((?:[0-9a-fA-F]{2}){24,})(?![0-9A-Za-z])")
 #: Order of kinds among spans that start at the same place.
 KINDS = ("assign", "access", "hex", "pem", "signed", "openssh", "der")
 OPENSSH_MAGIC = b"openssh-key-v1\x00"
@@ -120,11 +134,59 @@ def key_kind(data: bytes | None) -> str | None:
     return "openssh" if is_openssh(data) else "der" if is_private_der(data) else None
 
 
+def pem_kind(body: str) -> str | None:
+    """What the body of a private-key block is, without escapes, line prefixes and headers; None where it does not parse.
+
+    A body that its DEK-Info header calls encrypted has no structure left: the header and whole cipher blocks stand for it.
+    """
+    lines, sealed = [], False
+    for line in LINE_END.split(body):
+        line = LINE_TAIL.sub("", LINE_LEAD.sub("", line, count=1))
+        if PEM_HEADER.match(line):
+            sealed = sealed or bool(DEK_INFO.match(line))
+        elif len(line) > 3 or re.search("[A-Za-z0-9=]", line):  # else only a comment sign or an operator
+            lines.append(line)
+    text = re.sub(r"\s+", "", "".join(lines))
+    data = decode_base64(text)
+    if sealed and data and len(data) >= 48 and len(data) % 8 == 0:
+        return "encrypted"
+    return key_kind(data)
+
+
+def wrapped_runs(text: str) -> Iterator[tuple[str, int, int]]:
+    """(base64, start, end) of full-width lines that follow each other, the last one of any width up to theirs.
+
+    The run is tried from each line that can begin a key, and ends where the key's outer length says.
+    """
+    at = 0
+    while m := WIDE_LINE.search(text, at):
+        width, pieces = len(m[1]), [m.span(1)]
+        at = m.end()
+        while (j := JOIN.match(text, at)) and (n := LAST_LINE.match(text, j.end())) and len(n[0]) <= width:
+            pieces.append(n.span())
+            at = n.end()
+            if len(n[0]) < width or n[0].endswith("="):
+                break
+        for k, (start, _) in enumerate(pieces[:-1]):
+            head = decode_base64(text[start : start + 8]) or b""
+            if head[:1] == b"\x30" and 0x81 <= head[1] <= 0x83:
+                size = head[1] & 0x7F
+                chars = -(-8 * (2 + size + int.from_bytes(head[2 : 2 + size], "big")) // 6)  # without padding
+            elif text.startswith("b3BlbnNzaC1rZXktdjE", start):
+                chars = sum(b - a for a, b in pieces[k:])
+            else:
+                continue
+            last = k + -(-chars // width)
+            if k + 1 < last <= len(pieces):
+                yield "".join(text[a:b] for a, b in pieces[k:last]), start, pieces[last - 1][1]
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive, by start and then in the order of KINDS.
 
     assign, access and hex are patterns alone. The others are reported only if their bytes parse: ``pem`` (a private-key
-    block whose body is a key), ``signed`` (a three-part signed token), ``openssh`` and ``der`` (bare base64 or hex).
+    block whose body is a key), ``signed`` (a three-part signed token), ``openssh`` and ``der`` (bare base64, on one line or wrapped,
+    or hex).
     """
     if not text:
         return []
@@ -134,15 +196,21 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     inside: list[tuple[int, int]] = []
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
-            if key_kind(decode_base64(re.sub(r"\s+", "", m[2]))):
+            if pem_kind(m[1]):
                 found.append(("pem", m.start(), m.end()))
                 inside.append((m.start(), m.end()))
     if "eyJ" in text or "ew" in text:
         found += [("signed", m.start(), m.end()) for m in SIGNED.finditer(text) if m[1].startswith(("ey", "ew")) and is_signed_token(m[1], m[2], m[3])]
-    for pattern, decode in ((BASE64_RUN, decode_base64), (HEX_RUN, lambda x: binascii.unhexlify(x))):
-        for m in pattern.finditer(text):
-            if not any(a <= m.start() < b for a, b in inside) and (kind := key_kind(decode(m[0]))):
-                found.append((kind, m.start(), m.end()))
+    outside = lambda at: not any(a <= at < b for a, b in inside)
+    for m in BASE64_RUN.finditer(text):
+        if outside(m.start(1)) and (kind := key_kind(decode_base64(m[1]))):
+            found.append((kind, m.start(1), m.end(1)))
+    for m in HEX_RUN.finditer(text):
+        if outside(m.start()) and (kind := key_kind(binascii.unhexlify(m[1]))):
+            found.append((kind, m.start(1), m.end(1)))
+    for run, start, end in wrapped_runs(text):
+        if outside(start) and (kind := key_kind(decode_base64(run))):
+            found.append((kind, start, end))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(set(found), key=lambda x: (x[1], order[x[0]], x[2]))
 

@@ -80,3 +80,45 @@ def test_documents(make_docs, odd_rows):
         want.append((str(i), *[sum(s[0] == k for s in base) for k in ("assign", "access", "hex")], hashlib.sha256(text.encode()).hexdigest()))
     assert sorted((str(r.doc_id), r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == sorted(want)
     assert scan_secrets(make_docs([])).collect() == []
+
+
+BODY = base64.b64encode(PKCS8).decode()
+LINES = [BODY[i : i + 64] for i in range(0, len(BODY), 64)]
+BEGIN, END = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+BLOCK = [BEGIN, *LINES, END]
+
+
+def kinds(text):
+    return [s[0] for s in find_spans(text) if s[0] not in ("assign", "access", "hex")]
+
+
+def test_private_key_blocks_in_other_files():
+    sealed = base64.b64encode(bytes(range(256)) * 2).decode()
+    rsa = "RSA PRIVATE KEY-----"
+    for text in (
+        json.dumps({"type": "service_account", "private_key": "\n".join(BLOCK) + "\n"}),
+        "KEY=\"" + "\\\\n".join(BLOCK) + "\"", "\r\n".join(BLOCK), "\\r\\n".join(BLOCK),
+        "\n".join("> " + x for x in BLOCK), "\n".join("# " + x for x in BLOCK), "\n".join("// " + x for x in BLOCK), "\n".join(" * " + x for x in BLOCK),
+        "k = (" + "\n    ".join(f'"{x}\\n"' for x in BLOCK) + ")", "k = " + " +\n  ".join(f"'{x}\\n'" for x in BLOCK),
+        f"-----BEGIN {rsa}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0A' * 16}\n\n{sealed}\n-----END {rsa}",
+        f"{BEGIN}\nno key\n" + "\n".join(BLOCK),
+    ):
+        assert kinds(text) == ["pem"], text
+    for text in (f"-----BEGIN {rsa}\nProc-Type: 4,ENCRYPTED\n\n{sealed}\n-----END {rsa}", f"{BEGIN}\n{sealed}\n{END}", f"{BEGIN}\n" + "\n".join(LINES[:-1]) + f"\n{END}"):
+        assert kinds(text) == [], text
+
+
+def test_wrapped_base64_without_a_block():
+    for text in ("data:\\n" + "\\n".join(LINES), "data:\\n" + BODY, "\n".join(LINES), "key: |\n  " + "\n  ".join(LINES) + "\nnext: 1", "\\n".join(LINES), "k = (" + "\n   ".join(f'"{x}"' for x in LINES) + ")"):
+        assert kinds(text) == ["der"], text
+    got = [s for s in find_spans("a\n" + "\n".join(LINES) + "\nb") if s[0] == "der"]
+    assert got == [("der", 2, 2 + len("\n".join(LINES)))]
+    other = base64.b64encode(OPENSSH).decode()
+    assert kinds("x\n" + "\n".join(other[i : i + 70] for i in range(0, len(other), 70))) == ["openssh"]
+    assert kinds("\n".join(LINES[:-1])) == []
+
+
+def test_hex_with_prefix_and_mixed_case():
+    mixed = "".join(c.upper() if k % 3 else c for k, c in enumerate(RSA.hex()))
+    for text in ("0x" + RSA.hex(), "k=0X" + RSA.hex().upper(), mixed, "0x" + mixed):
+        assert kinds(text) == ["der"], text
