@@ -1,4 +1,4 @@
-"""Exact deduplication by a tree merge of sorted digest runs. DataFrame functions only."""
+"""Exact deduplication by rounds of partial aggregates over digest runs. DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -27,6 +27,9 @@ def tree_merge(runs: DataFrame, keep: str = "largest") -> DataFrame:
     also agree in the second hash and the length collapse to one row before and after the exchange, so that a digest
     shared by a third of all rows travels as one row per task, and a round moves distinct digests only. The exchange is on
     (run, digest): the last round is spread over all digests, no task holds a whole run.
+
+    What runs are hash aggregates on (run, digest, second hash, length), one per round. The optimiser drops a sort that
+    stands below an aggregate or a join, so no order is used and rounds are not a multiway merge of sorted runs.
     """
     best = F.max if keep == "largest" else F.min
     level = runs.withColumnsRenamed({"id": "keep_id", "copies": "group_size"})
