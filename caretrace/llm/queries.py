@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from caretrace.llm.licenses import scan_licences
 from caretrace.llm.lines import fuzzy_lines
 from caretrace.llm.minhash import near_duplicates
 from caretrace.llm.mixing import mix_sources
+from caretrace.llm.periods import periodic_runs
+from caretrace.llm.phrases import collocations
 from caretrace.llm.pieces import encode_documents
 from caretrace.llm.quality import held_out, score_quality, train
 from caretrace.llm.secrets import scan_secrets
@@ -125,3 +129,72 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = fuzzy_lines(table(spark, sf_dir, "documents"))
     return marks.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"))
+
+
+def looped(doc_id: object, n: int) -> np.ndarray | None:
+    """Word numbers of a document of n words of which one in ten ends in a loop: from word a on, the p words there repeat."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    at = np.arange(n)
+    return np.where(at < a, at, a + (at - a) % p)
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(table(spark, sf_dir, "documents"), rewrite=looped)
+    longest = F.element_at(F.sort_array(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))), 1)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    found = found.withColumn("best", F.when(F.size("runs") > 0, longest))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.s").alias("start"),
+        (-F.col("best.l")).alias("length"),
+        F.col("best.p").alias("period"),
+        F.expr("CAST(floor(1000 * -best.l / best.p) AS BIGINT)").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query(
+    "op13_phrases",
+    """
+    WITH pieces AS (
+        SELECT lang, rowno, unnest(list_transform(cut, lambda x, i: {'piece': i, 'body': x}), recursive := true) FROM (
+            SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS rowno,
+                string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS cut FROM documents)
+    ), words AS (
+        SELECT lang, rowno, piece, unnest(list_transform(w, lambda x, i: {'pos': i, 'word': x}), recursive := true)
+        FROM (SELECT lang, rowno, piece, list_filter(string_split_regex(body, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces)
+    ), grams AS (
+        SELECT lang, word AS w1, lead(word) OVER p AS w2, lead(word, 2) OVER p AS w3 FROM words WINDOW p AS (PARTITION BY rowno, piece ORDER BY pos)
+    ), f AS (
+        SELECT lang, 1 AS size, w1 AS phrase, count(*) AS f FROM grams GROUP BY ALL
+        UNION ALL SELECT lang, 2, w1 || ' ' || w2, count(*) FROM grams WHERE w2 IS NOT NULL GROUP BY ALL
+        UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) FROM grams WHERE w3 IS NOT NULL GROUP BY ALL
+    ), candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 10),
+    cuts AS (
+        SELECT lang, phrase, f AS a, 1 AS k, w[1] AS head, array_to_string(w[2:], ' ') AS tail FROM candidates
+        UNION ALL SELECT lang, phrase, f, 2, array_to_string(w[:2], ' '), w[3] FROM candidates WHERE size = 3
+    ), scored AS (
+        SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, k, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+        FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = head JOIN f y ON y.lang = c.lang AND y.phrase = tail
+    ), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    longer AS (
+        SELECT lang, part, max(f) AS f FROM (
+            SELECT lang, array_to_string(w[:2], ' ') AS part, f FROM candidates WHERE size = 3
+            UNION ALL SELECT lang, array_to_string(w[2:], ' '), f FROM candidates WHERE size = 3) GROUP BY ALL
+    ), kept AS (
+        SELECT b.* FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.part = b.phrase WHERE g.f IS NULL OR 100 * g.f < 50 * b.a
+    ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+    FROM ranked JOIN (SELECT lang, count(*) AS n FROM words GROUP BY lang) USING (lang) WHERE rank <= 2000
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), min_count=10, most=3, cover_percent=50, top=2000)
