@@ -22,6 +22,7 @@ from caretrace.llm.pieces import encode_documents
 from caretrace.llm.quality import held_out, score_quality, train
 from caretrace.llm.secrets import scan_secrets
 from caretrace.llm.spans import repeated_spans
+from caretrace.llm.substrings import repeated_bytes
 from caretrace.llm.topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,6 +132,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"))
 
 
+@query("op11_suffix_dedup")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = repeated_bytes(table(spark, sf_dir, "documents"), limit=100)
+    return marks.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def looped(doc_id: object, n: int) -> np.ndarray | None:
     """Word numbers of a document of n words of which one in ten ends in a loop: from word a on, the p words there repeat."""
     h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
