@@ -27,8 +27,10 @@ PIECE_END = byte_class(b".,;:!?\n\x0b\x0c\r")
 GAP = PIECE_END | byte_class(b" \t")
 #: Bits of a table of proposals: 8 MB for the words and 8 MB for each phrase length below the longest, at every size of the corpus.
 TABLE_BITS = 1 << 26
+#: 64-bit words of a table that are packed into one row.
+BLOCK_SLOTS = 1024
 #: Text that a task holds before it hands on its counts.
-HELD_BYTES = 32 << 20
+HELD_BYTES = 8 << 20
 FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,31 +66,46 @@ def phrase_counts(lang: bytes, data: bytes, most: int, now: list[np.ndarray] | N
     breaks = ends[gap][1:-1]  # a piece ends between word i and the next
     if before is None:
         yield 1, words, np.bincount(number, minlength=len(words))
-    at, word_hashes = np.arange(len(number)), phrase_hashes(lang, words.to_pylist())
-    hashes = word_hashes[number]
-    # a phrase of ``size`` words: its start, and a dense number of its first size - 1 words
-    head = number.astype(np.int64)
+    word_hashes = phrase_hashes(lang, words.to_pylist())
+    hashes, follows = word_hashes[number], np.append(~breaks, False)  # of the phrase at each place; whether the piece goes on
+    fits = np.ones(len(number), bool)
     for size in range(2, most + 1):
-        ok = at + size - 1 < len(number)
-        at, head, left = at[ok], head[ok], hashes[at[ok]]
-        ok = ~breaks[at + size - 2]
-        at, head, left = at[ok], head[ok], left[ok]
-        right = hashes[at + 1]
-        wanted = np.ones(len(at), bool)
+        ahead = follows[size - 2 :]
+        fits[: len(ahead)] &= ahead
+        fits[len(ahead) :] = False
+        at = np.flatnonzero(fits)
+        left, right = hashes[at], hashes[at + 1]
         if now is not None:
             wanted = _has(now[size - 2], left) & _has(now[size - 2], right)
-        fresh = wanted if before is None else wanted & ~(_has(before[size - 2], left) & _has(before[size - 2], right))
-        key = head * len(words) + number[at + size - 1]
-        distinct, first, n = np.unique(key[fresh], return_index=True, return_counts=True)
-        if len(distinct):
-            start = at[fresh][first]
-            yield size, pc.binary_join_element_wise(*(words.take(pa.array(number[start + k])) for k in range(size)), pa.scalar(b" ", words.type)), n
+            fresh = wanted if before is None else wanted & ~(_has(before[size - 2], left) & _has(before[size - 2], right))
+            at = at[fresh]
+        keys, n = _distinct([number[at + k] for k in range(size)], len(words))
+        if len(n):
+            yield size, pc.binary_join_element_wise(*(words.take(pa.array(k)) for k in keys), pa.scalar(b" ", words.type)), n
         if size < most:
-            at, key = at[wanted], key[wanted]
-            head = np.unique(key, return_inverse=True)[1].astype(np.int64)
-            longer = np.zeros(len(number), np.uint64)
-            longer[at] = fold(hashes[at], word_hashes[number[at + size - 1]])
-            hashes = longer
+            last = max(len(number) - size + 1, 0)
+            hashes[:last] = fold(hashes[:last], word_hashes[number[size - 1 :]])
+
+
+def _distinct(parts: list[np.ndarray], base: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of some columns of numbers below ``base``, and how often each occurs."""
+    if not len(parts[0]):
+        return parts, np.zeros(0, np.int64)
+    if base ** len(parts) >= 1 << 63:  # too wide for one number: the columns but the last are numbered first
+        known, numbers = np.unique(np.stack(parts[:-1], axis=1), axis=0, return_inverse=True)
+        keys, n = _distinct([numbers.ravel(), parts[-1]], max(len(known), base))
+        return [*known[keys[0]].T, keys[1]], n
+    key = parts[0].astype(np.int64)
+    for p in parts[1:]:
+        key = key * base + p
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    n = np.diff(np.append(first, len(key)))
+    key, out = key[first], []
+    for _ in parts:
+        out.insert(0, key % base)
+        key = key // base
+    return out, n
 
 
 def _counted(docs: DataFrame, most: int, now: list | None, before: list | None) -> DataFrame:
@@ -131,8 +148,8 @@ def _rows(lang: bytes, words: int, phrases: pa.Array, n: np.ndarray) -> pa.Recor
 
 
 def _tables(frequent: DataFrame, most: int, bits: int) -> list[np.ndarray]:
-    """A bit table for each phrase length below the longest: the bits are joined on the executors, ``bits`` / 64 numbers
-    at most per length reach the driver."""
+    """A bit table for each phrase length below the longest: joined and packed on the executors, ``bits`` / 8 bytes per
+    length reach the driver."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,17 +165,22 @@ def _tables(frequent: DataFrame, most: int, bits: int) -> list[np.ndarray]:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array((bit >> np.uint64(6)).astype(np.int64)), pa.array((bit & np.uint64(63)).astype(np.int32))], ["size", "slot", "bit"])
 
     marks = frequent.where(F.col("size").between(1, most - 1)).select("lang", "size", "phrase").mapInArrow(place, "size int, slot long, bit int")
-    slots = marks.groupBy("size", "slot").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("word")).toPandas()
-    out = []
-    for size in range(1, most):
-        table = np.zeros(bits // 64, np.int64)
-        mine = slots[slots["size"] == size]
-        table[mine["slot"].to_numpy(np.int64)] = mine["word"].to_numpy(np.int64)
-        out.append(table.view(np.uint8))
+    slots = marks.groupBy("size", "slot").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("word"))
+    width = min(BLOCK_SLOTS, bits // 64)
+
+    def pack(key: tuple, words: pa.Table) -> pa.Table:
+        block = np.zeros(width, np.int64)
+        block[words["slot"].to_numpy() % width] = words["word"].to_numpy()
+        return pa.table({"size": key[:1], "block": key[1:], "bits": pa.array([block.tobytes()], pa.binary())})
+
+    blocks = slots.groupBy("size", (F.col("slot") / width).cast("long").alias("block")).applyInArrow(pack, "size int, block long, bits binary").toArrow()
+    out = [np.zeros(bits // 8, np.uint8) for _ in range(1, most)]
+    for size, block, held in zip(*(blocks[c].to_pylist() for c in ("size", "block", "bits")), strict=True):
+        out[size - 1][block * width * 8 : (block + 1) * width * 8] = np.frombuffer(held, np.uint8)
     return out
 
 
-def frequent_phrases(docs: DataFrame, min_count: int = 10, most: int = 3, rate: float = 0.2, lowered: int = 2, bits: int = TABLE_BITS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def frequent_phrases(docs: DataFrame, min_count: int = 10, most: int = 3, rate: float = 0.05, lowered: int = 2, bits: int = TABLE_BITS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, size, phrase, f): every word and phrase of up to ``most`` words with at least ``min_count`` occurrences, and a
     row of size 0 per language with the number of all its words. ``lang`` and ``phrase`` are UTF-8 bytes.
 
@@ -184,7 +206,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = 10, most: int = 3, rate:
         now, before = failed, now
 
 
-def collocations(docs: DataFrame, min_count: int = 10, most: int = 3, cover_percent: int = 50, top: int = 2000, rate: float = 0.2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def collocations(docs: DataFrame, min_count: int = 10, most: int = 3, cover_percent: int = 50, top: int = 2000, rate: float = 0.05, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per language the ``top`` phrases of 2 to ``most`` words by score: lang, rank, phrase, a, l, r, n, score.
 
     Texts are lower-cased (A-Z) and cut into pieces at ``.,;:!?`` and line ends, pieces into words at blanks and tabs. a, l
