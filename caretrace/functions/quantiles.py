@@ -67,6 +67,7 @@ def exact_quantiles_of(
             ]
         ).alias("_s")
     )
+    # The brackets are settled in the sketch's one row; a data row only compares itself with them.
     used = dict.fromkeys(range(len(columns)), 0)
     brackets = []
     for k, (_, v, q) in enumerate(wanted):
@@ -78,16 +79,19 @@ def exact_quantiles_of(
             wide = F.col(f"{s}.n") * steps[at] >= RANKS
             low = F.when(wide, F.col(f"{s}.mn") if q - steps[at] <= 0 else F.col(f"{s}.b")[2 * (LADDER * j + at)]).otherwise(low)
             high = F.when(wide, F.col(f"{s}.mx") if q + steps[at] >= 1 else F.col(f"{s}.b")[2 * (LADDER * j + at) + 1]).otherwise(high)
-        brackets.append(
-            F.struct(
-                F.lit(k).alias("i"),
-                F.col(f"v{i}").alias("v"),
-                (rank_of(q, F.col(f"{s}.n")) if rank_of else F.lit(float(q)) * (F.col(f"{s}.n") - 1)).cast("double").alias("rank"),
-                low.alias("lo"),
-                high.alias("hi"),
+        rank = (rank_of(q, F.col(f"{s}.n")) if rank_of else F.lit(float(q)) * (F.col(f"{s}.n") - 1)).cast("double")
+        brackets.append(F.struct(rank.alias("rank"), low.alias("lo"), high.alias("hi")).alias(f"b{k}"))
+    bracket = sketch.select(F.struct(*brackets).alias("_b")).scalar()
+    spread = data.withColumn("_b", bracket).select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(k).alias("i"), F.col(f"v{pos[v if isinstance(v, str) else str(v)]}").alias("v"), *[F.col(f"_b.b{k}.{n}").alias(n) for n in ("rank", "lo", "hi")])
+                    for k, (_, v, _) in enumerate(wanted)
+                ]
             )
         )
-    spread = data.withColumn("_s", sketch.scalar()).select(F.inline(F.array(*brackets)))
+    )
     inside = F.col("v") >= F.col("lo")
     cell = F.when(inside, F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS), F.lit(CELLS - 1))).otherwise(F.lit(0)))
     below = spread.filter(F.col("v") <= F.col("hi")).select("i", "rank", F.coalesce(cell, F.lit(-1)).cast("long").alias("cell"), F.when(inside, F.col("v")).alias("v"))

@@ -2,33 +2,70 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caretrace.functions.columns import nan_to_null
+from caretrace.functions.quantiles import exact_medians
 from caretrace.functions.tables import with_stats
 from caretrace.operators import score as K
 from caretrace.operators.causal import CausalSpec, fit_effect
 from caretrace.operators.model import LinearModel, baseline_prediction
+from caretrace.operators.trees import Explainer, TreeEnsemble, explained, predicted
 from caretrace.session import cut_lineage
 
 RAW = ("benefit", "attribution", "causal", "quality", "uncertainty")
 
 
+@dataclass(frozen=True)
+class Scorer:
+    """What scoring takes from a model, linear or boosted: prediction, baseline and attribution columns."""
+
+    model: LinearModel | TreeEnsemble
+    governed: tuple[str, ...]
+    reference: DataFrame
+    baseline: LinearModel | TreeEnsemble | None = None
+
+    def prepare(self) -> Callable[[DataFrame], DataFrame]:
+        """A function that adds prediction, baseline and ``_phi_<feature>``; all rows of the reference are the background."""
+        if isinstance(self.model, TreeEnsemble):
+            medians = None
+            if self.baseline is None:
+                cols = [c for c in self.governed if c in self.model.features]
+                row = exact_medians(self.reference, {c: c for c in cols}).first() if cols else {}
+                medians = {c: float(row[c] or 0.0) for c in cols}
+            explainer = Explainer.of(self.model, self.reference)
+            added = lambda df: explained(df, explainer, prefix="_phi_", replace=medians)
+        else:
+            phi = self.model.attribution()
+
+            def added(df: DataFrame) -> DataFrame:
+                if self.baseline is None:
+                    df = baseline_prediction(df, self.model, governed=self.governed, reference=self.reference)
+                return df.withColumns({"prediction": self.model.predict(), **{f"_phi_{f}": c for f, c in phi.items()}})
+
+        if isinstance(self.baseline, TreeEnsemble):
+            return lambda df: predicted(added(df), self.baseline, out="baseline")
+        if self.baseline is not None:
+            return lambda df: added(df).withColumn("baseline", self.baseline.predict())
+        return added
+
+
 def score_cohort(
     selected: DataFrame,
     reference: DataFrame,
     *,
-    model: LinearModel,
+    model: LinearModel | TreeEnsemble,
     governed: Sequence[str],
     target: str,
     drift: DataFrame,
     q_hat: float | None,
     train_rows: int,
     causal: CausalSpec | None = None,
-    baseline_model: LinearModel | None = None,
+    baseline_model: LinearModel | TreeEnsemble | None = None,
     goal: str = "higher_is_better",
     spec: K.ScoreSpec = K.DEFAULT,
 ) -> DataFrame:
@@ -46,14 +83,11 @@ def score_cohort(
             effect = fit_effect(complete, causal)
     sign = 1.0 if goal == "higher_is_better" else -1.0
     sd = reference.agg(F.stddev_pop(nan_to_null(target)).alias("sd"))
+    with_model = Scorer(model, tuple(governed), reference, baseline_model).prepare()
 
     def raw_components(df: DataFrame) -> DataFrame:
         columns = df.columns
-        if baseline_model is None:
-            based = baseline_prediction(df, model, governed=governed, reference=reference)
-        else:
-            based = df.withColumn("baseline", baseline_model.predict())
-        based = with_stats(with_stats(based, drift, "_drift"), sd, "_sd")
+        based = with_stats(with_stats(with_model(df), drift, "_drift"), sd, "_sd")
         quality, _ = K.process_quality(columns, spec)
         distances = K.ood_distances(model.features, "_drift", columns)
         burdens = {
@@ -64,18 +98,18 @@ def score_cohort(
         }
         # Staged, so that the combining expressions read columns instead of repeating what is below them.
         live = {n: c for n, c in burdens.items() if c is not None}
-        phi = model.attribution()
-        staged = based.withColumns({**{f"_z_{f}": z for f, z in distances.items()}, **{f"_phi_{f}": c for f, c in phi.items()}})
+        staged = based.withColumns({f"_z_{f}": z for f, z in distances.items()})
         staged = staged.withColumns({f"_b_{n}": c for n, c in live.items()})
         parts = {n: F.col(f"_b_{n}") if n in live else None for n in burdens}
         nothing = F.lit(None).cast("double")
-        attribution = K.relative_attribution({f: F.col(f"_phi_{f}") for f in phi}, governed, spec.attribution_epsilon)
+        phi = {f: F.col(f"_phi_{f}") for f in model.features}
+        attribution = K.relative_attribution(phi, governed, spec.attribution_epsilon)
         uncertainty = K.combine_uncertainty(parts, spec)
         helpers = [c for c in staged.columns if c not in columns and c.startswith(("_z_", "_phi_", "_b_", "_drift", "_sd"))]
         return staged.withColumns(
             {
-                "prediction": model.predict(),
-                "raw_benefit": K.benefit(nan_to_null(target), F.col("baseline"), goal),
+                "governed_sum": sum((c for f, c in phi.items() if f in governed), F.lit(0.0)),
+                "raw_benefit": K.benefit(nan_to_null(target), F.col("baseline"), goal) if target in columns else nothing,
                 "raw_attribution": attribution if attribution is not None else nothing,
                 "raw_causal": effect.column() * sign if effect is not None else nothing,
                 "raw_quality": quality if quality is not None else nothing,

@@ -522,7 +522,7 @@ def merge_contract_issues(issues: DataFrame, *, keys: Sequence[str] = ("row_id",
     )
 
 
-def block_by_reference_or_batch(rows: DataFrame, issues: DataFrame, reference_issues: DataFrame, *, index: str) -> DataFrame:
+def block_by_reference_or_batch(rows: DataFrame, issues: DataFrame, reference_issues: DataFrame, *, index: str, keep_index: bool = False) -> DataFrame:
     """Status of every requested row when anything breaks the contract; no rows when nothing does.
 
     A row keeps its own finding; otherwise a reference finding blocks it, otherwise the worst finding of
@@ -533,13 +533,15 @@ def block_by_reference_or_batch(rows: DataFrame, issues: DataFrame, reference_is
     worst = issues.agg(
         F.min_by("contract_warnings", F.struct(-_rank(F.col("contract_status")), F.col(index))).alias("w")
     )
-    keyed = rows.select(F.coalesce(F.nullif(F.col("row_id").cast("string"), F.lit("")), F.concat(F.lit("row:"), F.col(index))).alias("row_id"))
+    number = [F.col(index)] if keep_index else []
+    keyed = rows.select(*number, F.coalesce(F.nullif(F.col("row_id").cast("string"), F.lit("")), F.concat(F.lit("row:"), F.col(index))).alias("row_id"))
     joined = keyed.join(own, "row_id", "left").withColumn("_ref", ref.scalar()).withColumn("_bat", worst.scalar())
     by_ref = F.size("_ref") > 0
     blocked = lambda extra, base: sorted_unique(F.concat(string_array(extra), base))
     return (
         joined.filter(by_ref | F.col("_bat").isNotNull())
         .select(
+            *number,
             "row_id",
             F.coalesce("contract_status", F.when(by_ref, F.lit("blocked_by_reference_contract")).otherwise(F.lit("contract_mismatch"))).alias("status"),
             F.coalesce(

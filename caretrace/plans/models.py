@@ -10,10 +10,14 @@ from caretrace.functions.tables import with_stats
 from caretrace.operators import causal as X
 from caretrace.operators import model as M
 
+from caretrace.operators import score as K
+from caretrace.operators import scoring as R
+from caretrace.operators import trees as B
 from caretrace.operators.cohort_score import score_cohort
+from caretrace.operators.guards import spec_map
 from caretrace.plans.adapter import Tables
 from caretrace.plans.base import emit, query, rnd
-from caretrace.plans.score import FEATURES, drift_stats
+from caretrace.plans.score import BLOCK_SQL, BURDEN, FEATURES, PRIMARY, QUALITY, drift_stats, z_sql
 
 PAIR = ["nurse_hppd", "nurse_skillmix"]
 
@@ -79,14 +83,32 @@ def _(t: Tables) -> DataFrame:
     return emit(out.select("row_id", "prediction", "governed_sum", "group_nursing", "group_other"), digits=5)
 
 
+def boosted(t: Tables) -> B.TreeEnsemble:
+    """The outcome model at full size: 600 trees of depth 5, fitted on rows outside the hold-out."""
+    return B.boosted_model(t.feat.filter(M.is_training_row("row_id")), features=FEATURES, target="delta_ri", row_id="row_id")
+
+
+@query("train_boosted_model")
+def _(t: Tables) -> DataFrame:
+    """Errors on the held-out rows of the boosted model and of the training mean."""
+    model = boosted(t)
+    held = t.feat.filter(~M.is_training_row("row_id")).filter(F.col("delta_ri").isNotNull())
+    rows = B.predicted(held.select("row_id", *FEATURES, "delta_ri"), model)
+    trained = M.regression_metrics(rows, target="delta_ri", n_features=3)
+    plain = M.regression_metrics(rows.withColumn("prediction", F.lit(model.base)), target="delta_ri").select(F.col("rmse").alias("rmse_of_mean"))
+    return emit(trained.withColumn("n_trees", F.lit(len(model.value))).withColumn("rmse_of_mean", plain.scalar()), digits=3)
+
+
 @query("tree_attribution", "SELECT row_id, 0.0 AS gap, 0.0 AS expected_gap FROM v_feat")
 def _(t: Tables) -> DataFrame:
-    model, _ = M.train_outcome_model(t.feat, features=FEATURES, target="delta_ri", row_id="row_id", n_trees=3, learning_rate=0.3, depth=3)
-    out = M.tree_attribution(t.feat, model, features=FEATURES, row_id="row_id")
-    parts = sum((F.col(f"phi_{f}") for f in FEATURES), F.col("expected"))
-    # The parts add up to the prediction, and the background's mean prediction is the expected value.
-    mean = out.agg(F.avg("prediction").alias("m")).scalar()
-    return emit(out.select("row_id", (parts - F.col("prediction")).alias("gap"), (mean - F.col("expected")).alias("expected_gap")))
+    model = boosted(t)
+    out = B.explained(t.feat.select("row_id", *FEATURES), B.Explainer.of(model, t.feat))
+    expected = out.agg(F.avg("prediction").alias("m")).scalar()
+    # The parts add up to the prediction's distance from the background's mean prediction, and that of a second walk.
+    again = B.predicted(out, model, out="walked")
+    parts = sum((F.col(f"phi_{f}") for f in model.features), F.lit(0.0))
+    gaps = again.withColumn("_e", expected)
+    return emit(gaps.select("row_id", (F.col("walked") - F.col("prediction")).alias("gap"), (parts + F.col("_e") - F.col("prediction")).alias("expected_gap")))
 
 
 @query(
@@ -315,6 +337,120 @@ def _(t: Tables) -> DataFrame:
     return emit(scored_cohort(t).select(*cols), digits=4)
 
 
+# --- whole requests --------------------------------------------------------------------------
+
+REQUEST_Q, REQUEST_ROWS = 3.0, 80
+
+
+def request_sql(rows: str, reference: str, tag: str) -> str:
+    """CTEs that score ``rows`` against ``reference`` by the linear model, without effects; ends in r_<tag>."""
+    raw = lambda src: f"""SELECT row_id, delta_ri, y - base AS benefit, p1 / (abs(p1) + abs(p2) + 1e-6) AS attribution, quality,
+ least({REQUEST_Q} * 2 / sd, 1) * .35 + missing * .35 + ood * .2 + {(100 - REQUEST_ROWS) / 100} * .1 AS uncertainty, -base AS severity, ood FROM (
+ SELECT f.row_id, f.delta_ri, f.delta_ri AS y, b0 + b1 * mh + b2 * nurse_skillmix AS base, b1 * (nurse_hppd - m1) AS p1, b2 * (nurse_skillmix - m2) AS p2, {QUALITY} AS quality, sd, {BURDEN} AS missing,
+  ((least(greatest((abs(nurse_hppd - ah) / sh - 3) / 3, 0), 1)) + (least(greatest((abs(nurse_skillmix - ak) / sk - 3) / 3, 0), 1))) / 2 AS ood
+ FROM {src} f, lin, (SELECT median(nurse_hppd) AS mh, stddev_pop(delta_ri) AS sd FROM {reference}), (SELECT avg(nurse_hppd) AS ah, stddev_pop(nurse_hppd) AS sh, avg(nurse_skillmix) AS ak, stddev_pop(nurse_skillmix) AS sk FROM v_feat))"""
+    parts = ("benefit", "attribution", "quality", "uncertainty", "severity")
+    z = ", ".join(f"z{tag}_{c} AS ({z_sql(c, f'raw{tag}_ref')})" for c in parts)
+    norm = ", ".join(f"least(greatest((r.{c} - z{tag}_{c}.m) / z{tag}_{c}.s, -4), 4) AS z_{c}" for c in parts)
+    return f"""raw{tag}_ref AS ({raw(reference)}), raw{tag} AS ({raw(rows)}), {z},
+n{tag} AS (SELECT r.*, {norm} FROM raw{tag} r, {', '.join(f'z{tag}_{c}' for c in parts)}),
+r_{tag} AS (SELECT *, z_benefit + z_attribution + z_quality - z_uncertainty AS raw_score FROM n{tag})"""
+
+
+REQUEST_SQL = f"""
+WITH lin AS ({LIN_SQL}), known AS (SELECT * FROM v_feat WHERE delta_ri IS NOT NULL), {request_sql('known', 'known', 'clean')}
+SELECT 'clean' AS scenario, row_id, 'provisional' AS status, {rnd('100 / (1 + exp(-least(greatest(raw_score, -20), 20)))', 'score', 4)}, {rnd('benefit', 'raw_benefit', 4)},
+ {rnd('1 + least(greatest(z_severity, 0), 2)', 'severity_weight', 4)},
+ array_to_string(list_sort(list_filter(['causal_unavailable_score_is_provisional', CASE WHEN uncertainty >= 0.6 THEN 'high_uncertainty' END, 'low_support', CASE WHEN ood > 0 THEN 'ood_detected' END], lambda x: x IS NOT NULL)), '|') AS warnings FROM r_clean
+UNION ALL SELECT 'batch', row_id, CASE WHEN delta_ri IS NULL THEN 'insufficient_outcome_evidence' ELSE 'temporal_leakage_blocked' END, NULL, NULL, NULL,
+ CASE WHEN delta_ri IS NULL THEN 'missing_outcome_target' ELSE 'scoring_blocked_by_batch_temporal_failure' END FROM v_feat
+UNION ALL SELECT 'reference', row_id, 'blocked_by_reference_temporal_spec', NULL, NULL, NULL, 'missing_outcome_target|scoring_blocked_by_reference_rows_temporal_failure' FROM known"""
+
+
+def timed_rows(t: Tables) -> DataFrame:
+    """Feature rows with a sound temporal specification; a row without an outcome is a finding."""
+    iso = lambda n: F.date_format(F.col("start_dt") + F.make_dt_interval(hours=F.lit(n)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    spec = spec_map(
+        temporal_spec_version=F.lit(C.TEMPORAL_SPEC_VERSION), index_time=iso(0), feature_window_start=iso(0), feature_window_end=iso(12), outcome_window_start=iso(12), outcome_window_end=iso(24),
+        censoring_reason=F.lit("not_censored"), outcome_status=F.lit(C.STATUS_DEFENSIBLE),
+    )
+    return t.feat.withColumn("temporal_spec", spec)
+
+
+def sound_artifact(t: Tables) -> DataFrame:
+    return M.evidence_gate(artifacts(t).filter(F.col("model_id") == "m20"))
+
+
+def scored_request(t: Tables, request: R.Request, model, artifact: DataFrame | None = None) -> DataFrame:
+    return R.score_request(
+        request, artifact=sound_artifact(t) if artifact is None else artifact, model=model, governed=["nurse_hppd"], target="delta_ri", drift=drift_stats(t.feat), q_hat=REQUEST_Q, train_rows=REQUEST_ROWS
+    )
+
+
+@query("score_request", REQUEST_SQL)
+def _(t: Tables) -> DataFrame:
+    """The linear model on a clean cohort, on one with rows that break the temporal rules, and against such a reference."""
+    rows, model = timed_rows(t), linear(t)
+    known = rows.filter(F.col("delta_ri").isNotNull())
+    asked = {"clean": R.Request(known), "batch": R.Request(rows, reference_rows=known), "reference": R.Request(known, reference_rows=rows)}
+    out = None
+    for name, request in asked.items():
+        part = scored_request(t, request, model)
+        shut = F.col("status").isin("temporal_leakage_blocked", "insufficient_outcome_evidence", "blocked_by_reference_temporal_spec")
+        part = part.select(F.lit(name).alias("scenario"), "row_id", "status", "score", "raw_benefit", F.when(~shut, F.col("severity_weight")).alias("severity_weight"), "warnings")
+        out = part if out is None else out.unionByName(part)
+    return emit(out, digits=4)
+
+
+@query(
+    "score_request_external",
+    f"""WITH blocked AS ({BLOCK_SQL}) SELECT mode, row_id, status, warnings, CAST(NULL AS DOUBLE) AS score FROM blocked WHERE mode = 'batch'
+    UNION ALL SELECT mode, b.row_id, b.status, b.warnings, NULL FROM blocked b JOIN v_issue i ON i.row_id = b.row_id AND i.status IS NULL WHERE mode = 'reference'""",
+)
+def _(t: Tables) -> DataFrame:
+    """Rows of an outside provider: a batch that breaks the contract, and a sound one with a broken reference."""
+    model = M.LinearModel(("ri_initial", "nurse_hppd"), (2.0, 0.5), 1.0, (0.5, 4.5))
+    sick = K.feature_contract(t.external, PRIMARY, index="idx").select("idx")
+    sound = t.external.join(sick, "idx", "left_anti")
+    broken = t.external.join(K.feature_contract(t.external, PRIMARY, index="idx").filter(F.col("idx") % 2 == 0).select("idx"), "idx", "left_semi")
+    asked = {"batch": R.Request(t.external, "episode", contracts=(PRIMARY,), temporal_spec=None), "reference": R.Request(sound, "episode", reference_rows=broken, contracts=(PRIMARY,), temporal_spec=None)}
+    out = None
+    for name, request in asked.items():
+        part = R.score_request(
+            request, artifact=sound_artifact(t), model=model, governed=["nurse_hppd"], target="nurse_skillmix",
+            drift=t.feat.agg(*[F.lit(v).alias(n) for n, v in (("ri_initial_mean", 0.5), ("ri_initial_std", 0.3), ("nurse_hppd_mean", 4.5), ("nurse_hppd_std", 2.9))]), q_hat=None, train_rows=500,
+        )
+        part = part.select(F.lit(name).alias("mode"), "row_id", "status", "warnings", "score")
+        out = part if out is None else out.unionByName(part)
+    return emit(out)
+
+
+@query(
+    "score_request_outcome",
+    """SELECT CASE s_suppkey % 20 WHEN 0 THEN '' WHEN 19 THEN '' ELSE 'model_not_defensible' END AS detail, count(*) AS artifacts, max(CASE WHEN s_suppkey % 20 IN (0, 19) THEN (SELECT count(*) FROM lineitem WHERE l_orderkey % 50 <> 0) ELSE 0 END) AS rows_requested
+    FROM supplier WHERE s_suppkey < 21 GROUP BY 1""",
+)
+def _(t: Tables) -> DataFrame:
+    """What a request returns per artifact: only a defensible one opens the rows."""
+    known, model, judged = timed_rows(t).filter(F.col("delta_ri").isNotNull()), linear(t), M.evidence_gate(artifacts(t))
+    cases = None
+    for name in ("m20", "m1"):
+        one = judged.filter(F.col("model_id") == name)
+        out = R.request_outcome(scored_request(t, R.Request(known), model, one), R.evidence_detail(one))
+        part = out.select(F.lit(name).alias("of"), F.coalesce("detail", F.lit("")).alias("detail"), "rows_requested")
+        cases = part if cases is None else cases.unionByName(part)
+    sound = judged.filter(F.substring("model_id", 2, 9).cast("long") < 21).groupBy(F.when(F.col("defensible"), F.lit("")).otherwise(F.lit("model_not_defensible")).alias("_d")).agg(F.count(F.lit(1)).alias("artifacts"))
+    return emit(cases.filter("(of = 'm20' and detail = '') or (of = 'm1' and detail = 'model_not_defensible')").join(sound, F.col("detail") == F.col("_d")).select("detail", "artifacts", "rows_requested"))
+
+
+@query("score_cohort_boosted")
+def _(t: Tables) -> DataFrame:
+    """The request's clean cohort scored by the boosted model."""
+    known = timed_rows(t).filter(F.col("delta_ri").isNotNull())
+    out = scored_request(t, R.Request(known), boosted(t))
+    return emit(out.select("row_id", "status", "score", "prediction", "baseline", "governed_sum", "benefit", "attribution", "quality", "uncertainty", "severity_weight", "warnings"), digits=4)
+
+
 # --- effects ---------------------------------------------------------------------------------
 
 SPEC = X.CausalSpec("nurse_hppd", "delta_ri", ("nurse_skillmix", "ri_initial"), ("nurse_skillmix",))
