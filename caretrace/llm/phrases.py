@@ -25,12 +25,12 @@ from caretrace.llm.tokens import byte_class, text_bytes, words_and_gaps
 #: What ends a piece, and what stands between words of a piece.
 PIECE_END = byte_class(b".,;:!?\n\x0b\x0c\r")
 GAP = PIECE_END | byte_class(b" \t")
-#: Bits of a table of proposals: 8 MB for the words and 8 MB for each phrase length below the longest, at every size of the corpus.
-TABLE_BITS = 1 << 26
+#: Bits of a table of proposals: 4 MB for the words and 4 MB for each phrase length below the longest, at every size of the corpus.
+TABLE_BITS = 1 << 25
 #: 64-bit words of a table that are packed into one row.
 BLOCK_SLOTS = 1024
 #: Text that a task holds before it hands on its counts.
-HELD_BYTES = 8 << 20
+HELD_BYTES = 6 << 20
 FOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -237,5 +237,6 @@ def collocations(docs: DataFrame, min_count: int = 10, most: int = 3, cover_perc
     left = scored.join(inside, ["lang", "phrase"], "left").where(F.expr(f"longer IS NULL OR CAST(longer AS DECIMAL(19,0)) * 100 < CAST(a AS DECIMAL(19,0)) * {int(cover_percent)}"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     totals = frequent.where("size = 0").groupBy("lang").agg(F.max("f").alias("n"))
-    first = left.withColumn("rank", place.cast("long")).where(F.col("rank") <= top)
+    # The bare number is what Spark can bound before the exchange: a language sends ``top`` rows per task.
+    first = left.withColumn("rank", place).where(F.col("rank") <= top).withColumn("rank", F.col("rank").cast("long"))
     return first.join(totals, "lang").select(F.col("lang").cast("string").alias("lang"), "rank", "phrase", "a", "l", "r", "n", "score")

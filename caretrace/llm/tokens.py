@@ -49,17 +49,18 @@ def words_and_gaps(data: bytes, gaps: np.ndarray) -> tuple[np.ndarray, pa.Array,
     i stands before word i, one more at the end), the distinct gaps and the words' start offsets.
     """
     flags = gaps[np.frombuffer(data, np.uint8)]
-    cuts = np.flatnonzero(flags[1:] != flags[:-1]) + 1
-    offsets = np.concatenate([[0], cuts, [len(data)]])
-    kind = pa.int64() if len(data) > 2**31 - 2 else pa.int32()
-    parts = (pa.LargeBinaryArray if kind == pa.int64() else pa.BinaryArray).from_buffers(
-        pa.large_binary() if kind == pa.int64() else pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(kind.to_pandas_dtype())), pa.py_buffer(data)]
-    )
+    cuts = np.flatnonzero(flags[1:] != flags[:-1])
+    wide = len(data) > 2**31 - 2
+    offsets = np.empty(len(cuts) + 2, np.int64 if wide else np.int32)
+    offsets[0], offsets[1:-1], offsets[-1] = 0, cuts + 1, len(data)
+    del flags, cuts
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data)]
+    parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, buffers) if wide else pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, buffers)
     numbered = parts.dictionary_encode()
     codes = numbered.indices.to_numpy(zero_copy_only=False)
     distinct = numbered.dictionary
     is_gap = np.zeros(len(distinct), bool)
     is_gap[codes[0::2]] = True
-    renumber = np.cumsum(is_gap) - 1
-    word_number = np.cumsum(~is_gap) - 1
-    return word_number[codes[1::2]], distinct.filter(pa.array(~is_gap)), renumber[codes[0::2]], distinct.filter(pa.array(is_gap)), offsets[1:-1:2]
+    gap_number = np.cumsum(is_gap, dtype=np.int32) - 1
+    word_number = np.cumsum(~is_gap, dtype=np.int32) - 1
+    return word_number[codes[1::2]], distinct.filter(pa.array(~is_gap)), gap_number[codes[0::2]], distinct.filter(pa.array(is_gap)), offsets[1:-1:2]
