@@ -67,7 +67,7 @@ def exact_quantiles_of(
             ]
         ).alias("_s")
     )
-    # The brackets are settled in the sketch's one row; a data row only compares itself with them.
+    # The brackets are settled in the sketch's one row, which is computed here: a data row only compares itself with numbers.
     used = dict.fromkeys(range(len(columns)), 0)
     brackets = []
     for k, (_, v, q) in enumerate(wanted):
@@ -81,12 +81,13 @@ def exact_quantiles_of(
             high = F.when(wide, F.col(f"{s}.mx") if q + steps[at] >= 1 else F.col(f"{s}.b")[2 * (LADDER * j + at) + 1]).otherwise(high)
         rank = (rank_of(q, F.col(f"{s}.n")) if rank_of else F.lit(float(q)) * (F.col(f"{s}.n") - 1)).cast("double")
         brackets.append(F.struct(rank.alias("rank"), low.alias("lo"), high.alias("hi")).alias(f"b{k}"))
-    bracket = sketch.select(F.struct(*brackets).alias("_b")).scalar()
-    spread = data.withColumn("_b", bracket).select(
+    settled = sketch.select(*brackets).first()
+    number = lambda x: F.lit(x).cast("double")
+    spread = data.select(
         F.inline(
             F.array(
                 *[
-                    F.struct(F.lit(k).alias("i"), F.col(f"v{pos[v if isinstance(v, str) else str(v)]}").alias("v"), *[F.col(f"_b.b{k}.{n}").alias(n) for n in ("rank", "lo", "hi")])
+                    F.struct(F.lit(k).alias("i"), F.col(f"v{pos[v if isinstance(v, str) else str(v)]}").alias("v"), *[number(settled[f"b{k}"][n]).alias(n) for n in ("rank", "lo", "hi")])
                     for k, (_, v, _) in enumerate(wanted)
                 ]
             )

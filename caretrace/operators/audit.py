@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+import hashlib
+import uuid
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caretrace import constants as C
 from caretrace.functions.columns import hmac_sha256, string_array
+from caretrace.functions.tables import numbered, range_slices
+from caretrace.session import cut_lineage, discard, discard_path, shared_root
+
 
 def link_material(prev: Column, created: Column, kind: Column, actor: Column, context: Column, payload_hash: Column) -> Column:
     return F.concat_ws("|", prev, created, kind, actor, context, payload_hash)
@@ -25,31 +29,59 @@ def seal_audit_batch(events: DataFrame, *, chain: str, seq: str, secret: str, ba
 
     Every event is linked to the one before it. ``tails`` (chain, tail_hash) are the last hashes of what was sealed
     earlier (see :func:`chain_tails`), so a chain goes on over any number of batches and does not depend on where they
-    are cut. A chain's events of one batch are folded in one task; batches are cut by whoever seals them.
+    are cut. A chain's events of one batch are walked once, in order, in one task: that is why a batch is bounded by
+    whoever cuts it, as :func:`seal_chains` does.
     """
-    item = F.struct(F.col(seq).alias("seq"), *[F.col(c) for c in EVENT])
-    groups = events.groupBy(chain).agg(F.array_sort(F.collect_list(item)).alias("_e"))
+    kinds = dict(events.dtypes)
+    rows = events.select(chain, seq, *[F.col(c).cast("string").alias(f"_m_{c}") for c in EVENT], *[c for c in EVENT if c not in (chain, seq)])
     if tails is not None:
-        groups = groups.join(tails.select(chain, F.col("tail_hash").alias("_t")), chain, "left")
-    before = F.coalesce(F.col("_t"), F.lit("")) if tails is not None else F.lit("")
-    hashes = F.aggregate(
-        "_e",
-        F.array(before),
-        lambda acc, e: F.concat(
-            acc,
-            F.array(F.sha2(link_material(F.try_element_at(acc, F.lit(-1)), e["created_at"], e["event_type"], e["actor"], e["context"], e["payload_sha256"]), 256)),
-        ),
-    )
-    rows = groups.withColumn("_h", hashes).select(chain, F.posexplode("_e").alias("_i", "_z"), "_h")
-    flat = rows.select(
-        chain,
-        F.lit(batch).alias("batch"),
-        F.col("_z.seq").alias(seq),
-        *[F.col(f"_z.{c}").alias(c) for c in EVENT],
-        F.try_element_at("_h", F.col("_i") + 1).alias("prev_hash"),
-        F.try_element_at("_h", F.col("_i") + 2).alias("chain_hash"),
-    )
-    return flat.withColumn("hmac_sig", hmac_sha256(secret, F.col("chain_hash")))
+        named = tails.select(F.col(chain).alias("_t_chain"), F.col("tail_hash").alias("_tail"))
+        rows = rows.join(named, F.col(chain).eqNullSafe(F.col("_t_chain")), "left").drop("_t_chain")
+    else:
+        rows = rows.withColumn("_tail", F.lit(None).cast("string"))
+    kept = [chain, seq, *[c for c in EVENT if c not in (chain, seq)]]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", prev_hash string, chain_hash string"
+
+    def walk(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(seq, "ascending"), *((f"_m_{c}", "ascending") for c in EVENT)])
+        before, prev, own = group["_tail"][0].as_py() or "", [], []
+        for parts in zip(*(group[f"_m_{c}"].to_pylist() for c in EVENT), strict=True):
+            prev.append(before)
+            before = hashlib.sha256("|".join([before, *(p for p in parts if p is not None)]).encode()).hexdigest()
+            own.append(before)
+        return group.select(kept).append_column("prev_hash", pa.array(prev, pa.string())).append_column("chain_hash", pa.array(own, pa.string()))
+
+    sealed = rows.groupBy(chain).applyInArrow(walk, schema)
+    cols = [chain, F.lit(batch).alias("batch"), seq, *[c for c in EVENT if c not in (chain, seq)], "prev_hash", "chain_hash"]
+    return sealed.select(*cols).withColumn("hmac_sig", hmac_sha256(secret, F.col("chain_hash")))
+
+
+def seal_chains(events: DataFrame, path: str, *, chain: str, seq: str, secret: str, batch_events: int = 100_000, tails: DataFrame | None = None) -> DataFrame:
+    """Seal chains of any length to ``path`` (one folder per batch) and read them back.
+
+    Events are numbered per chain without ordering a chain as a whole; every ``batch_events`` of them are one batch.
+    Round k seals the k-th batch of every chain that has one, in parallel, and hands on one tail per chain. No task holds
+    more than a batch of a chain, the work is linear, and the hashes are those of one walk over each chain.
+    """
+    spark = events.sparkSession
+    place = numbered(events, [chain], [seq], batch_events).withColumn("_batch", F.floor(F.col("_number") / batch_events).cast("int")).drop("_number")
+    waiting = f"{shared_root(spark)}/caretrace/{uuid.uuid4().hex}"
+    place.write.partitionBy("_batch").parquet(waiting)
+    staged = spark.read.schema(place.schema).parquet(waiting)
+    last = staged.agg(F.max("_batch")).first()[0]
+    for k in range(0 if last is None else last + 1):
+        part = seal_audit_batch(staged.filter(F.col("_batch") == k).drop("_batch"), chain=chain, seq=seq, secret=secret, batch=k, tails=tails)
+        part.drop("batch").write.mode("overwrite").parquet(f"{path}/batch={k}")
+        if k < last:
+            sealed = spark.read.schema(part.drop("batch").schema).parquet(f"{path}/batch={k}")
+            fresh = chain_tails(sealed, chain=chain, seq=seq)
+            if k == 0 and tails is not None:  # chains without events in this request keep their tail
+                fresh = fresh.unionByName(tails.select(chain, "tail_hash").join(fresh.select(chain), chain, "left_anti"))
+            tails = fresh
+    if last is None:
+        return seal_audit_batch(events, chain=chain, seq=seq, secret=secret, tails=tails)
+    discard_path(spark, waiting)
+    return spark.read.schema(part.schema).parquet(path)
 
 
 def chain_tails(sealed: DataFrame, *, chain: str, seq: str) -> DataFrame:
@@ -161,60 +193,148 @@ def human_in_loop(decisions: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def denial_dedupe(denials: DataFrame, *, keys: Sequence[str], ts: str, seconds: int = 60, slice_seconds: int = 86_400, seed: DataFrame | None = None) -> DataFrame:
+# --- denials ---------------------------------------------------------------------------------
+
+# What a run of times does to the time logged last before it: entry x (the earliest time that may be logged) up to hi[j]
+# leaves exits[j] as the time logged last; beyond the last hi nothing is logged. ``low`` is the first time of the run.
+NODE = "_key string, first long, level int, low long, hi array<long>, exits array<long>"
+
+
+def _pieces(hi: np.ndarray, exits: np.ndarray, low: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries that lead to the same exit are one piece; entries no earlier time can cause are left out."""
+    reach = int(np.searchsorted(hi, low + gap)) + 1
+    hi, exits = hi[:reach], exits[:reach]
+    ends = np.append(exits[1:] != exits[:-1], True) if len(exits) else np.zeros(0, bool)
+    return hi[ends], exits[ends]
+
+
+def _after(carry: np.ndarray, hi: np.ndarray, exits: np.ndarray, gap: int) -> np.ndarray:
+    """The time logged last after a run, for each time logged last before it."""
+    j = np.searchsorted(hi, carry + gap)
+    return np.where(j < len(hi), np.append(exits, 0)[np.minimum(j, len(hi))], carry)
+
+
+def _ordered(group: pa.Table) -> list[tuple[dict, np.ndarray, np.ndarray]]:
+    rows = sorted(group.to_pylist(), key=lambda r: r["first"])
+    return [(r, np.array(r["hi"], np.int64), np.array(r["exits"], np.int64)) for r in rows]
+
+
+def _summary(gap: int) -> Callable[[pa.Table], pa.Table]:
+    """A slice of times as a node."""
+
+    def run(group: pa.Table) -> pa.Table:
+        t = np.sort(group["_t"].to_numpy())
+        following = np.searchsorted(t, t + gap).tolist()
+        last = t.tolist()
+        for i in range(len(last) - 1, -1, -1):
+            if following[i] < len(last):
+                last[i] = last[following[i]]
+        hi, exits = _pieces(t, np.array(last, np.int64), int(t[0]), gap)
+        return pa.table({"_key": group["_key"].slice(0, 1), "first": pa.array([group["_slice"][0].as_py()], pa.int64()), "level": pa.array([0], pa.int32()), "low": pa.array([int(t[0])]), "hi": [hi.tolist()], "exits": [exits.tolist()]})
+
+    return run
+
+
+def _joined(level: int, gap: int) -> Callable[[pa.Table], pa.Table]:
+    """Neighbouring nodes as one: entries are carried through all of them."""
+
+    def run(group: pa.Table) -> pa.Table:
+        parts = _ordered(group)
+        low = parts[0][0]["low"]
+        entry = np.unique(np.concatenate([hi for _, hi, _ in parts]))
+        carry = entry - gap
+        for _, hi, exits in parts:
+            carry = _after(carry, hi, exits, gap)
+        hi, exits = _pieces(entry, carry, low, gap)
+        return pa.table({"_key": group["_key"].slice(0, 1), "first": pa.array([parts[0][0]["first"]], pa.int64()), "level": pa.array([level], pa.int32()), "low": pa.array([low]), "hi": [hi.tolist()], "exits": [exits.tolist()]})
+
+    return run
+
+
+def _handed_down(gap: int) -> Callable[[pa.Table], pa.Table]:
+    """(_key, first, level, carry) of the nodes of a group, whose first one is entered with the group's carry."""
+
+    def run(group: pa.Table) -> pa.Table:
+        carry, out = np.array([group["carry"][0].as_py()], np.int64), []
+        for r, hi, exits in _ordered(group):
+            out.append((r["first"], r["level"], int(carry[0])))
+            carry = _after(carry, hi, exits, gap)
+        first, level, entered = zip(*out, strict=True)
+        return pa.table({"_key": pa.concat_arrays([group["_key"].slice(0, 1).combine_chunks()] * len(out)) if out else [], "first": pa.array(first, pa.int64()), "level": pa.array(level, pa.int32()), "carry": pa.array(entered, pa.int64())})
+
+    return run
+
+
+def denial_dedupe(denials: DataFrame, *, keys: Sequence[str], ts: str, seconds: int = 60, slice_rows: int = 100_000, fan_in: int = 8, seed: DataFrame | None = None) -> DataFrame:
     """First denial per key, then none until ``seconds`` have passed since the one that was logged.
 
-    Which times are logged depends on the last logged one. Each key is cut into time slices that are walked apart: a slice
-    is reduced to steps "first time taken -> last time logged" for the times that may be first (those in its first
-    ``seconds``, and the next one). The steps are chained per key, one row per slice, and each slice is walked from
-    its entry. However many denials a caller has, a task holds the distinct times of one slice. ``seed`` (keys,
-    last_logged) holds what was logged before.
+    Which times are logged depends on the last logged one, so a key's times are a chain of maps "logged last before ->
+    logged last after". Times are cut into slices of about ``slice_rows`` whatever their key and span; each slice is
+    reduced to the distinct exits its entries can lead to, neighbouring maps are joined ``fan_in`` at a time up a tree, and
+    the entries come down it again, until each slice can be walked from its own. Nodes whose maps together have more than
+    ``slice_rows`` pieces (times so dense that hardly any two entries meet) are not joined but entered one after the other,
+    one round for the n-th node of every key. So no task holds more than a slice's rows or pieces, whether ``seconds`` is a
+    minute or a day. ``seed`` (keys, last_logged) holds what was logged before; null times do not count.
     """
-    keys = list(keys)
-    gap, width = seconds * 1_000_000, max(slice_seconds, seconds) * 1_000_000
-    kinds = dict(denials.dtypes)
-    named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    keys, gap = list(keys), seconds * 1_000_000
+    spark, kinds = denials.sparkSession, dict(denials.dtypes)
+    name = F.to_json(F.struct(*keys)).alias("_key")
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    times = denials.filter(F.col(ts).isNotNull()).select(*keys, micros.alias("_t")).distinct().withColumn("_slice", F.floor(F.col("_t") / F.lit(width)).cast("long"))
-
-    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_t"].to_numpy(np.int64))
-        following = np.searchsorted(t, t + gap)
-        last = t.copy()
-        for i in range(len(t) - 1, -1, -1):
-            if following[i] < len(t):
-                last[i] = last[following[i]]
-        n = min(len(t), int(np.searchsorted(t, pdf["_slice"].iloc[0] * width + gap)) + 1)
-        return pdf[[*keys, "_slice"]].head(1).assign(_first=[t[:n].tolist()], _last=[last[:n].tolist()])
-
-    def chained(pdf: pd.DataFrame) -> pd.DataFrame:
-        carry = pdf["_seed"].iloc[0]
-        carry = -(1 << 62) if pd.isna(carry) else int(carry)
-        pdf = pdf.sort_values("_slice", ignore_index=True)
-        entries = []
-        for first, last in zip(pdf["_first"], pdf["_last"], strict=True):
-            i = int(np.searchsorted(first, carry + gap))
-            entries.append(None if i == len(first) else int(first[i]))
-            carry = carry if i == len(first) else int(last[i])
-        return pdf[[*keys, "_slice"]].assign(_entry=pd.array(entries, dtype="Int64")).dropna(subset=["_entry"])
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["_t"].to_numpy(np.int64))
-        i, logged = int(np.searchsorted(t, int(pdf["_entry"].iloc[0]))), []
+    times = denials.filter(F.col(ts).isNotNull()).select(name, micros.alias("_t")).distinct()
+    slices = range_slices(times, ["_key"], ["_t"], slice_rows)
+    nodes = cut_lineage(slices.groupBy("_key", "_slice").applyInArrow(_summary(gap), NODE))
+    count = nodes.agg(F.max("first")).first()[0] or 0
+    written, links, level = [slices, nodes], [], 0
+    while fan_in**level <= count:
+        level += 1
+        grouped = nodes.withColumn("_group", F.floor(F.col("first") / fan_in**level).cast("long"))
+        small = grouped.groupBy("_key", "_group").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.size("hi")).alias("_p")).filter((F.col("_n") > 1) & (F.col("_p") <= slice_rows))
+        marked = cut_lineage(grouped.join(small, ["_key", "_group"], "left"))
+        written.append(marked)
+        below = marked.filter(F.col("_n").isNotNull()).drop("_n", "_p")
+        joined = cut_lineage(below.groupBy("_key", "_group").applyInArrow(_joined(level, gap), NODE))
+        written.append(joined)
+        links.append((level, below))
+        nodes = joined.unionByName(marked.filter(F.col("_n").isNull()).select(joined.columns))
+    # What is left of a key is entered in order, its n-th node in round n.
+    turn = nodes.withColumn("_turn", F.row_number().over(Window.partitionBy("_key").orderBy("first")))
+    turn = cut_lineage(turn)
+    written.append(turn)
+    start = F.lit(-(1 << 62))
+    state = turn.select("_key").distinct().withColumn("carry", start)
+    if seed is not None:
+        before = seed.select(name.alias("_key"), F.unix_micros(F.col("last_logged").cast("timestamp")).alias("_seed")).groupBy("_key").agg(F.max("_seed").alias("_seed"))
+        state = state.join(before, "_key", "left").select("_key", F.coalesce("_seed", "carry").alias("carry"))
+    rounds = turn.agg(F.max("_turn")).first()[0] or 0
+    if not rounds:
+        discard(*written)
+        return denials.select(*keys, ts).limit(0)
+    folder = f"{shared_root(spark)}/caretrace/{uuid.uuid4().hex}"
+    passed = "_key string, first long, level int, carry long, after long"
+    for k in range(1, rounds + 1):
+        here = turn.filter(F.col("_turn") == k).join(state, "_key")
+        at = F.array_position(F.transform("hi", lambda h: h >= F.col("carry") + gap), True)
+        after = F.when(at > 0, F.get("exits", (at - 1).cast("int"))).otherwise(F.col("carry")).alias("after")
+        here.select("_key", "first", "level", "carry", after).write.parquet(f"{folder}/round={k}")
+        state = spark.read.schema(passed).parquet(f"{folder}/round={k}").select("_key", F.col("after").alias("carry"))
+    entered = spark.read.schema(passed).parquet(folder).select("_key", "first", "level", "carry")
+    for made_at, below in reversed(links):
+        parents = entered.filter(F.col("level") == made_at).select("_key", F.floor(F.col("first") / fan_in**made_at).cast("long").alias("_group"), "carry")
+        down = below.join(parents, ["_key", "_group"]).groupBy("_key", "_group").applyInArrow(_handed_down(gap), "_key string, first long, level int, carry long")
+        entered = entered.filter(F.col("level") != made_at).unionByName(down)
+
+    def walk(group: pa.Table) -> pa.Table:
+        t = np.sort(group["_t"].to_numpy())
+        i, logged = int(np.searchsorted(t, group["carry"][0].as_py() + gap)), []
         while i < len(t):
-            logged.append(t[i])
+            logged.append(i)
             i = int(np.searchsorted(t, t[i] + gap))
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(logged) for k in keys}, "_t": logged})[[*keys, "_t"]]
-
-    reduced = times.groupBy(*keys, "_slice").applyInPandas(steps, f"{named}, _slice long, _first array<long>, _last array<long>")
-    if seed is None:
-        reduced = reduced.withColumn("_seed", F.lit(None).cast("long"))
-    else:
-        before = seed.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.unix_micros(F.col("last_logged").cast("timestamp")).alias("_seed"))
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys])
-        reduced = reduced.join(before, same, "left").drop(*[f"_s_{k}" for k in keys])
-    entries = reduced.groupBy(*keys).applyInPandas(chained, f"{named}, _slice long, _entry long").withColumnsRenamed({k: f"_e_{k}" for k in [*keys, "_slice"]})
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in [*keys, "_slice"]])
-    entered = times.join(entries, same).select(*keys, "_slice", "_t", "_entry")
-    logged = entered.groupBy(*keys, "_slice").applyInPandas(walk, f"{named}, _t long")
-    return logged.select(*keys, F.timestamp_micros("_t").cast(kinds[ts]).alias(ts))
+        return pa.table({"_key": pa.array([group["_key"][0].as_py()] * len(logged), pa.string()), "_t": t[logged]})
+
+    starts = entered.select("_key", F.col("first").alias("_slice"), "carry")
+    logged = slices.join(starts, ["_key", "_slice"]).groupBy("_key", "_slice").applyInArrow(walk, "_key string, _t long")
+    out = cut_lineage(logged)
+    discard(*written)
+    discard_path(spark, folder)
+    parts = F.from_json("_key", ", ".join(f"`{k}` {kinds[k]}" for k in keys))
+    return out.withColumn("_k", parts).select(*[F.col(f"_k.{k}").alias(k) for k in keys], F.timestamp_micros("_t").cast(kinds[ts]).alias(ts))

@@ -71,9 +71,9 @@ def residuals(df: DataFrame, spec: CausalSpec) -> DataFrame:
     center = _means(df, cols)
     shifted = [F.lit(1.0), *[filled(c) - F.lit(m) for c, m in zip(cols, center)]]
     fold = F.pmod(F.xxhash64(spec.row_id), F.lit(spec.folds)) if spec.folds > 1 else F.lit(0)
-    parts = [m for m, _ in _moments(df, shifted, fold)]
-    total = sum(parts)
     q = 1 + len(w)
+    parts = [m for m, _ in _moments(df, shifted, fold)] or [np.zeros((q + 2, q + 2))]
+    total = sum(parts)
     rt = ry = None
     for k, part in enumerate(parts):
         gram = total - part if spec.folds > 1 else total

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from caretrace.functions.columns import nan_to_null
 from caretrace.functions.quantiles import exact_medians
-from caretrace.functions.tables import with_stats
+from caretrace.functions.tables import settled, with_stats
 from caretrace.operators import score as K
 from caretrace.operators.causal import CausalSpec, fit_effect
 from caretrace.operators.model import LinearModel, baseline_prediction
@@ -82,7 +82,8 @@ def score_cohort(
         if causal_rows >= int(spec.min_causal_rows or 30):
             effect = fit_effect(complete, causal)
     sign = 1.0 if goal == "higher_is_better" else -1.0
-    sd = reference.agg(F.stddev_pop(nan_to_null(target)).alias("sd"))
+    sd = settled(reference.agg(F.stddev_pop(nan_to_null(target)).alias("sd")))
+    drift = settled(drift)
     with_model = Scorer(model, tuple(governed), reference, baseline_model).prepare()
 
     def raw_components(df: DataFrame) -> DataFrame:

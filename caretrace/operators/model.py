@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from caretrace import constants as C
 from caretrace.functions.columns import compact, is_blank, nan_to_null, string_array, tag_if
 from caretrace.functions.quantiles import exact_medians, exact_quantiles_of
-from caretrace.functions.tables import with_stats
+from caretrace.functions.tables import settled, with_stats
 
 NO_TEXT = "array<string>"
 
@@ -255,7 +255,7 @@ def basic_summary(df: DataFrame, value: Column | str) -> DataFrame:
 def baseline_prediction(df: DataFrame, model: LinearModel, *, governed: Sequence[str], reference: DataFrame, out: str = "baseline") -> DataFrame:
     """Prediction with the governed columns at their reference medians."""
     cols = [c for c in governed if c in model.features]
-    med = exact_medians(reference, {c: c for c in cols})
+    med = settled(exact_medians(reference, {c: c for c in cols}))
     attached = with_stats(df, med, "_ref")
     return attached.withColumn(out, model.predict({c: F.coalesce(F.col(f"_ref.{c}"), F.lit(0.0)) for c in cols})).drop("_ref")
 

@@ -24,7 +24,7 @@ from caretrace.functions.columns import (
     tag_if,
 )
 from caretrace.functions.quantiles import exact_medians
-from caretrace.functions.tables import with_stats
+from caretrace.functions.tables import settled, with_stats
 
 NO_TEXT = "array<string>"
 
@@ -82,13 +82,13 @@ def utility(value: Column, goal: Column | str) -> Column:
 def robust_stats(reference: DataFrame, columns: Sequence[str], spec: ScoreSpec = DEFAULT) -> DataFrame:
     """One row: ``<c>_center`` and ``<c>_scale`` of every column over the reference rows.
 
-    All columns share the two quantile passes.
+    All columns share the two quantile passes, which run now.
     """
     eps = or_setting(spec.eps, 1e-6)
     clean = reference.select(*[nan_to_null(c).alias(c) for c in columns])
-    med = exact_medians(clean, {c: c for c in columns})
+    med = settled(exact_medians(clean, {c: c for c in columns}))
     dev = with_stats(clean, med, "_m").select(*[F.abs(F.col(c) - F.col(f"_m.{c}")).alias(c) for c in columns])
-    mad = exact_medians(dev, {c: c for c in columns})
+    mad = settled(exact_medians(dev, {c: c for c in columns}))
     base = clean.agg(
         *[F.count(c).alias(f"{c}_n") for c in columns], *[F.stddev_pop(c).alias(f"{c}_sd") for c in columns]
     )
@@ -101,7 +101,7 @@ def robust_stats(reference: DataFrame, columns: Sequence[str], spec: ScoreSpec =
         scale = F.when(usable, robust).when(sd > eps, sd).otherwise(F.lit(1.0))
         method = F.when(usable, F.lit("robust_z")).when(sd > eps, F.lit("std_z_fallback")).otherwise(F.lit("identity_fallback"))
         picked += [F.col(f"_med.{c}").alias(f"{c}_center"), scale.alias(f"{c}_scale"), method.alias(f"{c}_method")]
-    return row.select(*picked)
+    return settled(row.select(*picked))
 
 
 def z_from(stats: str, column: str, value: Column | None = None, spec: ScoreSpec = DEFAULT) -> Column:

@@ -162,7 +162,10 @@ def score_request(
 
 
 def request_outcome(rows: DataFrame, gate: DataFrame) -> DataFrame:
-    """One row: detail of a refused or empty request, row counts, counts by status, union of warnings."""
+    """One row: detail of a refused or empty request, row counts, counts by status, union of warnings.
+
+    ``rows`` are read several times: pass them written or checkpointed.
+    """
     counts = rows.groupBy("status").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("status_counts"))
     head = rows.agg(F.count(F.lit(1)).alias("rows_requested"), F.count("score").alias("rows_scored"))
     reason = F.coalesce(gate.select("detail").scalar(), F.when(F.col("rows_requested") == 0, F.lit("no_rows_available_for_scoring")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caretrace import constants as C
 from caretrace.functions.tables import with_stats
 from caretrace.operators import causal as X
+from caretrace.operators import forest as E
 from caretrace.operators import model as M
 
 from caretrace.operators import score as K
@@ -17,6 +18,7 @@ from caretrace.operators.cohort_score import score_cohort
 from caretrace.operators.guards import spec_map
 from caretrace.plans.adapter import Tables
 from caretrace.plans.base import emit, query, rnd
+from caretrace.session import cut_lineage
 from caretrace.plans.score import BLOCK_SQL, BURDEN, FEATURES, PRIMARY, QUALITY, drift_stats, z_sql
 
 PAIR = ["nurse_hppd", "nurse_skillmix"]
@@ -436,7 +438,7 @@ def _(t: Tables) -> DataFrame:
     cases = None
     for name in ("m20", "m1"):
         one = judged.filter(F.col("model_id") == name)
-        out = R.request_outcome(scored_request(t, R.Request(known), model, one), R.evidence_detail(one))
+        out = R.request_outcome(cut_lineage(scored_request(t, R.Request(known), model, one)), R.evidence_detail(one))
         part = out.select(F.lit(name).alias("of"), F.coalesce("detail", F.lit("")).alias("detail"), "rows_requested")
         cases = part if cases is None else cases.unionByName(part)
     sound = judged.filter(F.substring("model_id", 2, 9).cast("long") < 21).groupBy(F.when(F.col("defensible"), F.lit("")).otherwise(F.lit("model_not_defensible")).alias("_d")).agg(F.count(F.lit(1)).alias("artifacts"))
@@ -473,6 +475,29 @@ def _(t: Tables) -> DataFrame:
     return emit(X.dml_effects(t.cohort, SPEC).select("row_id", "effect"))
 
 
+SPLIT_SQL = f"""WITH {dml_sql()},
+f_x AS (SELECT row_id, nurse_skillmix AS x1, ri_initial AS x2, nurse_hppd - mt - t1 * (nurse_skillmix - m1) - t2 * (ri_initial - m2) AS rt, delta_ri - my - y1 * (nurse_skillmix - m1) - y2 * (ri_initial - m2) AS ry FROM v_cohort, e_m, e_k),
+f_g AS (SELECT 1 AS f, x1 AS v, sum(rt*rt) AS a, sum(rt*ry) AS b, count(*) AS n FROM f_x GROUP BY x1 UNION ALL SELECT 2, x2, sum(rt*rt), sum(rt*ry), count(*) FROM f_x GROUP BY x2),
+f_c AS (SELECT f, v, sum(a) OVER l AS la, sum(b) OVER l AS lb, sum(n) OVER l AS ln, sum(a) OVER w AS ta, sum(b) OVER w AS tb, sum(n) OVER w AS tn FROM f_g WINDOW l AS (PARTITION BY f ORDER BY v), w AS (PARTITION BY f)),
+f_b AS (SELECT * FROM f_c WHERE ln >= 1000 AND tn - ln >= 1000 ORDER BY lb*lb/la + (tb-lb)*(tb-lb)/(ta-la) DESC, f, v LIMIT 1)"""
+
+
+@query("forest_split", f"{SPLIT_SQL} SELECT row_id, {rnd('CASE WHEN CASE f WHEN 1 THEN x1 ELSE x2 END <= v THEN lb / la ELSE (tb - lb) / (ta - la) END', 'effect')} FROM f_x, f_b")
+def _(t: Tables) -> DataFrame:
+    """One tree of one level over all rows: the best split of the effect and the effect on either side."""
+    spec = X.CausalSpec(SPEC.treatment, SPEC.outcome, SPEC.confounders, ("nurse_skillmix", "ri_initial"))
+    forest = E.fit_forest(t.cohort, spec, E.ForestSpec(n_trees=1, depth=1, bins=64, min_leaf=1000, honest=False))
+    return emit(E.forest_effects(t.cohort, forest).select("row_id", "effect"))
+
+
+@query("forest_effects")
+def _(t: Tables) -> DataFrame:
+    """The forest at full size (400 trees) with the interval of each row's effect."""
+    spec = X.CausalSpec(SPEC.treatment, SPEC.outcome, SPEC.confounders, ("nurse_skillmix", "ri_initial"), 5)
+    forest = E.fit_forest(t.cohort, spec)
+    return emit(E.effect_interval(E.forest_effects(t.cohort, forest)).select("row_id", "effect", "lower", "upper"), digits=4)
+
+
 @query("dml_effects_crossfit")
 def _(t: Tables) -> DataFrame:
     spec = X.CausalSpec(SPEC.treatment, SPEC.outcome, SPEC.confounders, SPEC.modifiers, 5)

@@ -392,6 +392,13 @@ def _(t: Tables) -> DataFrame:
     return sealed_in_batches(t).select("conv_id", "turn", "prev_hash", "chain_hash", "hmac_sig")
 
 
+@query("seal_chains", CHAIN_SQL)
+def _(t: Tables) -> DataFrame:
+    """Chains of any length in batches of three events, each going on from the one before."""
+    out = L.seal_chains(audit_events(t), shared_folder(t, "chains"), chain="conv_id", seq="turn", secret=SECRET, batch_events=3)
+    return out.select("conv_id", "turn", "prev_hash", "chain_hash", "hmac_sig")
+
+
 @query(
     "verify_audit_chain",
     """WITH m AS (SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY 1),

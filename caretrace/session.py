@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,13 +38,29 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    """Folder that driver and executors share: ``spark.checkpoint.dir``; with a local master, the warehouse where that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss) for plans that are reused many times."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(f"{shared_root(spark)}/caretrace-checkpoints")
-    return df.checkpoint(eager=True)
+    """``df`` written once to the shared folder and read back: plans that are reused many times read only the columns they
+    need, survive lost executors and see the same rows. :func:`discard` removes it after its last reader."""
+    path = f"{shared_root(df.sparkSession)}/caretrace/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of :func:`cut_lineage` that nothing reads any more."""
+    for table in tables:
+        discard_path(table.sparkSession, table.written_to)
+
+
+def discard_path(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
