@@ -28,7 +28,7 @@ def exact_medians(df: DataFrame, values: dict[str, Column | str]) -> DataFrame:
 def exact_quantiles_of(
     df: DataFrame,
     wanted: Sequence[tuple[str, Column | str, float]],
-    rank_of: Callable[[float, Column], Column] | None = None,
+    rank_of: Callable[[float, int], float] | None = None,
 ) -> DataFrame:
     """One row with a linearly interpolated quantile per (name, column, q).
 
@@ -67,27 +67,22 @@ def exact_quantiles_of(
             ]
         ).alias("_s")
     )
-    # The brackets are settled in the sketch's one row, which is computed here: a data row only compares itself with numbers.
-    used = dict.fromkeys(range(len(columns)), 0)
-    brackets = []
-    for k, (_, v, q) in enumerate(wanted):
+    # The sketch is one row: it is read here, and a data row only compares itself with numbers.
+    sketched, used, settled = sketch.first()["_s"], dict.fromkeys(range(len(columns)), 0), []
+    for _, v, q in wanted:
         i = pos[v if isinstance(v, str) else str(v)]
-        j, s = used[i], f"_s.c{i}"
+        j, c = used[i], sketched[f"c{i}"]
         used[i] += 1
-        low, high = F.col(f"{s}.mn"), F.col(f"{s}.mx")
-        for at in reversed(range(LADDER)):
-            wide = F.col(f"{s}.n") * steps[at] >= RANKS
-            low = F.when(wide, F.col(f"{s}.mn") if q - steps[at] <= 0 else F.col(f"{s}.b")[2 * (LADDER * j + at)]).otherwise(low)
-            high = F.when(wide, F.col(f"{s}.mx") if q + steps[at] >= 1 else F.col(f"{s}.b")[2 * (LADDER * j + at) + 1]).otherwise(high)
-        rank = (rank_of(q, F.col(f"{s}.n")) if rank_of else F.lit(float(q)) * (F.col(f"{s}.n") - 1)).cast("double")
-        brackets.append(F.struct(rank.alias("rank"), low.alias("lo"), high.alias("hi")).alias(f"b{k}"))
-    settled = sketch.select(*brackets).first()
+        at = next((k for k in range(LADDER) if c["n"] * steps[k] >= RANKS), None)
+        low = c["mn"] if at is None or q - steps[at] <= 0 else c["b"][2 * (LADDER * j + at)]
+        high = c["mx"] if at is None or q + steps[at] >= 1 else c["b"][2 * (LADDER * j + at) + 1]
+        settled.append({"rank": float(rank_of(q, c["n"]) if rank_of else q * (c["n"] - 1)), "lo": low, "hi": high})
     number = lambda x: F.lit(x).cast("double")
     spread = data.select(
         F.inline(
             F.array(
                 *[
-                    F.struct(F.lit(k).alias("i"), F.col(f"v{pos[v if isinstance(v, str) else str(v)]}").alias("v"), *[number(settled[f"b{k}"][n]).alias(n) for n in ("rank", "lo", "hi")])
+                    F.struct(F.lit(k).alias("i"), F.col(f"v{pos[v if isinstance(v, str) else str(v)]}").alias("v"), *[number(x).alias(n) for n, x in settled[k].items()])
                     for k, (_, v, _) in enumerate(wanted)
                 ]
             )

@@ -7,15 +7,18 @@ fit is one grouped pass of sums of products; only p x p matrices reach the drive
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caretrace.functions.columns import guarded_ratio
+from caretrace.functions.matrices import moments
 from caretrace.functions.quantiles import exact_medians, exact_quantiles_of
 from caretrace.functions.tables import with_stats
 from caretrace.operators.model import LinearModel, filled
@@ -139,44 +142,64 @@ def _uniform(*keys: Column) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def bootstrap_ci(df: DataFrame, spec: CausalSpec, *, n: int, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """(lower, upper, n_boot): percentile interval of the mean effect over Poisson-weighted replicates.
+def _poisson(h: np.ndarray, first: int, n: int, seed: int) -> np.ndarray:
+    """rows x n Poisson(1) weights from row hashes, for replicates ``first`` and on."""
+    salt = (np.arange(first, first + n, dtype=np.uint64) + np.uint64(seed * 1_000_003)) * np.uint64(0x9E3779B97F4A7C15)
+    z = h[:, None] + salt[None, :]
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53)
+    return np.searchsorted(np.array(POISSON_CUTS), u, side="right").astype(float)
+
+
+def bootstrap_ates(df: DataFrame, spec: CausalSpec, *, n: int, seed: int = 42) -> np.ndarray:
+    """Mean effect of each of ``n`` Poisson-weighted replicates.
 
-    All replicates are refitted from one grouped aggregate; rows with weight 0 never leave the map side.
+    A row's weights in all replicates are one vector, drawn from its hash where the row is; a task's sums of products of
+    all replicates are one matrix product, so no row is ever copied. What is added up per replicate are q^2 numbers.
     """
-    if n < 10:
-        raise ValueError("at least 10 replicates")
     mods = list(spec.modifiers or spec.confounders)
     centers = _means(df, mods) if mods else []
-    z = [F.col("_rt"), *[F.col("_rt") * (filled(m) - F.lit(c)) for m, c in zip(mods, centers)]]
     shift = [filled(m) - F.lit(c) for m, c in zip(mods, centers)]
-    base = residuals(df, spec).select(
-        F.col(spec.row_id).alias("_id"),
-        *[c.alias(f"z{i}") for i, c in enumerate(z)],
-        F.col("_ry").alias("y"),
-        *[c.alias(f"d{i}") for i, c in enumerate(shift)],
-    )
-    q = len(z)
-    u = F.col("_u")
-    weight = sum(((u >= c).cast("double") for c in POISSON_CUTS), F.lit(0.0))
-    drawn = (
-        base.select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rep"))
-        .withColumn("_u", _uniform(F.col("_id"), F.col("z0"), F.col("y"), F.col("rep"), F.lit(seed)))
-        .withColumn("w", weight)
-        .filter(F.col("w") > 0)
-    )
-    cols = [f"z{i}" for i in range(q)] + ["y"]
-    sums = [F.sum(F.col("w") * F.col(a) * F.col(b)).alias(f"s{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
-    sums += [F.sum("w").alias("sw")] + [F.sum(F.col("w") * F.col(f"d{i}")).alias(f"sd{i}") for i in range(len(mods))]
+    q = 1 + len(mods)
+    rows = residuals(df, spec).select(F.xxhash64(spec.row_id, spec.treatment, spec.outcome).alias("h"), F.col("_rt").cast("double"), F.col("_ry").cast("double"), *[d.cast("double").alias(f"d{i}") for i, d in enumerate(shift)])
+    width = (q + 1) * (q + 2) // 2 + q
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, width))
+        for batch in batches:
+            get = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            h, rt, ry, d = get[0].astype(np.int64).view(np.uint64), get[1], get[2], get[3:]
+            z = [rt, *(rt * x for x in d), ry]
+            products = np.stack([z[i] * z[j] for i in range(q + 1) for j in range(i, q + 1)] + [np.ones(len(h)), *d], axis=1)
+            for start in range(0, len(h), 2048):
+                for rep in range(0, n, 256):
+                    w = _poisson(h[start : start + 2048], rep, min(256, n - rep), seed)
+                    total[rep : rep + w.shape[1]] += w.T @ products[start : start + 2048]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), *(pa.array(total[:, k]) for k in range(width))], ["rep", *(f"s{k}" for k in range(width))])
+
+    kind = "rep int, " + ", ".join(f"s{k} double" for k in range(width))
+    added = rows.mapInArrow(sums, kind).groupBy("rep").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(width)]).orderBy("rep").toPandas()
     ates = []
-    for row in drawn.groupBy("rep").agg(*sums).collect():
-        gram = np.array([[row[f"s{min(i, j)}_{max(i, j)}"] for j in range(q + 1)] for i in range(q + 1)], dtype=float)
+    upper = np.triu_indices(q + 1)
+    for s in added[[f"s{k}" for k in range(width)]].to_numpy():
+        if s[len(upper[0])] <= 0:
+            continue
+        gram = np.zeros((q + 1, q + 1))
+        gram[upper] = s[: len(upper[0])]
+        gram = gram + gram.T - np.diag(np.diag(gram))
         theta = np.linalg.lstsq(gram[:q, :q], gram[:q, q], rcond=None)[0]
-        ates.append(float(theta[0] + sum(theta[i + 1] * row[f"sd{i}"] / row["sw"] for i in range(len(mods)))))
-    if len(ates) < 10:
-        bounds = (None, None)
-    else:
-        bounds = tuple(float(v) for v in np.percentile(ates, [100 * alpha / 2, 100 * (1 - alpha / 2)]))
+        ates.append(float(theta[0] + theta[1:] @ s[len(upper[0]) + 1 :] / s[len(upper[0])]))
+    return np.array(ates)
+
+
+def bootstrap_ci(df: DataFrame, spec: CausalSpec, *, n: int, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """(lower, upper, n_boot): percentile interval of the mean effect over Poisson-weighted replicates, all refitted from one
+    pass. The replicates depend on the rows only, not on their order or partitions."""
+    if n < 10:
+        raise ValueError("at least 10 replicates")
+    ates = bootstrap_ates(df, spec, n=n, seed=seed)
+    bounds = tuple(float(v) for v in np.percentile(ates, [100 * alpha / 2, 100 * (1 - alpha / 2)])) if len(ates) >= 10 else (None, None)
     return df.sparkSession.createDataFrame([(bounds[0], bounds[1], len(ates))], "lower double, upper double, n_boot long")
 
 
@@ -291,14 +314,22 @@ def dag_sanity(confounders: DataFrame, edges: DataFrame) -> DataFrame:
     return confounders.select("spec_id", "confounder").join(linked, ["spec_id", "confounder"], "left_anti")
 
 
+def _correlation_matrix(df: DataFrame, variables: Sequence[str]) -> tuple[int, np.ndarray]:
+    n, _, cov = moments(df, variables)
+    sd = np.sqrt(np.diag(cov))
+    both = np.outer(sd, sd)
+    corr = np.divide(cov, both, out=np.zeros_like(cov), where=both > 0)
+    np.fill_diagonal(corr, 1.0)
+    return n, corr
+
+
 def correlations(df: DataFrame, variables: Sequence[str]) -> DataFrame:
-    """(a, b, r, n) for every pair from one pass; constant variables correlate 0."""
-    pairs = list(combinations(variables, 2))
-    complete = df.select(*[F.col(v).cast("double").alias(v) for v in variables]).dropna()
-    row = complete.agg(F.count(F.lit(1)).alias("n"), *[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    return row.select(
-        "n", F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(f"r{i}", F.lit(0.0)).alias("r")) for i, (a, b) in enumerate(pairs)]))
-    )
+    """(n, a, b, r) for every pair of variables from one pass over the rows without a missing value; constant variables
+    correlate 0. What comes to the driver is the matrix, not the rows."""
+    variables = list(variables)
+    n, corr = _correlation_matrix(df, variables)
+    rows = [(n, variables[i], variables[j], float(corr[i, j])) for i, j in combinations(range(len(variables)), 2)]
+    return df.sparkSession.createDataFrame(rows, "n long, a string, b string, r double")
 
 
 def fisher_p(r: float, n: int, k: int = 0) -> float:
@@ -307,68 +338,91 @@ def fisher_p(r: float, n: int, k: int = 0) -> float:
     return min(max(math.erfc(abs(z) / math.sqrt(2.0)), 0.0), 1.0)
 
 
+def _partial(corr: np.ndarray, a: int, b: int, sets: np.ndarray) -> np.ndarray:
+    """Partial correlations of a and b given each row of ``sets``: from the inverse of each small matrix."""
+    idx = np.concatenate([np.broadcast_to([a, b], (len(sets), 2)), sets], axis=1)
+    inverse = np.linalg.pinv(corr[idx[:, :, None], idx[:, None, :]], hermitian=True)
+    scale = inverse[:, 0, 0] * inverse[:, 1, 1]
+    return np.divide(-inverse[:, 0, 1], np.sqrt(np.maximum(scale, 0.0)), out=np.zeros(len(sets)), where=scale > 0)
+
+
+def _separations(df: DataFrame, corr: np.ndarray, n: int, near: np.ndarray, size: int, alpha: float) -> dict[tuple[int, int], tuple[int, ...]]:
+    """Edges that some set of ``size`` neighbours separates, each with the set of the smallest partial correlation.
+
+    The edges of a level are a table and are tested on executors; neighbourhoods are those at the start of the level, so
+    no edge's fate depends on when another one was looked at.
+    """
+    spark = df.sparkSession
+    edges = [(int(a), int(b)) for a, b in np.argwhere(np.triu(near))]
+    if not edges:
+        return {}
+    held = spark.sparkContext.broadcast((corr, near))
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        corr, near = held.value
+        for batch in batches:
+            out = []
+            for a, b in zip(batch["a"], batch["b"], strict=True):
+                sides = ([v for v in np.flatnonzero(near[x]) if v != y] for x, y in ((a, b), (b, a)))
+                sets = sorted({s for side in sides for s in combinations([int(v) for v in side], size)})
+                best = None
+                for start in range(0, len(sets), 4096):
+                    part = sets[start : start + 4096]
+                    r = np.abs(_partial(corr, a, b, np.array(part, np.int64).reshape(len(part), size)))
+                    k = int(r.argmin())
+                    if best is None or r[k] < best[0]:
+                        best = (float(r[k]), part[k])
+                if best and (n < max(10, 3 + size) or fisher_p(best[0], n, size) > alpha):
+                    out.append((a, b, list(best[1])))
+            yield pd.DataFrame(out, columns=["a", "b", "given"])
+
+    table = spark.createDataFrame(edges, "a int, b int").repartition(min(len(edges), 64))
+    return {(r["a"], r["b"]): tuple(r["given"]) for r in table.mapInPandas(test, "a int, b int, given array<int>").collect()}
+
+
 def discover_dag(df: DataFrame, variables: Sequence[str], *, alpha: float = 0.05, max_cond: int = 2, forbid: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """(src, dst, directed) edges: skeleton by partial correlations, v-structures, two orientation rules.
 
-    Spark computes the correlation matrix in one pass; the search runs on that
-    matrix in the driver, in name order.
+    One pass over the rows makes the correlation matrix. Edges are tested level by level (size of the set), removals of a
+    level take effect together, and orientations of a round too; an edge that is forced both ways stays undirected. So the
+    result does not depend on the order or the names of the variables.
     """
-    variables = sorted(variables)
+    variables = list(variables)
     if len(variables) < 3:
         raise ValueError("at least 3 variables")
-    rows = correlations(df, variables).collect()
-    n, at = int(rows[0]["n"]), {v: i for i, v in enumerate(variables)}
-    corr = np.eye(len(variables))
-    for row in rows:
-        corr[at[row["a"]], at[row["b"]]] = corr[at[row["b"]], at[row["a"]]] = row["r"]
-
-    def p_value(a: str, b: str, given: tuple[str, ...]) -> float:
-        if n < max(10, 3 + len(given)):
-            return 1.0
-        idx = [at[v] for v in (a, b, *given)]
-        inverse = np.linalg.pinv(corr[np.ix_(idx, idx)])
-        scale = inverse[0, 0] * inverse[1, 1]
-        return fisher_p(float(-inverse[0, 1] / math.sqrt(scale)) if scale > 0 else 0.0, n, len(given))
-
-    banned = {frozenset(e) for e in forbid}
-    near = {v: {u for u in variables if u != v and frozenset((u, v)) not in banned} for v in variables}
-    separated: dict[frozenset, set] = {e: set() for e in banned}
+    n, corr = _correlation_matrix(df, variables)
+    at = {v: i for i, v in enumerate(variables)}
+    near = ~np.eye(len(variables), dtype=bool)
+    separated: dict[frozenset, set] = {}
+    for a, b in forbid:
+        if a in at and b in at:
+            near[at[a], at[b]] = near[at[b], at[a]] = False
+            separated[frozenset((at[a], at[b]))] = set()
     for size in range(max_cond + 1):
-        changed = True
-        while changed:
-            changed = False
-            for a, b in combinations(variables, 2):
-                if b not in near[a]:
-                    continue
-                for given in combinations(sorted(near[a] - {b}), size):
-                    if p_value(a, b, given) > alpha:
-                        near[a].discard(b)
-                        near[b].discard(a)
-                        separated[frozenset((a, b))] = set(given)
-                        changed = True
-                        break
-    loose = {frozenset((a, b)) for a in variables for b in near[a]}
-    arrows: set[tuple[str, str]] = set()
-    for c in variables:
-        for a, b in combinations(sorted(near[c]), 2):
-            if b not in near[a] and c not in separated.get(frozenset((a, b)), set()):
-                arrows |= {(a, c), (b, c)}
-    loose -= {frozenset(e) for e in arrows}
-    moved = True
-    while moved:
-        moved = False
-        for edge in sorted(loose, key=sorted):
-            for x, y in (tuple(sorted(edge)), tuple(sorted(edge, reverse=True))):
-                forced = any((a, x) in arrows and y not in near[a] and a != y for a in variables)
-                through = any((x, c) in arrows and (c, y) in arrows for c in variables)
-                if forced or through:
-                    arrows.add((x, y))
-                    loose.discard(edge)
-                    moved = True
-                    break
-            if moved:
-                break
-    out = [(a, b, True) for a, b in sorted(arrows)] + [(*sorted(e), False) for e in sorted(loose, key=sorted)]
+        for (a, b), given in _separations(df, corr, n, near, size, alpha).items():
+            near[a, b] = near[b, a] = False
+            separated[frozenset((a, b))] = set(given)
+    wanted = np.zeros_like(near)
+    for c in range(len(variables)):
+        for a, b in combinations(np.flatnonzero(near[c]).tolist(), 2):
+            if not near[a, b] and c not in separated.get(frozenset((a, b)), set()):
+                wanted[a, c] = wanted[b, c] = True
+    arrow = wanted & ~wanted.T
+    loose = near & ~arrow & ~arrow.T
+    while True:
+        # x -> y where a -> x, x - y and a, y are not joined; where x -> c -> y and x - y
+        forced = np.zeros_like(near)
+        for x, y in np.argwhere(loose):
+            sources = np.flatnonzero(arrow[:, x])
+            forced[x, y] = any(not near[a, y] and a != y for a in sources) or bool((arrow[x] & arrow[:, y]).any())
+        new = forced & ~forced.T
+        if not new.any():
+            break
+        arrow |= new
+        loose &= ~(new | new.T)
+    name = lambda i: variables[int(i)]
+    out = sorted((name(a), name(b), True) for a, b in np.argwhere(arrow))
+    out += sorted((*sorted((name(a), name(b))), False) for a, b in np.argwhere(np.triu(loose)))
     return df.sparkSession.createDataFrame(out, "src string, dst string, directed boolean")
 
 

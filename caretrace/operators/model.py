@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -108,8 +109,8 @@ def conformal_q_hat(residuals: DataFrame, *, residual: Column | str, alpha: floa
     """One row (q_hat, calibration_size): the k-th smallest absolute residual, NULL for 5 rows or fewer."""
     r = F.abs(F.col(residual) if isinstance(residual, str) else residual)
 
-    def rank(_: float, n: Column) -> Column:
-        return F.greatest(F.least(F.ceil((n + 1) * (1.0 - alpha)), n), F.lit(1)) - 1
+    def rank(_: float, n: int) -> float:
+        return max(min(math.ceil((n + 1) * (1.0 - alpha)), n), 1) - 1
 
     rows = residuals.select(r.alias("_r"))
     order = exact_quantiles_of(rows, [("q", "_r", 1.0 - alpha)], rank_of=rank)

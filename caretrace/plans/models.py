@@ -532,7 +532,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("bootstrap_ci")
 def _(t: Tables) -> DataFrame:
-    return emit(X.bootstrap_ci(t.cohort, SPEC, n=40))
+    return emit(X.bootstrap_ci(t.cohort, SPEC, n=500))
 
 
 E_SQL = "CASE WHEN exp(0.91 * {d}) >= 1 THEN exp(0.91 * {d}) ELSE 1 / exp(0.91 * {d}) END"
@@ -605,7 +605,7 @@ def _(t: Tables) -> DataFrame:
     return X.dag_sanity(conf, edges)
 
 
-VARS = [f"e{i}" for i in range(6)]
+VARS = [f"e{i}" for i in range(64)]
 
 
 def vectors(t: Tables) -> DataFrame:
@@ -614,9 +614,8 @@ def vectors(t: Tables) -> DataFrame:
 
 @query(
     "correlations",
-    " UNION ALL ".join(
-        f"SELECT 'e{i}' AS a, 'e{j}' AS b, count(*) AS n, {rnd(f'corr(CAST(embedding[{i + 1}] AS DOUBLE), CAST(embedding[{j + 1}] AS DOUBLE))', 'r')} FROM embeddings" for i in range(6) for j in range(i + 1, 6)
-    ),
+    f"""WITH x AS (SELECT row_number() OVER () AS k, embedding AS v FROM embeddings), l AS (SELECT k, unnest(range(64)) AS i, unnest(list_transform(v, lambda x: CAST(x AS DOUBLE))) AS x FROM x)
+    SELECT 'e' || CAST(a.i AS STRING) AS a, 'e' || CAST(b.i AS STRING) AS b, count(*) AS n, {rnd('corr(a.x, b.x)', 'r')} FROM l a JOIN l b ON a.k = b.k AND a.i < b.i GROUP BY a.i, b.i""",
 )
 def _(t: Tables) -> DataFrame:
     return emit(X.correlations(vectors(t), VARS))
@@ -624,7 +623,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("discover_dag")
 def _(t: Tables) -> DataFrame:
-    return X.discover_dag(vectors(t), VARS, alpha=0.3, forbid=[("e0", "e1")])
+    return X.discover_dag(vectors(t), VARS, alpha=0.05, forbid=[("e0", "e1")])
 
 
 SCENARIOS = [

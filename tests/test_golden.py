@@ -236,6 +236,50 @@ def test_discovery_finds_the_collider(spark):
     assert edges == {("a", "c", True), ("b", "c", True)}
 
 
+def test_discovery_does_not_depend_on_names(spark):
+    """Twelve variables of a known graph: the same edges under renaming and reordering, and partial correlations by regression."""
+    rng = np.random.default_rng(4)
+    n, base = 4000, rng.normal(size=(4000, 12))
+    x = base.copy()
+    for child, parents in {3: (0, 1), 5: (3, 4), 7: (5,), 9: (7, 8), 11: (9, 2)}.items():
+        x[:, child] += sum(x[:, p] for p in parents)
+    names = [f"v{k:02d}" for k in range(12)]
+    renamed = dict(zip(names, [f"w{k:02d}" for k in rng.permutation(12)]))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{c} double" for c in names)).repartition(3)
+    found = lambda d, cols: {(r.src, r.dst, r.directed) for r in X.discover_dag(d, cols, alpha=0.001).collect()}
+    one = found(df, names)
+    two = found(df.withColumnsRenamed(renamed), [renamed[c] for c in rng.permutation(names)])
+    back = {v: k for k, v in renamed.items()}
+    tidy = lambda edges: {(a, b, d) if d else (*sorted((a, b)), d) for a, b, d in edges}
+    assert tidy((back[a], back[b], d) for a, b, d in two) == one
+    assert {("v00", "v03", True), ("v01", "v03", True), ("v03", "v05", True), ("v04", "v05", True)} <= one
+    count, corr = X._correlation_matrix(df, names)
+    assert count == n and np.allclose(corr, np.corrcoef(x.T))
+    left = lambda y, z: y - z @ np.linalg.lstsq(z, y, rcond=None)[0]
+    z = np.column_stack([np.ones(n), x[:, 5], x[:, 8]])
+    assert X._partial(corr, 3, 9, np.array([[5, 8]]))[0] == pytest.approx(np.corrcoef(left(x[:, 3], z), left(x[:, 9], z))[0, 1], abs=1e-9)
+
+
+def test_bootstrap_is_a_refit_of_each_replicate(spark):
+    rng = np.random.default_rng(8)
+    t, m = rng.normal(size=400), rng.normal(size=400)
+    y = (1 + 0.5 * m) * t + rng.normal(size=400)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(np.column_stack([t, m, y]))], "row_id long, t double, m double, y double").repartition(3)
+    spec = X.CausalSpec("t", "y", ("m",), ("m",))
+    got = X.bootstrap_ates(df, spec, n=300)
+    assert len(got) == 300 and np.allclose(got, X.bootstrap_ates(df.repartition(7), spec, n=300))
+    rows = X.residuals(df, spec).select(F.xxhash64("row_id", "t", "y").alias("h"), "_rt", "_ry", "m").toPandas()
+    w = X._poisson(rows.h.to_numpy(np.int64).view(np.uint64), 0, 300, 42)
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.05
+    d = (rows.m - rows.m.mean()).to_numpy()
+    z = np.column_stack([rows._rt, rows._rt * d])
+    for k in (0, 7, 299):
+        theta = np.linalg.lstsq(z * np.sqrt(w[:, [k]]), rows._ry * np.sqrt(w[:, k]), rcond=None)[0]
+        assert got[k] == pytest.approx(theta[0] + theta[1] * (w[:, k] @ d) / w[:, k].sum(), rel=1e-6)
+    row = X.bootstrap_ci(df, spec, n=300).first()
+    assert row.n_boot == 300 and row.lower < 1 < row.upper
+
+
 def test_audit_segments_and_verification(spark):
     ev = spark.range(25).select(
         F.lit("x").alias("chain"), F.col("id").alias("seq"), F.col("id").cast("string").alias("created_at"), F.lit("e").alias("event_type"), F.lit("a").alias("actor"), F.lit("c").alias("context"), F.sha2(F.col("id").cast("string"), 256).alias("payload_sha256")
