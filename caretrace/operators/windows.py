@@ -424,9 +424,18 @@ def component_missingness(
         plus_minutes("outcome_window_start", -pad).alias("low"),
         plus_minutes("outcome_window_end", pad).alias("high"),
     )
-    wanted = base.select(
+    points = _loinc(observations).select(
+        "episode_id", F.trim("code").alias("code"), "effective_dt", "obs_id", F.col("value_num").cast("double").alias("value_num")
+    ).filter(F.col("code").isin(list(codes)))
+    # Only codes that an episode has at all go into the sort; the others ride along in one row per anchor and are missing.
+    seen = points.groupBy("episode_id").agg(F.collect_set("code").alias("_seen"))
+    have = F.array_intersect(string_array(codes), F.coalesce("_seen", F.array().cast("array<string>")))
+    kept = lambda code, rest: F.struct(code.alias("code"), rest.alias("rest"))
+    sorted_ones = F.transform(have, lambda c: kept(c, F.array().cast("array<string>")))
+    asked = F.concat(sorted_ones, F.array(kept(F.lit(""), F.array_except(string_array(codes), have))))
+    wanted = base.join(seen, "episode_id", "left").select(
         "episode_id",
-        F.explode(string_array(codes)).alias("code"),
+        F.inline(asked),
         "window_index",
         F.col("_k.anchor").alias("anchor"),
         # An unobserved range has no end; its rows are kept and found missing by the range test below.
@@ -434,19 +443,18 @@ def component_missingness(
         "low",
         "high",
     )
-    points = _loinc(observations).select(
-        "episode_id", F.trim("code").alias("code"), "effective_dt", "obs_id", F.col("value_num").cast("double").alias("value_num")
-    )
     found = asof_bounds(
         wanted,
-        points.filter(F.col("code").isin(list(codes))),
+        points,
         keys=["episode_id", "code"],
         anchor_ts="at",
         point_ts="effective_dt",
         point_cols=["obs_id", "value_num"],
     )
     value = _nearest(F.col("prev"), F.col("next"), F.col("at"), F.col("low"), F.col("high"), tol_minutes)
-    return found.select(*WINDOW_KEYS, "code", "anchor", value.isNull().cast("long").alias("missing"))
+    rest = F.col("code") == ""
+    judged = found.withColumn("missing", F.when(rest, F.lit(1)).otherwise(value.isNull().cast("int")).cast("long"))
+    return judged.select(*WINDOW_KEYS, F.explode(F.when(rest, F.col("rest")).otherwise(F.array("code"))).alias("code"), "anchor", "missing")
 
 
 def component_flags_wide(long: DataFrame, codes: tuple[str, ...] = C.COMPONENT_CODES) -> DataFrame:
