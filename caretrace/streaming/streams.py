@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from caretrace.functions.tables import latest_by
-from caretrace.operators.audit import denial_dedupe
 from caretrace.sources.resources import RAW_KEYS, raw_latest
 
+#: Keyed state that is larger than memory and changes by key.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+#: Time in microseconds; rows reach a stateful processor as tuples, whose names must not begin with an underscore.
+MICROS = "denied_at_micros"
+
 
 def file_stream(spark: SparkSession, path: str, *, schema, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -20,10 +27,11 @@ def file_stream(spark: SparkSession, path: str, *, schema, files_per_trigger: in
     return reader.parquet(path)
 
 
-def run_available(query) -> None:
-    """Start a configured writer for everything that is there now and wait for it."""
+def run_available(query) -> StreamingQuery:
+    """Start a configured writer for everything that is there now and wait for it; the ended query tells its progress."""
     started: StreamingQuery = query.trigger(availableNow=True).start()
     started.awaitTermination()
+    return started
 
 
 def append_batches(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
@@ -70,25 +78,61 @@ def stream_window_counts(events: DataFrame, *, key: str, ts: str, hours: int = 1
     )
 
 
-def stream_denial_dedupe(denials: DataFrame, path: str, checkpoint: str, *, keys: Sequence[str], ts: str, seconds: int = 60) -> None:
+class DenialGate(StatefulProcessor):
+    """Per key the time logged last; the state goes when the watermark has passed all times it could still hold back."""
+
+    def __init__(self, keys: list[str], gap: int):
+        self.keys, self.gap = keys, gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "t long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 - names of the interface
+        last = self.last.get()[0] if self.last.exists() else None
+        times = np.unique(np.concatenate([part[MICROS].to_numpy(np.int64) for part in rows]))
+        logged, at = [], 0 if last is None else int(np.searchsorted(times, last + self.gap))
+        while at < len(times):
+            logged.append(int(times[at]))
+            at = int(np.searchsorted(times, times[at] + self.gap))
+        if logged:
+            if last is not None:
+                self.handle.deleteTimer(self.ends(last))
+            self.last.update((logged[-1],))
+            self.handle.registerTimer(self.ends(logged[-1]))
+            yield pd.DataFrame({**{k: [v] * len(logged) for k, v in zip(self.keys, key, strict=True)}, MICROS: np.array(logged, np.int64)})
+
+    def ends(self, last: int) -> int:
+        return -(-(last + self.gap) // 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        if self.last.exists() and self.ends(self.last.get()[0]) <= timerValues.getCurrentWatermarkInMs():
+            self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_denial_dedupe(denials: DataFrame, path: str, checkpoint: str, *, keys: Sequence[str], ts: str, seconds: int = 60, lateness: str = "1 hour") -> StreamingQuery:
     """Log one denial per key, then none until ``seconds`` have passed since the logged one.
 
-    Every micro-batch goes through the batch rule, seeded with the last logged time of each key. That state is one row per
-    key, written anew next to the log by each batch, so a replayed batch starts from the state before it. Rows that come
-    after a later one of their key was logged are not logged any more.
+    The time logged last is keyed state in a RocksDB store: a micro-batch touches only the keys it has, and a key's state is
+    dropped ``seconds`` after its last logged time, once the watermark (``lateness`` behind the newest time) is there. Late
+    rows are judged against the time logged last, rows behind the watermark are dropped. A batch's folder is
+    overwritten, so a replayed batch leaves no duplicates. ``ts`` has to be a timestamp with time zone.
     """
     spark, keys = denials.sparkSession, list(keys)
+    kinds = dict(denials.dtypes)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    timed = denials.withWatermark(ts, lateness).withColumn(MICROS, F.unix_micros(ts)).filter(F.col(MICROS).isNotNull())
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", {MICROS} long"
+    logged = timed.groupBy(*keys).transformWithStateInPandas(DenialGate(keys, seconds * 1_000_000), schema, "append", "eventTime")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        state = f"{path}-state/after="
-        before = spark.read.parquet(f"{state}{batch_id - 1}") if batch_id else None
-        logged = denial_dedupe(batch, keys=keys, ts=ts, seconds=seconds, seed=before)
-        logged.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        new = spark.read.schema(logged.schema).parquet(f"{path}/batch_id={batch_id}").withColumnRenamed(ts, "last_logged")
-        both = new if before is None else before.unionByName(new)
-        both.groupBy(*keys).agg(F.max("last_logged").alias("last_logged")).write.mode("overwrite").parquet(f"{state}{batch_id}")
-
-    run_available(denials.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
+        batch.select(*keys, F.timestamp_micros(MICROS).alias(ts)).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return run_available(logged.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint))
 
 
 def stream_followup(evidence: DataFrame, records: DataFrame, path: str, checkpoint: str, *, ts: str) -> None:
