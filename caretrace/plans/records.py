@@ -545,30 +545,61 @@ def _(t: Tables) -> DataFrame:
     return emit(S.read_latest(t.spark, f"{out}-compact", order=order))
 
 
-@query(
-    "stream_window_counts",
-    f"""WITH x AS (SELECT user_id AS episode_id, time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2024-01-01') AS b, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS n_nursing, arg_max(value, ts) AS v FROM events GROUP BY ALL)
-    SELECT episode_id, {ts('b', 'start_dt')}, n, n_nursing, {rnd('v', 'last_value')} FROM x""",
-)
-def _(t: Tables) -> DataFrame:
+# Parts of the input as ``in_parts`` deals them, with the mark that the parts before leave.
+PARTS_SQL = """e AS (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM events),
+p AS (SELECT events.*, time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2024-01-01') AS w, least(least(CAST(floor((epoch_us(ts) - a) / (b - a + 1) * 4) AS INTEGER), 3) + CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END, 3) AS k FROM events, e),
+m AS (SELECT g.k, max(p.ts) - INTERVAL 2 DAY AS mark FROM (SELECT unnest(range(4)) AS k) g LEFT JOIN p ON p.k < g.k GROUP BY g.k),
+d AS (SELECT p.*, mark IS NOT NULL AND w + INTERVAL 12 HOUR <= mark AS late FROM p JOIN m USING (k))"""
+
+
+def counted(t: Tables, late: bool) -> DataFrame:
+    """The window counts of the stream, or the rows they leave out; rows come up to seven days late, two are allowed."""
     out = shared_folder(t, "counts")
     shaped = lambda rows: rows.select(F.col("user_id").alias("episode_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value", (F.col("event_type") == "error").alias("is_nursing"))
+    args = {"key": "episode_id", "ts": "ts", "lateness": "2 days"}
 
     # The last state of every window is kept: update mode writes a window again when it changes.
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     def run(rows: DataFrame) -> None:
-        counts = S.stream_window_counts(shaped(rows), key="episode_id", ts="ts", lateness="30 days")
-        S.run_available(counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}-ckpt"))
+        if late:
+            S.stream_late_rows(shaped(rows), out, f"{out}-ckpt", **args)
+        else:
+            S.run_available(S.stream_window_counts(shaped(rows), **args).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}-ckpt"))
 
     in_parts(t, f"{out}-source", run)
+    return t.spark.read.parquet(out)
+
+
+@query(
+    "stream_window_counts",
+    f"""WITH {PARTS_SQL}, x AS (SELECT user_id AS episode_id, w, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS n_nursing, arg_max(value, ts) AS v FROM d WHERE NOT late GROUP BY ALL)
+    SELECT episode_id, {ts('w', 'start_dt')}, n, n_nursing, {rnd('v', 'last_value')} FROM x""",
+)
+def _(t: Tables) -> DataFrame:
     from caretrace.functions.tables import latest_by
 
-    final = latest_by(t.spark.read.parquet(out).drop("batch_id"), ["episode_id", "start_dt"], ["batch"])
+    final = latest_by(counted(t, late=False).drop("batch_id"), ["episode_id", "start_dt"], ["batch"])
     return emit(final.select("episode_id", "start_dt", "n", "n_nursing", "last_value"))
 
 
+@query(
+    "stream_late_rows",
+    f"""WITH {PARTS_SQL}, c AS (SELECT user_id AS episode_id, w, count(*) AS dropped FROM d WHERE late GROUP BY ALL), n AS (SELECT count(*) AS total FROM events)
+    SELECT episode_id, {ts('w', 'start_dt')}, dropped, total - (SELECT count(*) FROM d WHERE NOT late) = (SELECT sum(dropped) FROM c) AS adds_up FROM c, n""",
+)
+def _(t: Tables) -> DataFrame:
+    """What the window counts leave out; with it they add up to all rows."""
+    dropped = counted(t, late=True).groupBy("episode_id", "start_dt").agg(F.sum("dropped").alias("dropped"))
+    streamed = counted(t, late=False)
+    from caretrace.functions.tables import latest_by
+
+    kept = latest_by(streamed.drop("batch_id"), ["episode_id", "start_dt"], ["batch"]).agg(F.sum("n")).scalar()
+    total = t.raw("events").agg(F.count(F.lit(1))).scalar()
+    return emit(dropped.withColumn("adds_up", total - kept == dropped.agg(F.sum("dropped")).scalar()))
+
+
 # The stream's rule with late rows: batches in order, times in order within a batch, rows behind the watermark left out.
 LATE_SQL = f"""
 WITH RECURSIVE e AS (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM events),

@@ -78,6 +78,29 @@ def stream_window_counts(events: DataFrame, *, key: str, ts: str, hours: int = 1
     )
 
 
+def stream_late_rows(events: DataFrame, path: str, checkpoint: str, *, key: str, ts: str, hours: int = 12, lateness: str = "1 hour") -> StreamingQuery:
+    """Rows that :func:`stream_window_counts` leaves out, counted per key, window and micro-batch.
+
+    The engine's own metric counts what is dropped after partial aggregation, not rows. Here every micro-batch is held
+    against the mark left by the batches before it: the newest time so far less ``lateness``, as the watermark has it, one
+    row per batch next to the log. A replayed batch finds the same marks and overwrites its own folder.
+    """
+    spark = events.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        newest = batch.agg((F.floor(F.unix_micros(F.max(ts)) / 1000)).cast("long").alias("ms"))
+        newest.write.mode("overwrite").parquet(f"{path}-marks/after={batch_id}")
+        marks = spark.read.schema("ms long, after int").parquet(f"{path}-marks").filter(F.col("after") < batch_id).agg(F.max("ms").alias("ms"))
+        mark = marks.select(F.timestamp_millis("ms") - F.expr(f"INTERVAL '{lateness.split()[0]}' {lateness.split()[1].rstrip('s')}")).scalar()
+        end = F.window(ts, f"{hours} hours")["end"]
+        late = batch.withColumn("_end", end).withColumn("_mark", mark).filter(F.col("_end") <= F.col("_mark"))
+        late.groupBy(key, (F.col("_end") - F.expr(f"INTERVAL '{hours}' HOUR")).alias("start_dt")).agg(F.count(F.lit(1)).alias("dropped")).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.unpersist()
+
+    return run_available(events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
+
+
 class DenialGate(StatefulProcessor):
     """Per key the time logged last; the state goes when the watermark has passed all times it could still hold back."""
 
