@@ -540,9 +540,9 @@ def _(t: Tables) -> DataFrame:
     out, order = shared_folder(t, "upserts"), ["ingested_at", "event_id"]
     rid = F.when(F.col("event_id") % 19 == 0, F.lit(" ")).otherwise(F.concat(F.lit("k"), F.col("event_id") % 40))
     shaped = lambda rows: rows.select(F.col("user_id").alias("episode_id"), F.col("event_type").alias("resource_type"), rid.alias("resource_id"), F.col("ts").alias("ingested_at"), "event_id")
-    in_parts(t, f"{out}-source", lambda rows: S.stream_raw_latest(shaped(rows), out, f"{out}-ckpt", order=order))
-    S.compact_latest(t.spark, out, f"{out}-compact", order=order)
-    return emit(S.read_latest(t.spark, f"{out}-compact", order=order))
+    in_parts(t, f"{out}-source", lambda rows: S.stream_raw_latest(shaped(rows), out, f"{out}-ckpt", order=order, buckets=16))
+    S.drop_old_generations(t.spark, out)
+    return emit(S.read_latest(t.spark, out, schema=shaped(t.raw("events")).schema))
 
 
 # Parts of the input as ``in_parts`` deals them, with the mark that the parts before leave.

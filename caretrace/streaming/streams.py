@@ -34,34 +34,87 @@ def run_available(query) -> StreamingQuery:
     return started
 
 
-def append_batches(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
-    """Write ``transform`` of every micro-batch under ``batch_id=N``.
+# --- upsert log ------------------------------------------------------------------------------
 
-    The folder of a batch is overwritten, so a batch replayed after a failure leaves no duplicates.
+# <path>/data/gen=N/bucket=B holds the current rows of a bucket of keys as batch N left them; <path>/pointers/at=N names the
+# generation of every bucket after batch N. A pointer is written last and never changed, so it is what commits a batch.
+POINTER = "bucket int, gen long"
+
+
+def _pointer(spark: SparkSession, path: str, before: int | None = None) -> tuple[int, dict[int, int]]:
+    """(batch, generation by bucket) of the last committed pointer, or of the last one below ``before``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/pointers")
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [str(f.getPath().getName()) for f in fs.listStatus(hadoop) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))] if fs.exists(hadoop) else []
+    done = [int(n.partition("=")[2]) for n in names if n.startswith("at=")]
+    done = [n for n in done if before is None or n < before]
+    if not done:
+        return -1, {}
+    rows = spark.read.schema(POINTER).parquet(f"{path}/pointers/at={max(done)}").collect()
+    return max(done), {r["bucket"]: r["gen"] for r in rows}
+
+
+def _buckets(spark: SparkSession, path: str, held: dict[int, int], schema) -> DataFrame | None:
+    paths = [f"{path}/data/gen={gen}/bucket={bucket}" for bucket, gen in sorted(held.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else None
+
+
+def merge_batch(rows: DataFrame, path: str, batch_id: int, *, keys: Sequence[str], merge: Callable[[DataFrame], DataFrame], buckets: int) -> None:
+    """Merge the rows of a micro-batch into the buckets of keys they touch; all other buckets stay as they are.
+
+    ``merge`` reduces old and new rows together, with the columns of ``rows``. A batch starts from the pointer before it and
+    commits by writing its own, so a replayed batch finds the same rows and changes nothing. ``buckets`` is fixed for the
+    life of a log; what the driver holds is one number per bucket.
     """
+    spark = rows.sparkSession
+    _, held = _pointer(spark, path, batch_id)
+    place = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    mine = rows.persist()
+    touched = {r["b"] for r in mine.select(place.alias("b")).distinct().collect()}
+    old = _buckets(spark, path, {b: g for b, g in held.items() if b in touched}, rows.schema)
+    if touched:
+        now = merge(mine if old is None else mine.unionByName(old)).withColumn("bucket", place)
+        now.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/gen={batch_id}")
+    pointer = held | dict.fromkeys(touched, batch_id)
+    spark.createDataFrame(sorted(pointer.items()), POINTER).coalesce(1).write.mode("overwrite").parquet(f"{path}/pointers/at={batch_id}")
+    mine.unpersist()
+
+
+def stream_raw_latest(stream: DataFrame, path: str, checkpoint: str, *, order: Sequence[str], buckets: int = 64) -> None:
+    """Current rows by key in a bucketed log; an older row never replaces a newer one, in any order of arrival."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        merge_batch(raw_latest(batch, order=order), path, batch_id, keys=RAW_KEYS, merge=lambda both: latest_by(both, RAW_KEYS, list(order)), buckets=buckets)
 
     run_available(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
 
 
-def stream_raw_latest(stream: DataFrame, path: str, checkpoint: str, *, order: Sequence[str]) -> None:
-    """Upsert log: every micro-batch is reduced to its last row per key and appended."""
-    append_batches(stream, lambda batch: raw_latest(batch, order=order), path, checkpoint)
+def read_latest(spark: SparkSession, path: str, *, schema) -> DataFrame:
+    """Current raw table of an upsert log, as of its last committed batch."""
+    rows = _buckets(spark, path, _pointer(spark, path)[1], schema)
+    return rows if rows is not None else spark.createDataFrame([], schema)
 
 
-def read_latest(spark: SparkSession, path: str, *, order: Sequence[str]) -> DataFrame:
-    """Current raw table of an upsert log; an older row never replaces a newer one, in any arrival order."""
-    return latest_by(spark.read.parquet(path).drop("batch_id"), RAW_KEYS, list(order))
+def drop_old_generations(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Remove bucket folders that none of the last ``keep`` pointers names; their paths."""
+    last, held = _pointer(spark, path)
+    used, at = set(), last
+    for _ in range(keep):
+        used |= set(held.items())
+        at, held = _pointer(spark, path, at)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/data")
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for gen in fs.listStatus(hadoop) if fs.exists(hadoop) else []:
+        for bucket in fs.listStatus(gen.getPath()):
+            name = str(bucket.getPath().getName())
+            if name.startswith("bucket=") and (int(name[7:]), int(str(gen.getPath().getName())[4:])) not in used:
+                gone.append(str(bucket.getPath()))
+                fs.delete(bucket.getPath(), True)
+    return gone
 
 
-def compact_latest(spark: SparkSession, path: str, target: str, *, order: Sequence[str]) -> None:
-    """Write the current rows of an upsert log to a new log at ``target``, as its first batch.
-
-    The old log stays as it is; readers and the stream move to ``target``, and the old folder can go.
-    """
-    read_latest(spark, path, order=order).write.mode("overwrite").parquet(f"{target}/batch_id=-1")
+# --- windows and denials ---------------------------------------------------------------------
 
 
 def stream_window_counts(events: DataFrame, *, key: str, ts: str, hours: int = 12, lateness: str = "1 hour") -> DataFrame:
@@ -158,22 +211,28 @@ def stream_denial_dedupe(denials: DataFrame, path: str, checkpoint: str, *, keys
     return run_available(logged.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint))
 
 
-def stream_followup(evidence: DataFrame, records: DataFrame, path: str, checkpoint: str, *, ts: str) -> None:
-    """Per micro-batch: new evidence counts of the touched records, appended as increments."""
+FOLLOWUP = "record_id long, total long, new long, latest timestamp_ntz"
+
+
+def stream_followup(evidence: DataFrame, records: DataFrame, path: str, checkpoint: str, *, ts: str, buckets: int = 64) -> None:
+    """Evidence counts of every touched record in a bucketed log: counts add up, the latest time only moves forward."""
 
-    def increments(batch: DataFrame) -> DataFrame:
+    def write(batch: DataFrame, batch_id: int) -> None:
         newer = F.col("base_time").isNull() | (F.col(ts) > F.col("base_time"))
-        return (
+        counts = (
             batch.join(records.select("record_id", "episode_id", "base_time"), "episode_id")
-            .groupBy("record_id")
-            .agg(F.count(F.lit(1)).alias("total"), F.count_if(newer).alias("new"), F.max(ts).alias("latest"))
+            .groupBy(F.col("record_id").cast("long").alias("record_id"))
+            .agg(F.count(F.lit(1)).alias("total"), F.count_if(newer).alias("new"), F.max(ts).cast("timestamp_ntz").alias("latest"))
         )
+        merge_batch(counts, path, batch_id, keys=["record_id"], merge=_added, buckets=buckets)
+
+    run_available(evidence.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
+
 
-    append_batches(evidence, increments, path, checkpoint)
+def _added(both: DataFrame) -> DataFrame:
+    return both.groupBy("record_id").agg(F.sum("total").alias("total"), F.sum("new").alias("new"), F.max("latest").alias("latest"))
 
 
 def read_followup(spark: SparkSession, path: str) -> DataFrame:
-    """State of every touched record: counts add up, the latest time only moves forward."""
-    log = spark.read.parquet(path)
-    g = log.groupBy("record_id").agg(F.sum("total").alias("total"), F.sum("new").alias("new"), F.max("latest").alias("latest"))
-    return g.withColumn("followup_status", F.when(F.col("new") > 0, F.lit("stale")).otherwise(F.lit("insufficient_evidence")))
+    """State of every touched record."""
+    return read_latest(spark, path, schema=FOLLOWUP).withColumn("followup_status", F.when(F.col("new") > 0, F.lit("stale")).otherwise(F.lit("insufficient_evidence")))
