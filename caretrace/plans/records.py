@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from caretrace import constants as C
 from caretrace.operators import audit as L
 from caretrace.operators import followup as U
+from caretrace.operators import model as M
 from caretrace.operators import report as R
+from caretrace.operators import scoring as SC
+from caretrace.operators import windows as W
 from caretrace.plans import windows as WP
-from caretrace.plans.adapter import Tables
+from caretrace.plans.adapter import AS_OF, Tables
 from caretrace.plans.base import emit, query, rnd, ts
 from caretrace.plans.governance import W_SQL
 from caretrace.session import cut_lineage, shared_root
@@ -272,15 +275,29 @@ def _(t: Tables) -> DataFrame:
     return out.select("record_id", U.current_state(F.col("followup_status"), F.col("enriched"), initial).alias("current_state"))
 
 
+def episode_scores(t: Tables, features: list[str]) -> DataFrame:
+    """(record_id, score, status) of every episode, scored by a linear model over ``features`` through all gates."""
+    rows = W.episode_features(t.episodes, t.procedures, t.observations, t.shifts, as_of=AS_OF).withColumn("row_id", F.col("episode_id") * 10)
+    rows = cut_lineage(rows.select("row_id", "episode_id", "unit_id", *WHOLE, "delta_ri", *[c for c in rows.columns if c.startswith("missing_") and c not in WHOLE]))
+    drift = rows.agg(*[f(c).alias(f"{c}_{n}") for c in WHOLE for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))])
+    sound = t.spark.createDataFrame([(True, [])], "defensible boolean, statuses array<string>")
+    out = SC.score_request(
+        SC.Request(rows, "episode", temporal_spec=None), artifact=sound, model=M.fit_linear(rows, features, "delta_ri"), governed=["nurse_hppd", "nurse_skillmix"], target="delta_ri", drift=drift, q_hat=5.0, train_rows=rows.count()
+    )
+    return out.select(F.col("row_id").alias("record_id"), "score", F.when(F.col("score").isNotNull(), F.col("status")).alias("status"))
+
+
+WHOLE = ["ri_initial", "nurse_hppd", "nurse_skillmix"]
+
+
 @query("rescore_candidates")
 def _(t: Tables) -> DataFrame:
+    """Due records scored anew with staffing features, over what an earlier model without the skill mix had given them."""
     judged = U.evaluate_followup(followup_records(t), **evidence(t))
-    k = F.col("episode_id")
-    again = judged.select(
-        "record_id", (k % 100).cast("double").alias("score"), F.when(k % 11 != 0, F.lit("complete")).alias("status"), F.lit("2024-03-01").cast("timestamp_ntz").alias("scored_at")
-    )
-    history = followup_records(t).filter("enriched").select("record_id", F.lit(50.0).alias("score"), F.lit("enriched_followup").alias("followup_status"), F.lit("2024-02-10").cast("timestamp_ntz").alias("scored_at"))
-    return emit(U.rescore_candidates(judged, again, history))
+    again = episode_scores(t, WHOLE).withColumn("scored_at", F.lit("2024-03-01").cast("timestamp_ntz"))
+    earlier = episode_scores(t, WHOLE[:2]).join(followup_records(t).filter("enriched").select("record_id"), "record_id", "left_semi")
+    history = earlier.select("record_id", "score", F.lit("enriched_followup").alias("followup_status"), F.lit("2024-02-10").cast("timestamp_ntz").alias("scored_at"))
+    return emit(U.rescore_candidates(judged, again, history), digits=4)
 
 
 @query(
