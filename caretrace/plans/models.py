@@ -258,9 +258,9 @@ GATE_ROWS = [
 ]
 
 
-def artifacts(t: Tables) -> DataFrame:
-    """One artifact per supplier; ``supplier % 20`` picks the defect."""
-    k = F.col("s_suppkey") % 20
+def artifacts(t: Tables, defect: int | None = None) -> DataFrame:
+    """One artifact per supplier; ``supplier % 20`` picks the defect, or one is given."""
+    k = F.col("s_suppkey") % 20 if defect is None else F.lit(defect)
     arr = lambda *v: F.array(*[F.lit(x) for x in v]) if v else F.array().cast("array<string>")
     unless = lambda n, v: F.when(k != n, F.lit(v))
     domains = F.filter(arr(*C.CASE_MIX_DOMAINS), lambda d: (d != "age") | (k != 14))
@@ -379,8 +379,9 @@ def timed_rows(t: Tables) -> DataFrame:
     return t.feat.withColumn("temporal_spec", spec)
 
 
-def sound_artifact(t: Tables) -> DataFrame:
-    return M.evidence_gate(artifacts(t).filter(F.col("model_id") == "m20"))
+def sound_artifact(t: Tables, defect: int = 0) -> DataFrame:
+    """The judged artifact of one supplier, without a defect or with the given one."""
+    return M.evidence_gate(artifacts(t, defect).orderBy("model_id").limit(1))
 
 
 def scored_request(t: Tables, request: R.Request, model, artifact: DataFrame | None = None) -> DataFrame:
@@ -429,20 +430,20 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "score_request_outcome",
-    """SELECT CASE s_suppkey % 20 WHEN 0 THEN '' WHEN 19 THEN '' ELSE 'model_not_defensible' END AS detail, count(*) AS artifacts, max(CASE WHEN s_suppkey % 20 IN (0, 19) THEN (SELECT count(*) FROM lineitem WHERE l_orderkey % 50 <> 0) ELSE 0 END) AS rows_requested
-    FROM supplier WHERE s_suppkey < 21 GROUP BY 1""",
+    """SELECT '' AS detail, count(*) AS rows_requested, count(*) AS rows_scored, 'causal_unavailable_score_is_provisional' AS first_warning FROM lineitem WHERE l_orderkey % 50 <> 0
+    UNION ALL SELECT 'model_not_defensible', 0, 0, ''""",
 )
 def _(t: Tables) -> DataFrame:
-    """What a request returns per artifact: only a defensible one opens the rows."""
-    known, model, judged = timed_rows(t).filter(F.col("delta_ri").isNotNull()), linear(t), M.evidence_gate(artifacts(t))
+    """What a request returns for a defensible artifact and for one without a fingerprint: only the first opens the rows."""
+    known, model = timed_rows(t).filter(F.col("delta_ri").isNotNull()), linear(t)
     cases = None
-    for name in ("m20", "m1"):
-        one = judged.filter(F.col("model_id") == name)
-        out = R.request_outcome(cut_lineage(scored_request(t, R.Request(known), model, one)), R.evidence_detail(one))
-        part = out.select(F.lit(name).alias("of"), F.coalesce("detail", F.lit("")).alias("detail"), "rows_requested")
+    for defect in (0, 1):
+        judged = cut_lineage(sound_artifact(t, defect))
+        rows = cut_lineage(scored_request(t, R.Request(known), model, judged))
+        out = R.request_outcome(rows, R.evidence_detail(judged))
+        part = out.select(F.coalesce("detail", F.lit("")).alias("detail"), "rows_requested", "rows_scored", F.coalesce(F.try_element_at("warnings", F.lit(1)), F.lit("")).alias("first_warning"))
         cases = part if cases is None else cases.unionByName(part)
-    sound = judged.filter(F.substring("model_id", 2, 9).cast("long") < 21).groupBy(F.when(F.col("defensible"), F.lit("")).otherwise(F.lit("model_not_defensible")).alias("_d")).agg(F.count(F.lit(1)).alias("artifacts"))
-    return emit(cases.filter("(of = 'm20' and detail = '') or (of = 'm1' and detail = 'model_not_defensible')").join(sound, F.col("detail") == F.col("_d")).select("detail", "artifacts", "rows_requested"))
+    return emit(cases)
 
 
 @query("score_cohort_boosted")
