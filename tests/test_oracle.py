@@ -9,7 +9,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as entry  # noqa: E402
+import test_chains  # noqa: E402
+import test_forest  # noqa: E402
 import test_golden  # noqa: E402
+import test_scoring  # noqa: E402
 from caretrace.plans.registry import QUERIES  # noqa: E402
 from oracle import VALUE_TESTS, compare, duck  # noqa: E402
 
