@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -42,16 +42,23 @@ def seal_audit_batch(events: DataFrame, *, chain: str, seq: str, secret: str, ba
     kept = [chain, seq, *[c for c in EVENT if c not in (chain, seq)]]
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", prev_hash string, chain_hash string"
 
-    def walk(group: pa.Table) -> pa.Table:
-        group = group.sort_by([(seq, "ascending"), *((f"_m_{c}", "ascending") for c in EVENT)])
-        before, prev, own = group["_tail"][0].as_py() or "", [], []
-        for parts in zip(*(group[f"_m_{c}"].to_pylist() for c in EVENT), strict=True):
-            prev.append(before)
-            before = hashlib.sha256("|".join([before, *(p for p in parts if p is not None)]).encode()).hexdigest()
-            own.append(before)
-        return group.select(kept).append_column("prev_hash", pa.array(prev, pa.string())).append_column("chain_hash", pa.array(own, pa.string()))
-
-    sealed = rows.groupBy(chain).applyInArrow(walk, schema)
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, before = object(), ""  # the chain that is walked, and its last hash
+        for part in batches:
+            get = lambda c, part=part: part.column(part.schema.get_field_index(c)).to_pylist()
+            prev, own = [], []
+            for mine, tail, *parts in zip(get(chain), get("_tail"), *(get(f"_m_{c}") for c in EVENT), strict=True):
+                if mine != at:
+                    at, before = mine, tail or ""
+                prev.append(before)
+                before = hashlib.sha256("|".join([before, *(p for p in parts if p is not None)]).encode()).hexdigest()
+                own.append(before)
+            columns = [part.column(part.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(prev, pa.string()), pa.array(own, pa.string())], [*kept, "prev_hash", "chain_hash"])
+
+    # A partition holds whole chains, in order: they are walked as they stream by.
+    ordered = rows.repartition(chain).sortWithinPartitions(chain, seq, *[f"_m_{c}" for c in EVENT])
+    sealed = ordered.mapInArrow(walk, schema)
     cols = [chain, F.lit(batch).alias("batch"), seq, *[c for c in EVENT if c not in (chain, seq)], "prev_hash", "chain_hash"]
     return sealed.select(*cols).withColumn("hmac_sig", hmac_sha256(secret, F.col("chain_hash")))
 
