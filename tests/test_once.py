@@ -37,6 +37,27 @@ def bundles(spark):
     return spark.createDataFrame(rows, "bundle_id string, payload string").repartition(3)
 
 
+def test_a_score_builds_its_warnings_once(spark):
+    names = ["benefit", "attribution", "causal", "quality", "uncertainty", "raw_uncertainty"]
+    df = spark.createDataFrame([(1.0, None, None, 1.0, 0.5, 0.7), (1.0, 1.0, None, 1.0, 0.5, 0.1)], ", ".join(f"{n} double" for n in names))
+    out = K.row_score(df)
+    assert plan(out).count("lambdafunction") == 1
+    got = sorted((r.status, r.warnings) for r in out.collect())
+    assert got == [("insufficient_evidence", ["high_uncertainty", "low_support", "missing_required_component:attribution"]), ("provisional", ["causal_unavailable_score_is_provisional"])]
+
+
+def test_contract_findings_are_worked_out_once(spark):
+    df = spark.createDataFrame(
+        [(1, "a", {"x": 1.0}), (2, "b", {"x": 1.0, "y": 2.0}), (3, None, {"x": 1.0, "y": None})], "idx int, row_id string, features map<string,double>"
+    ).withColumns(
+        {"missingness_flags": F.lit(None).cast("map<string,string>"), "contract_version": F.lit("v"), "source_repo": F.lit("s"), "source_grain": F.lit("g"), "clinical_timestamp": F.lit("t"),
+         "recorded_timestamp": F.lit("t"), "shadow_mode": F.lit(True), "non_individual_use": F.lit(True)}
+    )
+    out = K.feature_contract(df, K.FeatureContract(("x", "y"), "v", "s", "g"), index="idx")
+    assert plan(out).count("array_except") == 1
+    assert sorted((r.row_id, r.contract_status) for r in out.collect()) == [("a", "contract_mismatch"), ("row:3", "insufficient_evidence")]
+
+
 @pytest.mark.parametrize("width", [3, 12])
 def test_trees_as_tables_of_cells(width, monkeypatch):
     """Walks and attributions by cell are those of the trees, with and without a table for each tree."""
