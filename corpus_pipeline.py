@@ -54,17 +54,19 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, n_tokens, ids, ids_sha256, decoded_sha256) of every row of the mix, repeats included.
+    """(doc_id, source, n_tokens, ids, begins, ends, ids_sha256, decoded_sha256) of every row of the mix, repeats included.
 
-    Null and empty texts are the end id alone; long texts are encoded whole; null ids and sources are handed through. An
+    ``begins`` and ``ends`` are the span of each piece in bytes of the text. Null and empty texts are the end id alone; long texts are encoded whole; null ids and sources are handed through. An
     empty table gives an empty result.
     """
-    encoded = encode_documents(docs.withColumn("key", F.struct("doc_id", "source")), public_tokenizers.path("piece_bpe_32k.model"), offsets=False, id_col="key")
+    encoded = encode_documents(docs.withColumn("key", F.struct("doc_id", "source")), public_tokenizers.path("piece_bpe_32k.model"), id_col="key")
     return encoded.select(
         "key.doc_id",
         "key.source",
         F.size("ids").cast("long").alias("n_tokens"),
         "ids",
+        "begins",
+        "ends",
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -48,6 +48,10 @@ def test_stages(spark, tmp_path):
     words = {r["doc_id"]: len((r["text"] or "").split()) for r in near}
     assert sum(words[i] * n for i, n in copies.items()) == pytest.approx(1.5 * sum(words.values()), rel=0.05)
     assert Counter(r["doc_id"] for r in encoded) == copies and all(r["ids"][-1] == 2 for r in encoded)
+    text = {r["doc_id"]: (r["text"] or "").encode() for r in near}
+    for r in encoded:  # each piece has its span in the bytes of the text, and the end id stands at the end
+        assert len(r["begins"]) == len(r["ends"]) == len(r["ids"]) and r["ends"][-1] <= len(text[r["doc_id"]])
+        assert all(x <= y for x, y in zip(r["begins"], r["ends"], strict=True)) and list(r["begins"]) == sorted(r["begins"])
 
 
 def test_run_is_the_stages(spark):
