@@ -24,22 +24,25 @@ def link_material(prev: Column, created: Column, kind: Column, actor: Column, co
 EVENT = ("created_at", "event_type", "actor", "context", "payload_sha256")
 
 
-def seal_audit_batch(events: DataFrame, *, chain: str, seq: str, secret: str, batch: str | int = 0, tails: DataFrame | None = None) -> DataFrame:
+def seal_audit_batch(events: DataFrame, *, chain: str, seq: str, secret: str, batch: str | int | Column = 0, tails: DataFrame | None = None) -> DataFrame:
     """Events of one batch with batch, prev_hash, chain_hash and hmac_sig.
 
     Every event is linked to the one before it. ``tails`` (chain, tail_hash) are the last hashes of what was sealed
     earlier (see :func:`chain_tails`), so a chain goes on over any number of batches and does not depend on where they
     are cut. A chain's events of one batch are walked once, in order, in one task: that is why a batch is bounded by
-    whoever cuts it, as :func:`seal_chains` does.
+    whoever cuts it, as :func:`seal_chains` does. ``batch`` is its name, or the column that names the batch of each event.
     """
-    kinds = dict(events.dtypes)
-    rows = events.select(chain, seq, *[F.col(c).cast("string").alias(f"_m_{c}") for c in EVENT], *[c for c in EVENT if c not in (chain, seq)])
+    named_by_row = isinstance(batch, Column)
+    if named_by_row:
+        events = events.withColumn("batch", batch)
+    kinds, own_batch = dict(events.dtypes), ["batch"] if named_by_row else []
+    rows = events.select(chain, *own_batch, seq, *[F.col(c).cast("string").alias(f"_m_{c}") for c in EVENT], *[c for c in EVENT if c not in (chain, seq)])
     if tails is not None:
         named = tails.select(F.col(chain).alias("_t_chain"), F.col("tail_hash").alias("_tail"))
         rows = rows.join(named, F.col(chain).eqNullSafe(F.col("_t_chain")), "left").drop("_t_chain")
     else:
         rows = rows.withColumn("_tail", F.lit(None).cast("string"))
-    kept = [chain, seq, *[c for c in EVENT if c not in (chain, seq)]]
+    kept = [chain, *own_batch, seq, *[c for c in EVENT if c not in (chain, seq)]]
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", prev_hash string, chain_hash string"
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,30 +60,36 @@ def seal_audit_batch(events: DataFrame, *, chain: str, seq: str, secret: str, ba
             yield pa.RecordBatch.from_arrays([*columns, pa.array(prev, pa.string()), pa.array(own, pa.string())], [*kept, "prev_hash", "chain_hash"])
 
     # A partition holds whole chains, in order: they are walked as they stream by.
-    ordered = rows.repartition(chain).sortWithinPartitions(chain, seq, *[f"_m_{c}" for c in EVENT])
+    ordered = rows.repartition(chain).sortWithinPartitions(chain, *own_batch, seq, *[f"_m_{c}" for c in EVENT])
     sealed = ordered.mapInArrow(walk, schema)
-    cols = [chain, F.lit(batch).alias("batch"), seq, *[c for c in EVENT if c not in (chain, seq)], "prev_hash", "chain_hash"]
+    cols = [chain, F.col("batch") if named_by_row else F.lit(batch).alias("batch"), seq, *[c for c in EVENT if c not in (chain, seq)], "prev_hash", "chain_hash"]
     return sealed.select(*cols).withColumn("hmac_sig", hmac_sha256(secret, F.col("chain_hash")))
 
 
-def seal_chains(events: DataFrame, path: str, *, chain: str, seq: str, secret: str, batch_events: int = 100_000, tails: DataFrame | None = None) -> DataFrame:
-    """Seal chains of any length to ``path`` (one folder per batch) and read them back.
+def seal_chains(
+    events: DataFrame, path: str, *, chain: str, seq: str, secret: str, batch_events: int = 100_000, tails: DataFrame | None = None, round_events: int = 100_000
+) -> DataFrame:
+    """Seal chains of any length to ``path`` (one folder per round) and read them back.
 
-    Events are numbered per chain without ordering a chain as a whole; every ``batch_events`` of them are one batch.
-    Round k seals the k-th batch of every chain that has one, in parallel, and hands on one tail per chain. No task holds
-    more than a batch of a chain, the work is linear, and the hashes are those of one walk over each chain.
+    Events are numbered per chain without ordering a chain as a whole; every ``batch_events`` of them are one batch. A
+    round seals the next batches of every chain that has some, ``round_events`` events of a chain or one batch, in
+    parallel, and hands on one tail per chain. No task holds more than a round of a chain, the work is linear, small
+    batches cost no rounds of their own, and the hashes are those of one walk over each chain.
     """
     spark = events.sparkSession
-    place = numbered(events, [chain], [seq], batch_events).withColumn("_batch", F.floor(F.col("_number") / batch_events).cast("int")).drop("_number")
+    per_round = max(1, round_events // batch_events)
+    batch = F.floor(F.col("_number") / batch_events).cast("int")
+    place = numbered(events, [chain], [seq], batch_events * per_round).withColumn("_batch", batch).drop("_number")
+    place = place.withColumn("_round", F.floor(F.col("_batch") / per_round).cast("int"))
     waiting = f"{shared_root(spark)}/caretrace/{uuid.uuid4().hex}"
-    place.write.partitionBy("_batch").parquet(waiting)
+    place.write.partitionBy("_round").parquet(waiting)
     staged = spark.read.schema(place.schema).parquet(waiting)
-    last = staged.agg(F.max("_batch")).first()[0]
+    last = staged.agg(F.max("_round")).first()[0]
     for k in range(0 if last is None else last + 1):
-        part = seal_audit_batch(staged.filter(F.col("_batch") == k).drop("_batch"), chain=chain, seq=seq, secret=secret, batch=k, tails=tails)
-        part.drop("batch").write.mode("overwrite").parquet(f"{path}/batch={k}")
+        part = seal_audit_batch(staged.filter(F.col("_round") == k).drop("_round"), chain=chain, seq=seq, secret=secret, batch=F.col("_batch"), tails=tails)
+        part.write.mode("overwrite").parquet(f"{path}/round={k}")
         if k < last:
-            sealed = spark.read.schema(part.drop("batch").schema).parquet(f"{path}/batch={k}")
+            sealed = spark.read.schema(part.schema).parquet(f"{path}/round={k}")
             fresh = chain_tails(sealed, chain=chain, seq=seq)
             if k == 0 and tails is not None:  # chains without events in this request keep their tail
                 fresh = fresh.unionByName(tails.select(chain, "tail_hash").join(fresh.select(chain), chain, "left_anti"))
@@ -88,7 +97,7 @@ def seal_chains(events: DataFrame, path: str, *, chain: str, seq: str, secret: s
     if last is None:
         return seal_audit_batch(events, chain=chain, seq=seq, secret=secret, tails=tails)
     discard_path(spark, waiting)
-    return spark.read.schema(part.schema).parquet(path)
+    return spark.read.schema(part.schema).parquet(path).select(*part.columns)
 
 
 def chain_tails(sealed: DataFrame, *, chain: str, seq: str) -> DataFrame:

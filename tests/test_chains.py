@@ -46,6 +46,20 @@ def test_one_long_chain_in_batches(spark, tmp_path):
     assert L.seal_chains(audit(more.limit(0)), str(tmp_path / "none"), secret="k", **args).count() == 0
 
 
+def test_small_batches_share_a_round(spark, tmp_path):
+    """Chains of 400 events in batches of three: one round, not one per batch, and the batches and hashes of single batches."""
+    rows = audit(spark.range(800).withColumn("chain", F.concat(F.lit("c"), F.col("id") % 2)))
+    args = {"chain": "chain", "seq": "seq"}
+    sealed = L.seal_chains(rows, str(tmp_path / "log"), secret="k", batch_events=3, **args)
+    assert len([p for p in (tmp_path / "log").iterdir() if p.is_dir()]) == 1
+    cut = L.seal_chains(rows, str(tmp_path / "cut"), secret="k", batch_events=3, round_events=150, **args)
+    whole = L.seal_audit_batch(rows, secret="k", **args)
+    ours = lambda df: sorted((r.chain, r.seq, r.prev_hash, r.chain_hash, r.hmac_sig) for r in df.collect())
+    assert ours(sealed) == ours(cut) == ours(whole)
+    at = {(r.chain, r.seq): r.batch for r in sealed.collect()}
+    assert at == {("c" + str(i % 2), i): i // 2 // 3 for i in range(800)}
+
+
 def test_numbers_and_slices(spark):
     rng = random.Random(1)
     rows = [(rng.choice(["hot", "hot", "a", "b", None]), rng.randrange(10**6)) for _ in range(3000)]
