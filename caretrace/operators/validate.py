@@ -42,15 +42,12 @@ def validate_references(rows: DataFrame, *, payload: str = "payload", secure: bo
     )
 
 
-def _local_issues(v: Column, payload: Column, kind: Column, *, secure: bool) -> list[Column]:
+def _facts(v: Column, payload: Column, kind: Column, *, secure: bool) -> dict[str, Column]:
+    """What the rules of one resource read, as columns: each is worked out once a row and not once per rule that reads it."""
     code = F.try_variant_get(v, "$.code", "variant")
     code_text = text_at(v, "$.code")
     code_object = F.try_variant_get(v, "$.code", "map<string,variant>")
     codings = items_at(v, "$.code.coding")
-    has_coding = F.coalesce(F.size(codings) > 0, F.lit(False))
-    has_text = F.coalesce(text_at(v, "$.code.text") != "", F.lit(False))
-    # A falsy code (absent, null, "", [], {}) counts as an empty object.
-    not_object = code.isNotNull() & code_object.isNull() & ~F.coalesce(code_text.isin("", "0", "false"), F.lit(True))
     notes = F.transform(
         F.coalesce(items_at(v, "$.note"), F.array().cast("array<variant>")), lambda n: F.coalesce(text_at(n, "$.text"), F.lit(""))
     )
@@ -61,18 +58,31 @@ def _local_issues(v: Column, payload: Column, kind: Column, *, secure: bool) ->
         | F.try_variant_get(p, "$.probabilityRange", "variant").isNotNull()
         | F.try_variant_get(p, "$.qualitativeRisk", "variant").isNotNull(),
     )
-    resource_id = text_at(v, "$.id")
-    refs = F.filter(all_references(payload), lambda r: reference_is_bad(r, secure=secure))
+    return {
+        "_kind": kind,
+        "_rid": text_at(v, "$.id"),
+        "_has_coding": F.coalesce(F.size(codings) > 0, F.lit(False)),
+        "_has_text": F.coalesce(text_at(v, "$.code.text") != "", F.lit(False)),
+        # A falsy code (absent, null, "", [], {}) counts as an empty object.
+        "_not_object": code.isNotNull() & code_object.isNull() & ~F.coalesce(code_text.isin("", "0", "false"), F.lit(True)),
+        "_bad_refs": F.size(F.filter(all_references(payload), lambda r: reference_is_bad(r, secure=secure))) > 0,
+        "_open_risk": F.when(kind == "RiskAssessment", ~said.contains("shadow-only") | exposes),
+    }
+
+
+def _local_issues() -> list[Column]:
+    """Findings of the rules of one resource on the columns of :func:`_facts`."""
+    kind, resource_id, not_object, has_coding = (F.col(c) for c in ("_kind", "_rid", "_not_object", "_has_coding"))
     known = F.coalesce(F.trim(kind), F.lit("")) != ""
     return [
         issue(~known, "resourceType", "value_error.missing"),
         issue(known & ~kind.isin(list(C.RESOURCE_TYPES)), "resourceType", "value_error.resourceType"),
         issue(known & (resource_id != "") & ~resource_id.rlike(C.RESOURCE_ID_PATTERN), "id", "value_error.fhir_id"),
-        issue(known & (F.size(refs) > 0), "reference", "value_error.fhir_reference"),
+        issue(known & F.col("_bad_refs"), "reference", "value_error.fhir_reference"),
         issue((kind == "Observation") & not_object, "code", "value_error.code"),
         issue((kind == "Observation") & ~not_object & ~has_coding, "code.coding", "value_error.missing"),
-        issue(kind.isin("Condition", "Procedure") & (not_object | ~(has_coding | has_text)), "code", "value_error.missing"),
-        issue((kind == "RiskAssessment") & (~said.contains("shadow-only") | exposes), "RiskAssessment", "value_error.shadow_only"),
+        issue(kind.isin("Condition", "Procedure") & (not_object | ~(has_coding | F.col("_has_text"))), "code", "value_error.missing"),
+        issue(F.col("_open_risk"), "RiskAssessment", "value_error.shadow_only"),
     ]
 
 
@@ -88,26 +98,26 @@ def validate_resource(
 
     ``expected`` names a column with the wanted type. ``profiles`` switches the strict profile rule on.
     """
-    v = F.col("_v")
-    kind, rid = text_at(v, "$.resourceType"), text_at(v, "$.id")
-    readable = F.coalesce(kind.isNotNull(), F.lit(False))
+    v, kind, rid = F.col("_v"), F.col("_kind"), F.col("_rid")
+    facts = _facts(v, F.col(payload), text_at(v, "$.resourceType"), secure=secure)
+    if profiles:
+        facts["_no_profile"] = missing_profiles(v, profiles) != F.array().cast("array<string>")
+    readable = kind.isNotNull()
     checks = [
         issue(~readable, "resourceType", "missing"),
         issue(readable & (rid.isNull() | (rid == "")) & (kind != "Bundle"), "id", "value_error.missing"),
     ]
     if expected:
         checks.append(issue(readable & (kind != F.col(expected)), "resourceType", "value_error.resourceType"))
-    local = [F.when(readable, i) for i in _local_issues(v, F.col(payload), kind, secure=secure)]
+    local = [F.when(readable, i) for i in _local_issues()]
     if profiles:
-        local.append(F.when(readable & (kind != "Bundle"), issue(missing_profiles(v, profiles) != F.array().cast("array<string>"), "meta.profile", "value_error.profile", layer="strict")))
+        local.append(F.when(readable & (kind != "Bundle"), issue(F.col("_no_profile"), "meta.profile", "value_error.profile", layer="strict")))
     return (
         rows.withColumn("_v", F.try_parse_json(payload))
-        .withColumn("resource_type", kind)
-        .withColumn("resource_id", rid)
-        .withColumn("issues", compact(*checks, *local))
+        .withColumns({**facts, "_updated": text_at(v, "$.meta.lastUpdated")})
+        .withColumns({"resource_type": kind, "resource_id": rid, "issues": compact(*checks, *local), "last_updated": F.when(readable, parse_utc("_updated"))})
         .withColumn("validation_ok", ~F.exists("issues", lambda i: i["severity"] == "error"))
-        .withColumn("last_updated", F.when(readable, parse_utc(text_at(v, "$.meta.lastUpdated"))))
-        .drop("_v")
+        .drop("_v", "_updated", *facts)
     )
 
 
@@ -133,33 +143,45 @@ def validate_bundle(
 ) -> DataFrame:
     """(bundle_id, n_resources, has_encounter, n_issues, issues) with entry-prefixed resource issues."""
     v = F.try_parse_json("payload")
-    parsed = bundles.withColumn("_v", v).withColumn("_kind", text_at(F.col("_v"), "$.resourceType"))
-    is_bundle = F.coalesce(F.col("_kind") == "Bundle", F.lit(False))
+    parsed = bundles.select("bundle_id", v.alias("_v")).withColumn("_bundle", F.coalesce(text_at(F.col("_v"), "$.resourceType") == "Bundle", F.lit(False)))
+    # A bundle without entries, and what is no bundle, go on as one row without a position: nothing is read twice.
+    items = F.when(F.col("_bundle"), items_at(F.col("_v"), "$.entry"))
     entries = (
-        parsed.filter(is_bundle)
-        .select("bundle_id", F.posexplode(items_at(F.col("_v"), "$.entry")).alias("_pos", "_e"))
+        parsed.select("bundle_id", "_bundle", F.posexplode_outer(items).alias("_pos", "_e"))
         .withColumn("_r", F.try_variant_get("_e", "$.resource", "variant"))
         .withColumn("_json", F.to_json("_r"))
     )
-    r = F.col("_r")
+    r, kind = F.col("_r"), F.col("_kind")
     usable = F.coalesce(~F.col("_json").isin("null", "{}"), F.lit(False)) & F.coalesce(F.col("_json").startswith("{"), F.lit(False))
-    kind = F.coalesce(text_at(r, "$.resourceType"), F.lit(""))
-    encounter_ref = F.coalesce(F.trim(text_at(r, "$.encounter.reference")), F.lit(""))
-    checks = [F.when(usable, i) for i in _local_issues(r, F.col("_json"), kind, secure=secure)]
-    checks.append(issue(~usable, "", "value_error.missing"))
+    facts = _facts(r, F.col("_json"), F.coalesce(text_at(r, "$.resourceType"), F.lit("")), secure=secure)
+    facts |= {"_usable": usable, "_encounter": F.coalesce(F.trim(text_at(r, "$.encounter.reference")), F.lit(""))}
+    checks = [F.when(F.col("_usable"), i) for i in _local_issues()]
+    checks.append(issue(~F.col("_usable"), "", "value_error.missing"))
     if require_encounter:
         wants = kind.isin("Observation", "Condition", "Procedure", "RiskAssessment")
-        checks.append(issue(usable & wants & (encounter_ref == ""), "encounter", "value_error.missing"))
+        checks.append(issue(F.col("_usable") & wants & (F.col("_encounter") == ""), "encounter", "value_error.missing"))
     named = F.transform(
         compact(*checks), lambda i: F.concat(F.lit("entry."), F.col("_pos"), F.lit(".resource."), i["loc"], F.lit(":"), i["type"])
     )
-    per_entry = entries.select("bundle_id", usable.alias("_ok"), (usable & (kind == "Encounter")).alias("_enc"), named.alias("_i"))
+    # Rows without an id have no entries of their own.
+    there = F.col("_pos").isNotNull() & F.col("bundle_id").isNotNull()
+    per_entry = entries.withColumns(facts).select(
+        "bundle_id",
+        F.when(F.coalesce(F.col("_pos"), F.lit(0)) == 0, F.col("_bundle")).alias("_first"),
+        (there & F.col("_usable")).alias("_ok"),
+        (there & F.col("_usable") & (kind == "Encounter")).alias("_enc"),
+        F.when(there, named).alias("_i"),
+    )
     per_bundle = per_entry.groupBy("bundle_id").agg(
+        F.count_if("_first").alias("_bundles"),
+        F.count_if(~F.col("_first")).alias("_others"),
         F.count_if("_ok").alias("n_resources"),
         F.bool_or("_enc").alias("_has"),
         F.array_sort(F.flatten(F.collect_list("_i"))).alias("_entry_issues"),
     )
-    out = parsed.select("bundle_id", is_bundle.alias("_bundle")).join(per_bundle, "bundle_id", "left")
+    # One row per row of the input: an id that comes twice has the entries of both in each.
+    times = lambda flag, n: F.array_repeat(F.lit(flag), F.col(n).cast("int"))
+    out = per_bundle.withColumn("_bundle", F.explode(F.concat(times(True, "_bundles"), times(False, "_others"))))
     has = F.coalesce("_has", F.lit(False))
     top = compact(
         F.when(~F.col("_bundle"), F.lit("resourceType:value_error.bundle")),

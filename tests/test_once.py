@@ -37,6 +37,33 @@ def bundles(spark):
     return spark.createDataFrame(rows, "bundle_id string, payload string").repartition(3)
 
 
+def test_bundles_are_parsed_once(bundles):
+    out = V.validate_bundle(bundles, require_encounter=True)
+    assert plan(out).count("parsejson(") == 1
+    got = sorted((r.bundle_id or "", r.n_resources, r.has_encounter, tuple(r.issues)) for r in out.collect())
+    none, no_entry = "resourceType:value_error.bundle", "entry:value_error.missing"
+    both = (no_entry, "entry.0.resource.encounter:value_error.missing", "entry.0.resource.encounter:value_error.missing")
+    assert got == [
+        ("", 0, False, (no_entry,)),
+        ("a", 2, True, ("entry.0.resource.encounter:value_error.missing", "entry.0.resource.reference:value_error.fhir_reference", "entry.2.resource.:value_error.missing")),
+        ("b", 0, False, (no_entry,)),
+        ("c", 0, False, (none,)),
+        ("d", 0, False, (none,)),
+        ("e", 0, False, (none,)),
+        ("f", 0, False, (no_entry,)),
+        ("g", 2, False, both),
+        ("g", 2, False, both),
+    ]
+
+
+def test_rules_read_facts(spark):
+    """The code of a resource is looked up once for each of the facts, not once more in every rule."""
+    df = spark.createDataFrame([('{"resourceType":"Observation","id":"a","code":[1]}',)], "payload string")
+    out = V.validate_resource(df)
+    assert plan(out).count("$.code.coding") == 1 and plan(out).count("$.code.text") == 1
+    assert V.issue_names(F.col("issues")) is not None and [i.loc for i in out.first().issues] == ["code"]
+
+
 def test_a_score_builds_its_warnings_once(spark):
     names = ["benefit", "attribution", "causal", "quality", "uncertainty", "raw_uncertainty"]
     df = spark.createDataFrame([(1.0, None, None, 1.0, 0.5, 0.7), (1.0, 1.0, None, 1.0, 0.5, 0.1)], ", ".join(f"{n} double" for n in names))
