@@ -22,6 +22,7 @@ from caretrace.functions.matrices import moments
 from caretrace.functions.quantiles import exact_medians, exact_quantiles_of
 from caretrace.functions.tables import with_stats
 from caretrace.operators.model import LinearModel, filled
+from caretrace.session import cut_lineage, discard
 
 
 @dataclass(frozen=True)
@@ -290,14 +291,18 @@ def refute_effect(df: DataFrame, spec: CausalSpec, *, method: str, seed: int = 7
         # Two orders of the same hash bucket, joined by position: a permutation without a global sort. Buckets hold
         # about bucket_rows rows, whatever the size of the table.
         buckets = max(1, -(-df.count() // bucket_rows))
-        keyed = df.withColumn("_b", F.pmod(F.xxhash64(spec.row_id, F.lit(seed)), F.lit(buckets)))
+        read = dict.fromkeys([spec.row_id, spec.treatment, spec.outcome, *spec.confounders, *spec.modifiers])
+        keyed = df.select(*[c for c in read if c in df.columns]).withColumn("_b", F.pmod(F.xxhash64(spec.row_id, F.lit(seed)), F.lit(buckets)))
         by = lambda salt: Window.partitionBy("_b").orderBy(F.xxhash64(spec.row_id, F.lit(seed + salt)), spec.row_id, *[F.col(c) for c in (spec.treatment, spec.outcome)])
         left = keyed.withColumn("_pos", F.row_number().over(by(1))).drop(spec.treatment)
         right = keyed.select("_b", F.row_number().over(by(2)).alias("_pos"), F.col(spec.treatment))
-        changed = left.join(right, ["_b", "_pos"]).drop("_b", "_pos")
+        # The fit passes over the rows several times: they are dealt out once and written.
+        changed = cut_lineage(left.join(right, ["_b", "_pos"]).drop("_b", "_pos"))
     else:
         raise ValueError(f"unknown refuter {method}")
     after = mean_effect(changed, used)
+    if method == "placebo_treatment":
+        discard(changed)
     return df.sparkSession.createDataFrame([(method, float(base), float(after))], "method string, baseline_ate double, refuted_ate double")
 
 

@@ -85,6 +85,21 @@ def test_contract_findings_are_worked_out_once(spark):
     assert sorted((r.row_id, r.contract_status) for r in out.collect()) == [("a", "contract_mismatch"), ("row:3", "insufficient_evidence")]
 
 
+def test_permuted_rows_are_dealt_out_once(spark):
+    """The fits of a placebo read written rows of the columns they need: each row meets its permuted treatment one time."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(3000).select(F.col("id").alias("row_id"), (F.col("id") % 7).cast("double").alias("t"), (F.col("id") % 5).cast("double").alias("w"), (F.col("id") % 11).cast("double").alias("y"))
+    counted = rows.mapInArrow(count, rows.schema)
+    out = X.refute_effect(counted, X.CausalSpec("t", "y", ("w",)), method="placebo_treatment", base=0.0).first()
+    assert seen.value <= 3 * 3000 and abs(out.refuted_ate) < 0.1
+
+
 @pytest.mark.parametrize("width", [3, 12])
 def test_trees_as_tables_of_cells(width, monkeypatch):
     """Walks and attributions by cell are those of the trees, with and without a table for each tree."""
