@@ -24,12 +24,13 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
 
 def explode_bundles(bundles: DataFrame) -> DataFrame:
     """(bundle_id, position, payload) per ``entry[].resource``; anything that is not a Bundle gives no rows."""
-    b = bundles.withColumn("_v", F.try_parse_json("payload")).filter(text_at(F.col("_v"), "$.resourceType") == "Bundle")
-    entries = b.select("bundle_id", F.posexplode(items_at(F.col("_v"), "$.entry")).alias("position", "_e"))
-    resource = F.try_variant_get("_e", "$.resource", "variant")
-    return entries.select("bundle_id", "position", F.to_json(resource).alias("payload")).filter(
-        F.col("payload").isNotNull() & ~F.col("payload").isin("null", "{}")
-    )
+    b = bundles.select("bundle_id", F.try_parse_json("payload").alias("_v"))
+    # Texts are made where the entries are exploded, and rows are dropped after that: a filter below would parse and write
+    # everything once more.
+    items = F.when(text_at(F.col("_v"), "$.resourceType") == "Bundle", items_at(F.col("_v"), "$.entry"))
+    texts = F.transform(items, lambda e: F.to_json(F.try_variant_get(e, "$.resource", "variant")))
+    entries = b.select("bundle_id", F.posexplode_outer(texts).alias("position", "payload"))
+    return entries.filter(F.col("payload").isNotNull() & ~F.col("payload").isin("null", "{}"))
 
 
 def paged_resources(bundles: DataFrame, bundle_issues: DataFrame | None = None) -> DataFrame:

@@ -56,6 +56,13 @@ def test_bundles_are_parsed_once(bundles):
     ]
 
 
+def test_entries_are_written_once(bundles):
+    out = R.explode_bundles(bundles)
+    once = plan(bundles.select(F.to_json(F.try_parse_json("payload")).alias("x")))
+    assert plan(out).count("parsejson(") == 1 and plan(out).count("structstojson") == once.count("structstojson")
+    assert sorted((r.bundle_id or "", r.position) for r in out.collect()) == [("", 0), ("a", 0), ("a", 1), ("g", 0), ("g", 0)]
+
+
 def test_rules_read_facts(spark):
     """The code of a resource is looked up once for each of the facts, not once more in every rule."""
     df = spark.createDataFrame([('{"resourceType":"Observation","id":"a","code":[1]}',)], "payload string")
