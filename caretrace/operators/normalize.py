@@ -40,7 +40,10 @@ def select_coding(rows: DataFrame, terminology: DataFrame, *, kind: str, keys: l
     terms = terminology.filter(F.col("domain") == domain).select(
         F.col("source_code").alias("_code"), F.col("target_code").alias("_target")
     )
-    coded = rows.filter(F.try_parse_json(payload).isNotNull()).withColumn("_codings", codings_at(F.try_parse_json(payload), "$.code"))
+    # Unreadable rows give NULL and drop out after the explode, so that no filter below parses the payload again.
+    read = rows.withColumn("_v", F.try_parse_json(payload))
+    codings = F.when(F.col("_v").isNotNull(), codings_at(F.col("_v"), "$.code"))
+    coded = read.select(*rows.columns, F.explode_outer(F.array(codings)).alias("_codings")).filter(F.col("_codings").isNotNull())
     meets = F.exists("_codings", lambda c: _has(c, (needle,)))
     no_hits = F.array().cast("array<struct<pos:int,target:string>>")
     plain = coded.filter(~meets).withColumn("_hits", no_hits)

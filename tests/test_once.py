@@ -63,6 +63,17 @@ def test_entries_are_written_once(bundles):
     assert sorted((r.bundle_id or "", r.position) for r in out.collect()) == [("", 0), ("a", 0), ("a", 1), ("g", 0), ("g", 0)]
 
 
+def test_codings_are_read_once_a_branch(spark):
+    coding = lambda *c: '{"code":{"coding":[%s]}}' % ",".join('{"system":"%s","code":"%s"}' % x for x in c)  # noqa: E731, UP031
+    rows = [(1, coding(("urn:NOC", " N1 "))), (2, coding(("http://loinc.org", "8"))), (3, "{broken"), (4, None), (5, '{"code":{}}'), (6, coding(("urn:l", "X"), ("urn:NOC", "N1")))]
+    terms = spark.createDataFrame([("noc_to_loinc", "N1", "T1")], "domain string, source_code string, target_code string")
+    df = spark.createDataFrame(rows, "k int, payload string")
+    out = N.select_coding(df, terms, kind="Observation", keys=["k"])
+    assert plan(out).count("parsejson(") == 2
+    got = {r.k: (r.coding and r.coding.code, r.mapped_code) for r in out.collect()}
+    assert got == {1: (" N1 ", "T1"), 2: ("8", None), 5: (None, None), 6: ("N1", "T1")}
+
+
 def test_rules_read_facts(spark):
     """The code of a resource is looked up once for each of the facts, not once more in every rule."""
     df = spark.createDataFrame([('{"resourceType":"Observation","id":"a","code":[1]}',)], "payload string")
