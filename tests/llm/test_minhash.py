@@ -95,3 +95,18 @@ def test_components_of_a_long_path_and_a_star(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 140)}}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_small_edge_tables_are_few_files(spark):
+    """However many shuffle partitions there are, a round over few edges writes few part files."""
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = components(spark.createDataFrame([(i, i + 1) for i in range(300) if i % 10 != 9], "a long, b long"))
+        assert {r.node: r.root for r in found.collect()} == {i: i - i % 10 for i in range(300)}
+        assert len(found.inputFiles()) <= 2
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
