@@ -22,7 +22,7 @@ def _depths(limit: int) -> list[tuple[int, int]]:
 
 @dataclass
 class Strings:
-    """Byte strings one after the other, each with an end symbol."""
+    """Byte strings one after the other, each with an end symbol: places are 32-bit numbers, symbols 16-bit."""
 
     symbols: np.ndarray  # byte + 1, 0 at ends
     ends: np.ndarray  # for each place the place of its string's end symbol
@@ -32,35 +32,51 @@ class Strings:
     def of(cls, strings: list[bytes]) -> Strings:
         sizes = np.array([len(s) + 1 for s in strings], np.int64)
         last = np.cumsum(sizes) - 1
-        symbols = np.frombuffer(b"\0".join([*strings, b""]), np.uint8).astype(np.int64) + 1
+        if sizes.sum() >= 1 << 30:
+            raise ValueError("the strings of a merge are 1 GB or more")
+        symbols = np.frombuffer(b"\0".join([*strings, b""]), np.uint8).astype(np.int16)
+        symbols += 1
         symbols[last] = 0
-        return cls(symbols, np.repeat(last, sizes), last - sizes + 1)
+        return cls(symbols, np.repeat(last.astype(np.int32), sizes), last - sizes + 1)
 
     def first_keys(self, depth: int) -> np.ndarray:
         """The first ``depth`` (at most FIRST) symbols at each place as one number; nothing reaches beyond a string's end."""
-        at = np.arange(len(self.symbols))
-        key = self.symbols.copy()
-        for k in range(1, depth):
-            there = np.minimum(at + k, self.ends)
-            key = (key << 9) | self.symbols[there]
-        return key << (9 * (FIRST - depth))
+        there = np.arange(len(self.symbols), dtype=np.int32)
+        key = self.symbols.astype(np.int64)
+        for _ in range(1, depth):
+            there += 1
+            np.minimum(there, self.ends, out=there)  # an end symbol follows itself
+            key <<= 9
+            key |= self.symbols[there]
+        key <<= 9 * (FIRST - depth)
+        return key
 
 
 def _ranks(sorted_keys: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(sorted_keys[1:] != sorted_keys[:-1])]) if len(sorted_keys) else np.zeros(0, np.int64)
+    out = np.zeros(len(sorted_keys), np.int32)
+    np.cumsum(sorted_keys[1:] != sorted_keys[:-1], dtype=np.int32, out=out[1:])
+    return out
+
+
+def _pairs(high: np.ndarray, low: np.ndarray, n: int) -> np.ndarray:
+    """One number for each two below ``n``, ordered as they are."""
+    key = high.astype(np.int64)
+    key *= n
+    key += low
+    return key
 
 
 def shard_order(s: Strings, lo: int, hi: int, keys: np.ndarray, limit: int) -> np.ndarray:
     """Places lo..hi (whole strings) in the order of their first ``limit`` symbols, ties by place: the rows of the shard's transform."""
-    ends = s.ends[lo:hi] - lo
-    at = np.arange(hi - lo)
+    ends = s.ends[lo:hi] - np.int32(lo)
+    at = np.arange(hi - lo, dtype=np.int32)
     key = keys[lo:hi]
     for _, shift in [*_depths(limit), (limit, 0)]:
         order = np.argsort(key)
-        rank = np.empty(hi - lo, np.int64)
+        rank = np.empty(hi - lo, np.int32)
         rank[order] = _ranks(key[order])
-        key = rank * (hi - lo) + (rank[np.minimum(at + shift, ends)] if shift else at)
-    return lo + np.argsort(key)
+        key = _pairs(rank, rank[np.minimum(at + np.int32(shift), ends)] if shift else at, hi - lo)
+    return (lo + np.argsort(key)).astype(np.int32)
 
 
 @dataclass
@@ -81,13 +97,17 @@ def merge(s: Strings, shards: list[np.ndarray], keys: np.ndarray, limit: int) ->
     rows = np.concatenate(shards)
     n = len(s.symbols)
     key = keys[rows]
+    del shards[:], keys  # nothing reads them again, and the merge is what needs most memory
     for _, shift in _depths(limit):
         order = np.argsort(key, kind="stable")  # merges the shards' runs
-        klass = np.empty(n, np.int64)
-        klass[rows[order]] = _ranks(key[order])
-        key = klass[rows] * n + klass[np.minimum(rows + shift, s.ends[rows])]
+        ranks = _ranks(key[order])
+        klass = np.empty(n, np.int32)
+        klass[rows[order]] = ranks
+        del order, ranks, key
+        key = _pairs(klass[rows], klass[np.minimum(rows + np.int32(shift), s.ends[rows])], n)
     order = np.argsort(key, kind="stable")
     key, rows = key[order], rows[order]
+    del order
     common = np.concatenate([[False], key[1:] == key[:-1]])
     before = np.where(np.isin(rows, s.starts), 0, s.symbols[rows - 1])
     return Merged(rows, common, before)
@@ -103,13 +123,15 @@ def merged_transform(strings: list[bytes], limit: int, shard_bytes: int) -> tupl
             cuts.append(a)
     cuts.append(len(s.symbols))
     shards = [shard_order(s, a, b, keys, limit) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return s, merge(s, shards, keys, limit)
+    first = [keys]
+    del keys
+    return s, merge(s, shards, first.pop(), limit)
 
 
 def repeated_starts(strings: list[bytes], limit: int, shard_bytes: int) -> np.ndarray:
     """(string, offset) of every substring of ``limit`` bytes that a string before it holds too (or the same one, before it)."""
     s, merged = merged_transform(strings, limit, shard_bytes)
-    rows = merged.rows[merged.common & (merged.rows + limit <= s.ends[merged.rows])]
+    rows = merged.rows[merged.common & (s.ends[merged.rows] - merged.rows >= limit)]
     rows.sort()
     at = np.searchsorted(s.starts, rows, side="right") - 1
     return np.stack([at, rows - s.starts[at]], axis=1)

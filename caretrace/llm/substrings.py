@@ -32,8 +32,10 @@ from caretrace.llm.tokens import chunks
 LIMIT = 100
 #: Bytes of a gram; a window of LIMIT bytes has LIMIT - GRAM + 1 of them.
 GRAM = 40
-#: Text of a page, of a bucket of grams, of a merge and of a shard.
-PAGE_BYTES, BUCKET_BYTES, MERGE_BYTES, SHARD_BYTES = 4 << 20, 16 << 20, 4 << 20, 512 << 10
+#: Text of a page, of a bucket of grams, of a merge and of a shard. A merge holds about 50 bytes for each of its text.
+PAGE_BYTES, BUCKET_BYTES, MERGE_BYTES, SHARD_BYTES = 4 << 20, 16 << 20, 2 << 20, 512 << 10
+#: Text of a page that is cut into stretches at a time, with about 80 bytes for each of it.
+SLICE_BYTES = 1 << 20
 #: Different stretches of one gram that a merge takes; beyond that the gram's windows are dealt out one by one.
 MOST_STRETCHES = 8192
 BASE = 0x9E3779B97F4A7C15
@@ -59,7 +61,7 @@ def _stir(x: np.ndarray) -> np.ndarray:
 class Stretches:
     """Cuts a buffer of documents into stretches of windows that belong to the same gram."""
 
-    def __init__(self, limit: int = LIMIT, gram: int = GRAM, slice_bytes: int = PAGE_BYTES):
+    def __init__(self, limit: int = LIMIT, gram: int = GRAM, slice_bytes: int = SLICE_BYTES):
         self.limit, self.gram, self.slice = limit, gram, slice_bytes
         self.up = _powers(BASE, slice_bytes + limit + 1)
         self.down = _powers(pow(BASE, -1, 1 << 64), slice_bytes + limit + 1)

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -119,3 +120,21 @@ def test_small_pages_and_buckets(make_docs, texts, monkeypatch):
 def test_odd_rows(make_docs, odd_rows):
     assert rows_of(repeated_bytes(make_docs(odd_rows))) == sorted(brute(odd_rows, 100), key=str)
     assert repeated_bytes(make_docs([])).collect() == []
+
+
+def test_memory_of_a_merge_and_of_a_page():
+    """What a task holds at a time: 64 bytes for each of a merge's text, 32 for each of a page's."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(97, 101, 1 << 18, dtype=np.uint8).tobytes()
+    strings = [base[a : a + 130] for a in rng.integers(0, len(base) - 130, 4000).tolist()]
+    page = rng.integers(97, 101, substrings.PAGE_BYTES, dtype=np.uint8).tobytes()
+    tracemalloc.start()
+    try:
+        repeats = repeated_starts(strings, 100, substrings.SHARD_BYTES)
+        assert len(repeats) and tracemalloc.get_traced_memory()[1] <= 64 * sum(map(len, strings))
+        del repeats
+        tracemalloc.reset_peak()
+        Stretches().of(page, np.array([len(page)]))
+        assert tracemalloc.get_traced_memory()[1] <= 32 * len(page)
+    finally:
+        tracemalloc.stop()
