@@ -2,15 +2,17 @@
 
 Treatment and outcome are first cleared of the confounders (:func:`~caretrace.operators.causal.residuals`). A node's
 effect is sum(rt ry) / sum(rt^2) over its rows, so everything a split or a leaf needs are sums of rt^2, rt ry and counts.
-All trees grow together, one level per pass: executors sum moments per (tree, node, modifier, bin), add them up per tree and
-pick the split there; what reaches the driver are the splits. Which rows a tree splits on and which it estimates from is a
-hash of the row and the tree, so nothing is stored per row.
+Where the bins of all modifiers together make few cells, one pass sums moments per (tree, cell) and whole trees grow from
+them on the executors; else all trees grow together, one level per pass, from moments per (tree, node, modifier, bin). What
+reaches the driver are the splits and the leaves. Which rows a tree splits on and which it estimates from is a hash of the
+row and the tree, so nothing is stored per row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,11 @@ from pyspark.sql import types as T
 from caretrace.functions.columns import nan_to_null
 from caretrace.operators.causal import CausalSpec, residuals
 
+#: Most cells of all modifiers together that trees grow from in one pass, and that effects are kept for in a table.
+MOST_CELLS, MOST_EFFECTS = 4096, 1 << 16
+#: Rows that are handled at once.
+ROWS_AT_ONCE = 50_000
+
 
 @dataclass(frozen=True)
 class ForestSpec:
@@ -87,21 +94,35 @@ def _leaf(feature: np.ndarray, cut: np.ndarray, x: np.ndarray, levels: int) -> n
 
 
 def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
-    """Uniform numbers in [0, 1) from row hashes and a salt."""
+    """Uniform numbers of 53 bits from row hashes and a salt."""
     z = h + np.uint64((salt * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53)
-
-
-def _roles(h: np.ndarray, tree: int, share: float, spec: ForestSpec) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that a tree splits on, and rows it estimates from."""
-    if not spec.honest:
-        everyone = np.arange(len(h))
-        return everyone, everyone
-    mine = np.flatnonzero(_mixed(h, 2 * (spec.seed * 1_000_003 + tree // spec.bag)) < 0.5)
-    u = _mixed(h[mine], 2 * (spec.seed * 1_000_003 + tree) + 1)
-    return mine[u < share / 2], mine[(u >= share / 2) & (u < share)]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z ^= z >> np.uint64(shift)
+        z *= np.uint64(factor)
+    z ^= z >> np.uint64(31)
+    z >>= np.uint64(11)
+    return z
+
+
+def _under(share: float) -> np.uint64:
+    """The bound that a share of the numbers of 53 bits lies under."""
+    return np.uint64(ceil(share * (1 << 53)))
+
+
+def _roles(h: np.ndarray, trees: int, share: float, spec: ForestSpec) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(tree, rows that it splits on, rows it estimates from) of all trees; trees of a bag share their half of the rows."""
+    everyone, half = np.arange(len(h)), _under(0.5)
+    for tree in range(trees):
+        if not spec.honest:
+            yield tree, everyone, everyone
+            continue
+        if tree % spec.bag == 0:
+            mine = np.flatnonzero(_mixed(h, 2 * (spec.seed * 1_000_003 + tree // spec.bag)) < half)
+            own = h[mine]
+        u = _mixed(own, 2 * (spec.seed * 1_000_003 + tree) + 1)
+        drawn = np.flatnonzero(u < _under(share))
+        splits = u[drawn] < _under(share / 2)
+        yield tree, mine[drawn[splits]], mine[drawn[~splits]]
 
 
 def _batch(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -110,6 +131,92 @@ def _batch(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray, n
     return get(0).astype(np.int64).view(np.uint64), get(1), get(2), np.stack([get(3 + k) for k in range(width)], axis=1) if width else np.zeros((batch.num_rows, 0))
 
 
+def _picked(sums: Sequence[np.ndarray], nodes: int, spec: ForestSpec) -> list[tuple[int, int] | None]:
+    """(modifier, edge) of the best split of each node; ``sums`` are, per modifier, (a, b, n) by node and bin."""
+    best, pick = np.full(nodes, 1e-12), [None] * nodes
+    for k, (a, b, n) in enumerate(sums):
+        la, lb, ln = (np.cumsum(v, axis=1)[:, :-1] for v in (a, b, n))
+        ta, tb, tn = (v.sum(axis=1, keepdims=True) for v in (a, b, n))
+        fit = lambda q, p: np.divide(q**2, p, out=np.zeros_like(q), where=p > 1e-12)
+        worth = np.where((ln >= spec.min_leaf) & (tn - ln >= spec.min_leaf), fit(lb, la) + fit(tb - lb, ta - la) - fit(tb, ta), 0.0)
+        if not worth.shape[1]:
+            continue
+        top = worth.argmax(axis=1)
+        for node in np.flatnonzero(worth[np.arange(nodes), top] > best).tolist():
+            best[node], pick[node] = worth[node, top[node]], (k, int(top[node]))
+    return pick
+
+
+def _grow_from_cells(rows: DataFrame, edges: list[np.ndarray], share: float, spec: ForestSpec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, cut, leaf moments as of :func:`_leaf_moments`) of whole trees from one pass over the rows.
+
+    A row counts in a tree by its cell between the edges of all modifiers: tasks sum moments per (tree, role, cell), and each
+    tree grows where its sums meet.
+    """
+    trees, width, tests, leaves = spec.n_trees, len(edges), (1 << spec.depth) - 1, 1 << spec.depth
+    sizes = [len(e) + 1 for e in edges]
+    cells = int(np.prod(sizes))
+    places, rest = np.zeros((cells, width), np.int64), np.arange(cells)
+    for k in range(width - 1, -1, -1):
+        rest, places[:, k] = np.divmod(rest, sizes[k])
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((trees, 3, 2 * cells))
+        for batch in _together(batches):
+            h, rt, ry, x = _batch(batch, width)
+            cell = np.zeros(len(h), np.int64)
+            for e, size, v in zip(edges, sizes, x.T, strict=True):
+                cell = cell * size + np.searchsorted(e, v, side="left")
+            a, b = rt**2, rt * ry
+            for tree, splits, estimates in _roles(h, trees, share, spec):
+                at = np.concatenate([splits, estimates])
+                key = np.concatenate([cell[splits], cells + cell[estimates]])
+                for k, v in enumerate((a[at], b[at], None)):
+                    total[tree, k] += np.bincount(key, v, 2 * cells)
+        for tree in range(trees):
+            at = np.flatnonzero(total[tree, 2])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([tree], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([total[tree][:, at].tobytes()], pa.binary())], ["tree", "at", "moments"])
+
+    def grown(key: tuple, parts: pa.Table) -> pa.Table:
+        held = np.zeros((3, 2 * cells))
+        for at, sums in zip(parts["at"].to_pylist(), parts["moments"].to_pylist(), strict=True):
+            held[:, np.frombuffer(at, np.int32)] += np.frombuffer(sums, float).reshape(3, -1)
+        splits = np.full((tests, 2), -1, np.int64)
+        node = np.zeros(cells, np.int64)
+        for level in range(spec.depth):
+            nodes, first = 1 << level, (1 << level) - 1
+            by = lambda k, v: np.bincount((node - first) * sizes[k] + places[:, k], v, nodes * sizes[k]).reshape(nodes, sizes[k])  # noqa: B023, E731
+            for n, found in enumerate(_picked([np.stack([by(k, v[:cells]) for v in held]) for k in range(width)], nodes, spec)):
+                if found:
+                    splits[first + n] = found
+            k, edge = splits[node, 0], splits[node, 1]
+            node = 2 * node + 1 + ((k >= 0) & (places[np.arange(cells), k] > edge))
+        ends = np.stack([np.bincount(node - tests, v[cells:], leaves) for v in held])
+        return pa.table({"tree": key[:1], "splits": pa.array([splits.tobytes()], pa.binary()), "ends": pa.array([ends.tobytes()], pa.binary())})
+
+    feature, cut, out = np.full((trees, tests), -1, np.int64), np.full((trees, tests), np.inf), np.zeros((3, trees, leaves))
+    for row in rows.mapInArrow(moments, "tree int, at binary, moments binary").groupBy("tree").applyInArrow(grown, "tree int, splits binary, ends binary").collect():
+        splits = np.frombuffer(row["splits"], np.int64).reshape(tests, 2)
+        feature[row["tree"]], out[:, row["tree"]] = splits[:, 0], np.frombuffer(row["ends"], float).reshape(3, leaves)
+        for at in np.flatnonzero(splits[:, 0] >= 0):
+            cut[row["tree"], at] = edges[splits[at, 0]][splits[at, 1]]
+    return feature, cut, out
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about :data:`ROWS_AT_ONCE` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= ROWS_AT_ONCE:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
 def _grow_level(rows: DataFrame, edges: list[np.ndarray], feature: np.ndarray, cut: np.ndarray, level: int, share: float, spec: ForestSpec) -> list:
     """(tree, node, modifier, edge) of the splits of one level: one pass over the rows for all trees."""
     trees, nodes, width = len(feature), 1 << level, len(edges)
@@ -122,8 +229,7 @@ def _grow_level(rows: DataFrame, edges: list[np.ndarray], feature: np.ndarray, c
         for batch in batches:
             h, rt, ry, x = _batch(batch, width)
             codes = np.stack([np.searchsorted(e, x[:, k], side="left") for k, e in enumerate(edges)], axis=1) + starts[:-1]
-            for tree in range(trees):
-                rows_of, _ = _roles(h, tree, share, spec)
+            for tree, rows_of, _ in _roles(h, trees, share, spec):
                 key = (_leaf(feature[tree], cut[tree], x[rows_of], level)[:, None] * cells + codes[rows_of]).ravel()
                 for k, v in enumerate((rt[rows_of] ** 2, rt[rows_of] * ry[rows_of], np.ones(len(rows_of)))):
                     total[tree, k] += np.bincount(key, np.repeat(v, width), nodes * cells)
@@ -133,18 +239,7 @@ def _grow_level(rows: DataFrame, edges: list[np.ndarray], feature: np.ndarray, c
 
     def choose(key: tuple, parts: pa.Table) -> pa.Table:
         held = sum((np.frombuffer(p, float) for p in parts["moments"].to_pylist()), np.zeros(3 * nodes * cells)).reshape(3, nodes, cells)
-        best, pick = np.full(nodes, 1e-12), [None] * nodes
-        for k in range(width):
-            a, b, n = held[:, :, starts[k] : starts[k + 1]]
-            la, lb, ln = (np.cumsum(v, axis=1)[:, :-1] for v in (a, b, n))
-            ta, tb, tn = (v.sum(axis=1, keepdims=True) for v in (a, b, n))
-            fit = lambda q, p: np.divide(q**2, p, out=np.zeros_like(q), where=p > 1e-12)
-            worth = np.where((ln >= spec.min_leaf) & (tn - ln >= spec.min_leaf), fit(lb, la) + fit(tb - lb, ta - la) - fit(tb, ta), 0.0)
-            if not worth.shape[1]:
-                continue
-            top = worth.argmax(axis=1)
-            for node in np.flatnonzero(worth[np.arange(nodes), top] > best).tolist():
-                best[node], pick[node] = worth[node, top[node]], (k, int(top[node]))
+        pick = _picked([held[:, :, starts[k] : starts[k + 1]] for k in range(width)], nodes, spec)
         found = [(key[0].as_py(), node, *p) for node, p in enumerate(pick) if p]
         return pa.table({n: pa.array([f[i] for f in found], pa.int32()) for i, n in enumerate(("tree", "node", "modifier", "edge"))})
 
@@ -159,8 +254,7 @@ def _leaf_moments(rows: DataFrame, feature: np.ndarray, cut: np.ndarray, width:
         total = np.zeros((trees, 3, leaves))
         for batch in batches:
             h, rt, ry, x = _batch(batch, width)
-            for tree in range(trees):
-                _, rows_of = _roles(h, tree, share, spec)
+            for tree, _, rows_of in _roles(h, trees, share, spec):
                 key = _leaf(feature[tree], cut[tree], x[rows_of], spec.depth)
                 for k, v in enumerate((rt[rows_of] ** 2, rt[rows_of] * ry[rows_of], np.ones(len(rows_of)))):
                     total[tree, k] += np.bincount(key, v, leaves)
@@ -178,7 +272,8 @@ def _leaf_moments(rows: DataFrame, feature: np.ndarray, cut: np.ndarray, width:
 def fit_forest(df: DataFrame, spec: CausalSpec, forest: ForestSpec = ForestSpec()) -> EffectForest:
     """Forest of the effect of ``spec.treatment`` on ``spec.outcome`` over the modifiers.
 
-    Passes over the rows: the residual fits, one for the bin edges, one per level, one for the leaves. A leaf with fewer
+    Passes over the rows: the residual fits, one for the bin edges, and one, or, where the bins make more than
+    :data:`MOST_CELLS` cells, one per level and one for the leaves. A leaf with fewer
     than ``min_leaf`` estimation rows takes the moments of the nearest ancestor that has them. Rows without treatment or
     outcome do not count; missing confounders and modifiers count as 0.
     """
@@ -192,7 +287,10 @@ def fit_forest(df: DataFrame, spec: CausalSpec, forest: ForestSpec = ForestSpec(
     share = min(1.0, 2.0 * forest.rows_per_tree / max(cuts["n"], 1))
     tests = (1 << forest.depth) - 1
     feature, cut = np.full((forest.n_trees, tests), -1, np.int64), np.full((forest.n_trees, tests), np.inf)
-    for level in range(forest.depth if mods else 0):
+    cells = np.prod([len(e) + 1 for e in edges], dtype=float)
+    if cells <= MOST_CELLS:
+        feature, cut, sums = _grow_from_cells(rows, edges, share, forest)
+    for level in range(forest.depth if mods and cells > MOST_CELLS else 0):
         splits = _grow_level(rows, edges, feature, cut, level, share, forest)
         feature, cut = feature.copy(), cut.copy()
         for tree, node, k, edge in splits:
@@ -200,7 +298,7 @@ def fit_forest(df: DataFrame, spec: CausalSpec, forest: ForestSpec = ForestSpec(
             feature[tree, at], cut[tree, at] = k, edges[k][edge]
         if not splits:
             break
-    a, b, n = _leaf_moments(rows, feature, cut, len(mods), share, forest)
+    a, b, n = sums if cells <= MOST_CELLS else _leaf_moments(rows, feature, cut, len(mods), share, forest)
     leaves = np.arange(1 << forest.depth)
     done = n >= forest.min_leaf
     ma, mb = np.where(done, a, 0.0), np.where(done, b, 0.0)
@@ -215,9 +313,36 @@ def fit_forest(df: DataFrame, spec: CausalSpec, forest: ForestSpec = ForestSpec(
     return EffectForest(tuple(mods), feature, cut, ma / count, mb / count, forest.bag if forest.honest else 1)
 
 
+@dataclass(frozen=True)
+class EffectTable:
+    """Effects and errors by cell between all cuts of a forest: rows of a cell come to the same leaves."""
+
+    edges: tuple[np.ndarray, ...]
+    results: tuple[np.ndarray, np.ndarray]
+
+    def effects(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.zeros(len(x), np.int64)
+        for k, e in enumerate(self.edges):
+            at = at * (len(e) + 1) + np.searchsorted(e, x[:, k], side="left")
+        return self.results[0][at], self.results[1][at]
+
+
+def _effects_by_cell(forest: EffectForest) -> EffectTable | None:
+    """The forest as a table, None where it has more than :data:`MOST_EFFECTS` cells."""
+    edges = tuple(np.unique(forest.cut[forest.feature == k]) for k in range(len(forest.modifiers)))
+    cells = np.prod([len(e) + 1 for e in edges], dtype=float)
+    if cells > MOST_EFFECTS:
+        return None
+    rest, points = np.arange(int(cells)), np.zeros((int(cells), len(edges)))
+    for k in range(len(edges) - 1, -1, -1):
+        rest, place = np.divmod(rest, len(edges[k]) + 1)
+        points[:, k] = np.append(edges[k], np.inf)[place]
+    return EffectTable(edges, forest.effects(points))
+
+
 def forest_effects(df: DataFrame, forest: EffectForest, *, out: str = "effect", error: str = "effect_se") -> DataFrame:
     """``df`` with each row's effect and its standard error; rows stay where they are, other columns pass as they are."""
-    shared = df.sparkSession.sparkContext.broadcast(forest)
+    shared = df.sparkSession.sparkContext.broadcast(_effects_by_cell(forest) or forest)
     columns = [F.coalesce(nan_to_null(m), F.lit(0.0)).cast("double").alias(f"_ef_{k}") for k, m in enumerate(forest.modifiers)]
     staged = df.select("*", *columns)
     width = len(columns)

@@ -496,7 +496,7 @@ def _(t: Tables) -> DataFrame:
     """The forest at full size (400 trees) with the interval of each row's effect."""
     spec = X.CausalSpec(SPEC.treatment, SPEC.outcome, SPEC.confounders, ("nurse_skillmix", "ri_initial"), 5)
     forest = E.fit_forest(t.cohort, spec)
-    return emit(E.effect_interval(E.forest_effects(t.cohort, forest)).select("row_id", "effect", "lower", "upper"), digits=4)
+    return emit(E.effect_interval(E.forest_effects(t.cohort.select("row_id", *spec.modifiers), forest)).select("row_id", "effect", "lower", "upper"), digits=4)
 
 
 @query("dml_effects_crossfit")

@@ -66,3 +66,27 @@ def test_odd_rows(spark, steps):
     assert (few.feature == -1).all()
     none = E.fit_forest(steps.filter(F.lit(False)), SPEC, E.ForestSpec(n_trees=4, depth=2))
     assert E.forest_effects(steps, none).filter("effect is not null").count() == 0
+
+
+@pytest.mark.parametrize("spec", [E.ForestSpec(n_trees=8, depth=3, bins=16), E.ForestSpec(n_trees=8, depth=2, rows_per_tree=600), E.ForestSpec(n_trees=1, depth=2, honest=False, bins=8)])
+def test_trees_from_cells_are_those_of_levels(steps, spec, monkeypatch):
+    """One pass over the rows grows what a pass for each level grows, and a table of cells says what the trees say."""
+    rows = steps.withColumn("m", F.round("m", 2))
+    seen = rows.sparkSession.sparkContext.accumulator(0)
+
+    def count(batches):
+        seen.add(1)
+        yield from batches
+
+    monkeypatch.setattr(E, "residuals", lambda df, s: X.residuals(df, s).mapInArrow(count, X.residuals(df, s).schema))
+    cells = E.fit_forest(rows, SPEC, spec)
+    passes = seen.value
+    monkeypatch.setattr(E, "MOST_CELLS", 0)
+    levels = E.fit_forest(rows, SPEC, spec)
+    assert passes < seen.value - passes and np.array_equal(cells.feature, levels.feature) and np.array_equal(cells.cut, levels.cut)
+    assert np.allclose(cells.a, levels.a) and np.allclose(cells.b, levels.b)
+    x = np.random.default_rng(1).random((500, 2))
+    x[:3] = [[np.inf, -np.inf], cells.cut[0, [0, 0]], [0.4, 0.4]]
+    table = E._effects_by_cell(cells)
+    for got, want in zip(table.effects(x), cells.effects(x), strict=True):
+        assert np.array_equal(got, want, equal_nan=True)
