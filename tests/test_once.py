@@ -138,3 +138,16 @@ def test_trees_as_tables_of_cells(width, monkeypatch):
     monkeypatch.setattr(B, "MOST_CELLS", 0)
     by_row = made(B.Walker.of(model)).attribute(x)
     assert np.allclose(by_cell[0], by_row[0], atol=1e-12) and np.allclose(by_cell[1], model.predict(x), atol=1e-12) and np.allclose(by_row[1], by_cell[1], atol=1e-12)
+
+
+def test_a_request_against_itself_has_one_cohort(spark):
+    """Rows that are their own reference are one table, so that their components are worked out and written once."""
+    from caretrace.operators import scoring as S
+
+    df = spark.createDataFrame([(1, 1.0, 2.0)], "episode_id long, a double, y double")
+    chosen, reference = S._cohorts(S.Request(df), ["a", "b"], "y")
+    assert chosen is reference and "b" in chosen.columns
+    chosen, reference = S._cohorts(S.Request(df, episode_ids=[1]), ["a"], "y")
+    assert chosen is not reference
+    chosen, reference = S._cohorts(S.Request(df, reference_rows=df.limit(1)), ["a"], "y")
+    assert chosen is not reference
